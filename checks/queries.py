@@ -130,19 +130,19 @@ def registry_latest(spark, sf_dir):
 
 @query(f"SELECT page_id, {S.clean('html')} AS text FROM pages")
 def clean_text(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.texts(spark, sf_dir, "pages")
     return pages.select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {S.deep('html')} AS text FROM pages")
 def deep_clean_text(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.texts(spark, sf_dir, "pages")
     return pages.select("page_id", X.deep_clean_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {S.light('html')} AS text FROM pages")
 def light_clean(spark, sf_dir):
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.texts(spark, sf_dir, "pages")
     return pages.select("page_id", X.light_clean(F.col("html")).alias("text"))
 
 
@@ -157,7 +157,7 @@ def combine_title_body(spark, sf_dir):
     FROM documents) WHERE length(text) > 0"""
 )
 def add_text_column(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select(
+    docs = V.texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("body")
     )
     return X.add_text_column(docs).select("id", "text")
@@ -306,7 +306,7 @@ def length_features(spark, sf_dir):
     FROM documents"""
 )
 def urgency_flag(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", X.urgency_flag(F.col("text")).alias("urgent"))
 
 
@@ -438,7 +438,7 @@ def load_intent(spark, sf_dir):
 
 
 def _intent(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return loading.load_intent(
         docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("intent")), keep=["id"]
     )
@@ -516,7 +516,7 @@ def split_stratified(spark, sf_dir):
 
 @query(f"SELECT doc_id, {S.joined(S.tokens('text'))} AS tokens FROM documents")
 def tokenize(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", bar(K.tokenize(F.col("text"))).alias("tokens"))
 
 
@@ -529,7 +529,7 @@ def _sql_words():
     FROM documents"""
 )
 def remove_stopwords(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     kept = K.remove_stopwords(K.tokenize(F.col("text")), K.stop_words())
     return docs.select("doc_id", bar(kept).alias("tokens"))
 
@@ -551,7 +551,7 @@ def sql_grams(w: str, hi: int) -> str:
       SELECT doc_id, {S.tokens("text")} AS w FROM documents)"""
 )
 def ngrams(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", bar(K.ngrams(K.tokenize(F.col("text")), 1, 5)).alias("grams"))
 
 
@@ -568,7 +568,7 @@ def sql_vocab(hi: int = 2) -> str:
 
 
 def _listed(spark, sf_dir, hi: int = 2):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", K.terms(F.col("text"), K.stop_words(), 1, hi).alias("terms"))
 
 
@@ -613,7 +613,7 @@ def idf(spark, sf_dir):
       JOIN ({sql_idf()}) v ON t.term = v.term)"""
 )
 def tfidf(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     model = features.Tfidf(max_features=VOCAB_SIZE).fit(docs)
     long = features.tfidf_long(model, docs, "doc_id")
     return long.withColumn("value", F.round("value", 6))
@@ -621,7 +621,7 @@ def tfidf(spark, sf_dir):
 
 @query()
 def feature_union(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select(
+    docs = V.texts(spark, sf_dir, "documents").select(
         "doc_id", "text", X.urgency_flag(F.col("text")).alias("urgent")
     )
     model = features.Tfidf(output_col="tfidf", max_features=VOCAB_SIZE, sublinear=False).fit(docs)
@@ -888,7 +888,7 @@ def flatten_predictions(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string(({S.tokens('text')})[1:256], ' ') AS text FROM documents")
 def truncate_tokens(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents")
+    docs = V.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", K.truncate_tokens(F.col("text")).alias("text"))
 
 

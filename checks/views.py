@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdesk.sources.tables import read_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table for heavy per-row work."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", heavy=True)
+
+
 def tickets_page(spark, sf_dir):
     """Web pages as raw issues: the page title and the whole markup as body."""
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.col("html").alias("body"),
@@ -26,7 +33,7 @@ FROM pages"""
 
 def tickets_doc(spark, sf_dir):
     """Documents as tickets: first line as title, language as intent, rated tags as labels."""
-    docs, rated = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, rated = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(rated, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),

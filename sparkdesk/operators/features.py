@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    VectorAssembler,
+)
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -158,25 +165,33 @@ class Tfidf(Estimator):
         fitted = idf(vocab, rows).select("term", "idf").toArrow().sort_by("term")
         if fitted.num_rows == 0:
             raise ValueError("no terms remain after document-frequency pruning")
-        counts = CountVectorizerModel.from_vocabulary(
-            fitted["term"].to_pylist(), inputCol=f"{prefix}_terms", outputCol=f"{prefix}_counts"
+        # Fitting on the kept terms themselves, one per row, hands over the whole list
+        # at once; the fitted model then tells each term's position.
+        kept = dataset.sparkSession.createDataFrame(fitted).select(
+            "term", "idf", F.array("term").alias(f"{prefix}_terms")
         )
+        counts = CountVectorizer(
+            inputCol=f"{prefix}_terms", outputCol=f"{prefix}_counts", vocabSize=fitted.num_rows
+        ).fit(kept)
+        placed = counts.transform(kept).select(
+            "term", "idf", F.get(F.unwrap_udt(f"{prefix}_counts")["indices"], 0).alias("idx")
+        ).toArrow().sort_by("idx")
         stages = [extract, counts]
         weights = f"{prefix}_counts"
         if self.sublinear:
             stages.append(SublinearCounts(inputCol=weights, outputCol=f"{prefix}_tf"))
             weights = f"{prefix}_tf"
-        return PipelineModel(
-            stages
-            + [
-                ElementwiseProduct(
-                    scalingVec=DenseVector(fitted["idf"].to_numpy()),
-                    inputCol=weights,
-                    outputCol=f"{prefix}_tfidf",
-                ),
-                Normalizer(p=2.0, inputCol=f"{prefix}_tfidf", outputCol=self.output_col),
-            ]
-        )
+        stages += [
+            ElementwiseProduct(
+                scalingVec=DenseVector(placed["idf"].to_numpy()),
+                inputCol=weights,
+                outputCol=f"{prefix}_tfidf",
+            ),
+            Normalizer(p=2.0, inputCol=f"{prefix}_tfidf", outputCol=self.output_col),
+        ]
+        model = PipelineModel(stages)
+        model.terms = placed["term"].to_pylist()
+        return model
 
 
 def tfidf_transform(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -186,7 +201,11 @@ def tfidf_transform(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def vocabulary(model: PipelineModel) -> list[str]:
-    return next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
+    """Terms by vector position; a loaded model asks the JVM for them."""
+    if not hasattr(model, "terms"):
+        counts = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
+        model.terms = list(counts.vocabulary)
+    return model.terms
 
 
 def tfidf_long(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
@@ -198,7 +217,10 @@ def tfidf_long(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
         .select(row_id, F.inline(F.arrays_zip(vector["indices"], vector["values"])))
         .toDF(row_id, "idx", "value")
     )
-    names = df.sparkSession.createDataFrame(list(enumerate(vocabulary(model))), "idx int, term string")
+    words = vocabulary(model)
+    names = df.sparkSession.createDataFrame(
+        pa.table({"idx": pa.array(range(len(words)), pa.int32()), "term": words})
+    )
     # The vocabulary is bounded by the fit, which also had to hold it on the driver.
     return entries.join(F.broadcast(names), "idx").select(row_id, "term", "value")
 

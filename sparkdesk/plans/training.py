@@ -30,6 +30,8 @@ from sparkdesk.sources.registry import REGISTRY, append_registry, load_model, sa
 from sparkdesk.sources.tables import limit_rows
 
 SEED = 42
+# Stop once an iteration gains less than this share of the loss.
+TOLERANCE = 1e-4
 # Model jobs submitted at once; each of them is a distributed job of its own.
 PARALLEL_FITS = 8
 
@@ -51,6 +53,7 @@ def logistic(rows: int, weight: str = "weight", max_iter: int = 1000, c: float =
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
     )
 
 
@@ -62,6 +65,7 @@ def linear_svm(rows: int, weight: str = "weight", max_iter: int = 100, c: float
         regParam=1.0 / (c * max(rows, 1)),
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
     )
 
 

@@ -72,6 +72,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain table scan over all cores when it has fewer splits than cores.
+
+    A table written as a few big row groups would otherwise keep most cores idle during
+    text work. A scan with enough splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` as a broadcast join side if it holds at most ``max_rows`` rows (job).
 
