@@ -16,7 +16,7 @@ from sparkdesk.functions import text as X
 from sparkdesk.functions import tokens as K
 from sparkdesk.operators import curation, features, metrics, reports, sampling
 from sparkdesk.plans import loading, scoring, training
-from sparkdesk.session import work_path
+from sparkdesk.session import materialize, work_path
 from sparkdesk.sources import registry, tables
 from sparkdesk.streaming import jobs
 
@@ -682,20 +682,24 @@ def once(spark, sf_dir, name, make):
     return _MODELS[key]
 
 
+def _loaded(spark, sf_dir, load) -> DataFrame:
+    return materialize(load(spark, sf_dir), "loaded")[0]
+
+
 def _models(spark, sf_dir) -> scoring.TicketModels:
     return once(
         spark, sf_dir, "models",
         lambda: scoring.TicketModels(
-            training.fit_multi_label(_category(spark, sf_dir)),
-            training.fit_single_label(_priority(spark, sf_dir)),
-            training.fit_single_label(_intent(spark, sf_dir)),
+            training.fit_multi_label(_loaded(spark, sf_dir, _category)),
+            training.fit_single_label(_loaded(spark, sf_dir, _priority)),
+            training.fit_single_label(_loaded(spark, sf_dir, _intent)),
         ),
     )
 
 
 @query()
 def fit_single_label(spark, sf_dir):
-    docs = sampling.split_stratified(_intent(spark, sf_dir), "id", "label")
+    docs, _ = training.split_table(_intent(spark, sf_dir), "id", "label")
     train, _ = training.split_parts(docs)
     model = training.fit_single_label(train)
     return model.predict(docs).select("id", "is_test", F.col("label").alias("y"), "p")
@@ -703,7 +707,7 @@ def fit_single_label(spark, sf_dir):
 
 @query()
 def fit_multi_label(spark, sf_dir):
-    docs = sampling.split_random(_category(spark, sf_dir), "id")
+    docs, _ = training.split_table(_category(spark, sf_dir), "id", "labels")
     train, _ = training.split_parts(docs)
     model = training.fit_multi_label(train)
     return model.predict(docs).select(
@@ -713,7 +717,7 @@ def fit_multi_label(spark, sf_dir):
 
 @query()
 def fit_linear_svm(spark, sf_dir):
-    docs = sampling.split_stratified(_intent(spark, sf_dir), "id", "label")
+    docs, _ = training.split_table(_intent(spark, sf_dir), "id", "label")
     train, _ = training.split_parts(docs)
     model = training.fit_linear_svm(train, "label")
     return model.predict(docs).select("id", "is_test", F.col("label").alias("y"), "p")

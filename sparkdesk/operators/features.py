@@ -92,7 +92,14 @@ class TermExtractor(
         self._setDefault(inputCol="text", outputCol="terms", lo=1, hi=2, words=[])
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
+    def settings(self) -> tuple:
+        get = self.getOrDefault
+        return (self.getInputCol(), self.getOutputCol(), get(self.lo), get(self.hi),
+                tuple(get(self.words)))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.getOutputCol() in dataset.columns:
+            return dataset  # extracted before, for several models with equal settings
         get = self.getOrDefault
         return dataset.withColumn(
             self.getOutputCol(),

@@ -47,11 +47,24 @@ def probabilities(model: SingleLabelModel | MultiLabelModel, df: DataFrame, out:
     return scored
 
 
+def _with_terms(df: DataFrame, models: TicketModels) -> DataFrame:
+    """Extract the terms once if the three models want the same ones."""
+    extractors = [
+        models.category.features.stages[0],
+        models.priority.pipeline.stages[0],
+        models.intent.pipeline.stages[0],
+    ]
+    if len({e.settings() for e in extractors}) == 1:
+        return extractors[0].transform(df)
+    return df
+
+
 def predict_batch(df: DataFrame, models: TicketModels) -> DataFrame:
     """``df`` plus ``category``, ``priority`` and ``intent``; narrow, without a shuffle."""
     require_columns(df, ["title", "body"], "table", list_all=True)
     kept = df.columns
     scored = df.withColumn("text", combine_title_body(F.col("title"), F.col("body")))
+    scored = _with_terms(scored, models)
     for name in ("category", "priority", "intent"):
         scored = probabilities(getattr(models, name), scored, f"{name}_scores")
     return scored.select(

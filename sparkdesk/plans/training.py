@@ -294,6 +294,26 @@ def fit_linear_svm(df: DataFrame, label: str, text: str = "text", **options):
     return fit_single_label(df, text=text, label=label, classifier=linear_svm, **options)
 
 
+def split_table(
+    df: DataFrame, row_id: str, label: str, test: float | int | None = None
+) -> tuple[DataFrame, str]:
+    """The rows with ``is_test`` as a table of the shared folder, and its path (jobs).
+
+    The loader's text work runs once, before the passes of the split. Label lists
+    split at random, single labels by class.
+    """
+    loaded, loaded_path = materialize(df, "loaded")
+    if test is None:
+        test = split_size(loaded.count())
+    if dict(df.dtypes)[label].startswith("array"):
+        split = split_random(loaded, row_id, SEED, test)
+    else:
+        split = split_stratified(loaded, row_id, label, SEED, test)
+    table, path = materialize(split, "split")
+    remove_path(df.sparkSession, loaded_path)
+    return table, path
+
+
 def split_parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(~F.col("is_test")).drop("is_test"), df.where("is_test").drop("is_test")
 
@@ -304,11 +324,11 @@ def compare_models(
     row_id: str,
     text: str = "text",
     label: str = "label",
-    test: float | int = 0.2,
+    test: float | int | None = None,
 ) -> DataFrame:
     """``model, accuracy, macro_f1`` of each candidate on one split and one vocabulary."""
     multi = dict(df.dtypes)[label].startswith("array")
-    table, path = materialize(split_random(df, row_id, SEED, test), "split")
+    table, path = split_table(df, row_id, label, test)
     train, held = split_parts(table)
     features = Tfidf(input_col=text).fit(train)
     results = []
@@ -348,27 +368,18 @@ def train_target(
 ) -> TrainingResult:
     """Split, fit, evaluate and save one target; ``df`` comes from a training loader."""
     multi = "labels" in df.columns
-    loaded, loaded_path = materialize(df, "loaded")
-    rows = loaded.count()
-    test = split_size(rows)
-    split = (
-        split_random(loaded, row_id, SEED, test)
-        if multi
-        else split_stratified(loaded, row_id, "label", SEED, test)
-    )
-    table, path = materialize(split, "split")
+    label = "labels" if multi else "label"
+    table, path = split_table(df, row_id, label)
+    rows, names = table.count(), label_classes(table, label)
     train, held = split_parts(table)
     if multi:
-        names = label_classes(loaded, "labels")
         model = fit_multi_label(train, names)
         metrics = evaluate_multi(model, held)
     else:
         model = fit_single_label(train)
-        names = label_classes(loaded, "label")
         metrics = evaluate_single(model, held)
     model.save(out)
-    for used in (path, loaded_path):
-        remove_path(df.sparkSession, used)
+    remove_path(df.sparkSession, path)
     kind = MULTI_TYPE if multi else SINGLE_TYPE
     return TrainingResult(target, out, rows, names, metrics, kind, dataset)
 
