@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sparkdesk.functions.decode import decode_multi, decode_single, softmax_scores
 from sparkdesk.functions.text import combine_title_body, format_predictions, validate_tickets
-from sparkdesk.plans.training import MultiLabelModel, SingleLabelModel
+from sparkdesk.plans.training import MultiLabelModel, OneVsRestModel, SingleLabelModel
 from sparkdesk.sources.tables import read_tickets_csv, require_columns, write_csv
 
 # Fixed value: backend name of the default models.
@@ -40,10 +40,8 @@ class TicketModels:
 def probabilities(model: SingleLabelModel | MultiLabelModel, df: DataFrame, out: str) -> DataFrame:
     """``df`` plus one probability per label of the model."""
     scored = model.scores(df, out)
-    if isinstance(model, SingleLabelModel):
-        classifier = model.pipeline.stages[-2]
-        if not classifier.hasParam("probabilityCol"):
-            return scored.withColumn(out, softmax_scores(F.col(out)))
+    if isinstance(model, OneVsRestModel):
+        return scored.withColumn(out, softmax_scores(F.col(out)))
     return scored
 
 

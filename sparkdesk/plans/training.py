@@ -6,15 +6,14 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdesk.functions.decode import sigmoid_scores
+from sparkdesk.functions.decode import decode_single, sigmoid_scores
 from sparkdesk.functions.labels import literal_map
 from sparkdesk.operators.features import (
     Tfidf,
@@ -39,17 +38,17 @@ SINGLE_TYPE = "TF-IDF + LogisticRegression"
 MULTI_TYPE = "TF-IDF + OneVsRest LogisticRegression"
 
 
-def logistic(rows: int, weight: str = "weight", max_iter: int = 1000, c: float = 1.0):
+def logistic(total: float, weight: str = "weight", max_iter: int = 1000, c: float = 1.0):
     """L2 logistic regression with inverse strength ``c``.
 
-    The summed loss with weight ``c`` against half the squared norm is Spark's mean loss
+    ``total`` is the summed row weight. The summed loss with weight ``c`` against half the squared norm is Spark's mean loss
     with regularisation 1 / (c * total weight); balanced weights add up to the rows.
     """
     return LogisticRegression(
         featuresCol="features",
         labelCol="label_id",
         weightCol=weight,
-        regParam=1.0 / (c * max(rows, 1)),
+        regParam=1.0 / (c * total),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
@@ -57,12 +56,12 @@ def logistic(rows: int, weight: str = "weight", max_iter: int = 1000, c: float =
     )
 
 
-def linear_svm(rows: int, weight: str = "weight", max_iter: int = 100, c: float = 1.0):
+def linear_svm(total: float, weight: str = "weight", max_iter: int = 100, c: float = 1.0):
     return LinearSVC(
         featuresCol="features",
         labelCol="label_id",
         weightCol=weight,
-        regParam=1.0 / (c * max(rows, 1)),
+        regParam=1.0 / (c * total),
         standardization=False,
         maxIter=max_iter,
         tol=TOLERANCE,
@@ -76,7 +75,7 @@ def balanced(counts: Mapping[object, int]) -> dict[object, float]:
 
 def _fit_many(jobs: Sequence[Callable[[], object]]) -> list:
     with ThreadPoolExecutor(min(PARALLEL_FITS, max(len(jobs), 1))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return list(pool.map(lambda job: job(), jobs))
 
 
 # Single label
@@ -89,9 +88,12 @@ class SingleLabelModel:
     labels: list[str]
 
     def scores(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` plus one score per label: probabilities, or raw decision values."""
+        """``df`` plus the probabilities of the labels."""
         *features, classifier, _ = self.pipeline.stages
-        return _score_column(df, PipelineModel(features), classifier, out)
+        quiet = classifier.copy().setProbabilityCol(f"{out}_vector")
+        quiet.setRawPredictionCol("").setPredictionCol("")
+        scored = quiet.transform(PipelineModel(features).transform(df))
+        return scored.select(*df.columns, vector_to_array(f"{out}_vector").alias(out))
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         return self.pipeline.transform(df).select(
@@ -107,51 +109,29 @@ class SingleLabelModel:
         return SingleLabelModel(pipeline, list(pipeline.stages[-1].getLabels()))
 
 
-def _score_column(df: DataFrame, features: PipelineModel, classifier: Model, out: str) -> DataFrame:
-    proba = classifier.hasParam("probabilityCol")
-    name = f"{out}_vector"
-    quiet = classifier.copy()
-    if proba:
-        quiet.setProbabilityCol(name).setRawPredictionCol("")
-    else:
-        quiet.setRawPredictionCol(name)
-    quiet.setPredictionCol("" if proba else f"{out}_class")
-    featured = features.transform(df)
-    return quiet.transform(featured).select(*df.columns, vector_to_array(name).alias(out))
-
-
 def fit_single_label(
     df: DataFrame,
     text: str = "text",
     label: str = "label",
     features: Estimator | PipelineModel | None = None,
-    classifier: Callable[[int], Estimator] = logistic,
-) -> SingleLabelModel:
+    classifier: Callable[[float], Estimator] = logistic,
+) -> SingleLabelModel | OneVsRestModel:
     """Balanced single-label classifier on TF-IDF features (jobs)."""
+    if isinstance(classifier(1), LinearSVC):
+        return fit_one_vs_rest(df, text, label, features, classifier)
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().toLocalIterator()}
     labels = sorted(counts)
     if len(labels) < 2:
         raise ValueError("a classifier needs at least two classes")
     weights = balanced(counts)
-    model = features or Tfidf(input_col=text)
-    if isinstance(model, Estimator):
-        model = model.fit(df)
+    model = _fitted_features(df, text, features)
     ids = literal_map({x: float(i) for i, x in enumerate(labels)})
     costs = literal_map({x: weights[x] for x in labels})
     rows = tfidf_transform(model, df).select(
         "features", ids[F.col(label)].alias("label_id"), costs[F.col(label)].alias("weight")
     )
     table, path = materialize(rows, "features")
-    estimator = classifier(sum(counts.values()))
-    if isinstance(estimator, LinearSVC):
-        estimator = OneVsRest(
-            classifier=estimator,
-            labelCol="label_id",
-            weightCol="weight",
-            parallelism=PARALLEL_FITS,
-            rawPredictionCol="rawPrediction",
-        )
-    fitted = estimator.fit(table)
+    fitted = classifier(sum(counts.values())).fit(table)
     remove_path(df.sparkSession, path)
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
     return SingleLabelModel(PipelineModel([*model.stages, fitted, names]), labels)
@@ -180,23 +160,26 @@ class MultiLabelModel:
     binary: dict[str, Model] = field(default_factory=dict)
     constant: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` plus an array with one score in [0, 1] per label."""
-        scored = self.features.transform(df)
-        parts: list[Column] = []
-        for i, label in enumerate(self.labels):
-            if label in self.constant:
-                parts.append(F.lit(self.constant[label]))
-                continue
-            quiet, name = self.binary[label].copy(), f"{out}_{i}"
+    def _binary_scores(self, df: DataFrame, out: str) -> tuple[DataFrame, dict[str, Column]]:
+        """Probability, or decision value, of each binary classifier."""
+        scored, found = self.features.transform(df), {}
+        for i, (label, model) in enumerate(self.binary.items()):
+            quiet, name = model.copy().setPredictionCol(""), f"{out}_{i}"
             if quiet.hasParam("probabilityCol"):
-                quiet.setProbabilityCol(name).setRawPredictionCol("").setPredictionCol("")
-                parts.append(F.get(vector_to_array(name), 1))
+                quiet.setProbabilityCol(name).setRawPredictionCol("")
             else:
-                quiet.setRawPredictionCol(name).setPredictionCol("")
-                raw = F.get(vector_to_array(name), 1)
-                parts.append(F.get(sigmoid_scores(F.array(raw)), 0))
+                quiet.setRawPredictionCol(name)
             scored = quiet.transform(scored)
+            found[label] = F.get(vector_to_array(name), 1)
+        return scored, found
+
+    def scores(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` plus an array with one score in [0, 1] per label."""
+        scored, found = self._binary_scores(df, out)
+        for label, model in self.binary.items():
+            if not model.hasParam("probabilityCol"):
+                found[label] = F.get(sigmoid_scores(F.array(found[label])), 0)
+        parts = [found[x] if x in found else F.lit(self.constant[x]) for x in self.labels]
         return scored.select(*df.columns, F.array(*parts).alias(out))
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
@@ -231,50 +214,112 @@ class MultiLabelModel:
         )
 
 
-def fit_multi_label(
-    df: DataFrame,
-    classes: Sequence[str] | None = None,
-    text: str = "text",
-    labels: str = "labels",
-    features: Estimator | PipelineModel | None = None,
-    classifier: Callable[[int], Estimator] = logistic,
-) -> MultiLabelModel:
-    """One balanced binary classifier per class (jobs).
+@dataclass
+class OneVsRestModel(MultiLabelModel):
+    """One label per row: the largest decision value of the binary classifiers.
 
-    The features are computed once into a table; the fits of the classes read it
-    side by side.
+    Of two labels only the second has a classifier; the first scores its negative.
     """
-    names = list(classes) if classes is not None else label_classes(df, labels)
-    model = features or Tfidf(input_col=text)
-    if isinstance(model, Estimator):
-        model = model.fit(df)
-    table, path = materialize(
-        multi_hot(tfidf_transform(model, df), labels, names).select("features", "hot"), "features"
-    )
+
+    def scores(self, df: DataFrame, out: str) -> DataFrame:
+        scored, found = self._binary_scores(df, out)
+        if len(self.labels) == 2:
+            found[self.labels[0]] = -found[self.labels[1]]
+        return scored.select(*df.columns, F.array(*[found[x] for x in self.labels]).alias(out))
+
+    def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
+        best = decode_single(F.col("_scores"), self.labels)["label"]
+        return self.scores(df, "_scores").withColumn(out, best).drop("_scores")
+
+
+def _fit_binaries(
+    hot: DataFrame,
+    names: Sequence[str],
+    costs: Callable[[int, int], tuple[float, float]],
+    classifier: Callable[[float], Estimator],
+) -> tuple[dict[str, Model], dict[str, float]]:
+    """A binary classifier per name on ``features, hot``; constant labels get a constant.
+
+    The features are computed once into a table, and the fits read it side by side.
+    ``costs`` gives the weight of a negative and of a positive row.
+    """
+    table, path = materialize(hot.select("features", "hot"), "features")
     totals = table.agg(
         F.count("*").alias("rows"),
         *[F.sum(F.get("hot", i)).alias(f"n{i}") for i in range(len(names))],
     ).first()
     rows = totals["rows"]
-    fitted = MultiLabelModel(model, names)
-    jobs, fits = [], []
+    constant, jobs = {}, {}
     for i, name in enumerate(names):
         ones = totals[f"n{i}"] or 0
         if ones in (0, rows):
-            fitted.constant[name] = 1.0 if ones and ones == rows else 0.0
+            constant[name] = 1.0 if ones and ones == rows else 0.0
             continue
-        cost = balanced({0: rows - ones, 1: ones})
+        negative, positive = costs(rows, ones)
         target = F.get("hot", i)
         part = table.select(
             "features",
             target.cast("double").alias("label_id"),
-            F.when(target == 1, cost[1]).otherwise(cost[0]).alias("weight"),
+            F.when(target == 1, positive).otherwise(negative).alias("weight"),
         )
-        fits.append(name)
-        jobs.append(lambda part=part: classifier(rows).fit(part))
-    fitted.binary = dict(zip(fits, _fit_many(jobs)))
-    remove_path(df.sparkSession, path)
-    return fitted
+        estimator = classifier(negative * (rows - ones) + positive * ones)
+        jobs[name] = lambda part=part, estimator=estimator: estimator.fit(part)
+    fitted = dict(zip(jobs, _fit_many(list(jobs.values()))))
+    remove_path(hot.sparkSession, path)
+    return fitted, constant
+
+
+def _fitted_features(df: DataFrame, text: str, features) -> PipelineModel:
+    model = features or Tfidf(input_col=text)
+    return model.fit(df) if isinstance(model, Estimator) else model
+
+
+def fit_multi_label(
+    df: DataFrame,
+    classes: Sequence[str] | None = None,
+    text: str = "text",
+    labels: str = "labels",
+    features: Estimator | PipelineModel | None = None,
+    classifier: Callable[[float], Estimator] = logistic,
+) -> MultiLabelModel:
+    """One balanced binary classifier per class (jobs)."""
+    names = list(classes) if classes is not None else label_classes(df, labels)
+    model = _fitted_features(df, text, features)
+
+    def costs(rows: int, ones: int) -> tuple[float, float]:
+        return rows / (2 * (rows - ones)), rows / (2 * ones)
+
+    hot = multi_hot(tfidf_transform(model, df), labels, names)
+    return MultiLabelModel(model, names, *_fit_binaries(hot, names, costs, classifier))
+
+
+def fit_one_vs_rest(
+    df: DataFrame,
+    text: str = "text",
+    label: str = "label",
+    features: Estimator | PipelineModel | None = None,
+    classifier: Callable[[float], Estimator] | None = None,
+) -> OneVsRestModel:
+    """Single-label model of one binary classifier per class (jobs).
+
+    A class weighs n / (classes * its rows) as the positive side and 1 among the rest;
+    with two classes both sides have their class weight.
+    """
+    names = label_classes(df, label)
+    if len(names) < 2:
+        raise ValueError("a classifier needs at least two classes")
+    model = _fitted_features(df, text, features)
+
+    def costs(rows: int, ones: int) -> tuple[float, float]:
+        positive = rows / (len(names) * ones)
+        return (rows / (2 * (rows - ones)) if len(names) == 2 else 1.0), positive
+
+    fitted = names[1:] if len(names) == 2 else names
+    hot = multi_hot(
+        tfidf_transform(model, df).withColumn("_own", F.array(label)), "_own", fitted
+    )
+    binary, _ = _fit_binaries(hot, fitted, costs, classifier or linear_svm)
+    return OneVsRestModel(model, names, binary)
 
 
 def evaluate_multi(model: MultiLabelModel, df: DataFrame, labels: str = "labels") -> dict:
@@ -291,7 +336,7 @@ def fit_linear_svm(df: DataFrame, label: str, text: str = "text", **options):
     """Balanced linear SVM; a label-list column gives a multi-label model."""
     if dict(df.dtypes)[label].startswith("array"):
         return fit_multi_label(df, text=text, labels=label, classifier=linear_svm, **options)
-    return fit_single_label(df, text=text, label=label, classifier=linear_svm, **options)
+    return fit_one_vs_rest(df, text=text, label=label, classifier=linear_svm, **options)
 
 
 def split_table(
@@ -320,7 +365,7 @@ def split_parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def compare_models(
     df: DataFrame,
-    candidates: Mapping[str, Callable[[int], Estimator]],
+    candidates: Mapping[str, Callable[[float], Estimator]],
     row_id: str,
     text: str = "text",
     label: str = "label",

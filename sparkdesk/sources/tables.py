@@ -44,7 +44,7 @@ CSV_OPTIONS = {
 
 
 def read_tickets_csv(spark: SparkSession, path: str, schema: T.StructType = TICKETS) -> DataFrame:
-    """CSV with header; bodies may hold newlines and quotes.
+    """CSV with header; bodies may hold newlines and quotes, empty cells are null.
 
     A multi-line CSV file is read by one task, so keep many files of moderate size
     (``write_csv`` makes one per partition) and convert large inputs to Parquet once.
