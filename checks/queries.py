@@ -687,13 +687,16 @@ def _loaded(spark, sf_dir, load) -> DataFrame:
 
 
 def _models(spark, sf_dir) -> scoring.TicketModels:
+    def fit(load, how):
+        return lambda: how(_loaded(spark, sf_dir, load))
+
+    jobs = [
+        fit(_category, training.fit_multi_label),
+        fit(_priority, training.fit_single_label),
+        fit(_intent, training.fit_single_label),
+    ]
     return once(
-        spark, sf_dir, "models",
-        lambda: scoring.TicketModels(
-            training.fit_multi_label(_loaded(spark, sf_dir, _category)),
-            training.fit_single_label(_loaded(spark, sf_dir, _priority)),
-            training.fit_single_label(_loaded(spark, sf_dir, _intent)),
-        ),
+        spark, sf_dir, "models", lambda: scoring.TicketModels(*training.run_parallel(jobs))
     )
 
 

@@ -24,7 +24,7 @@ from sparkdesk.operators.features import (
 from sparkdesk.operators.metrics import accuracy, macro_f1, micro_f1, subset_accuracy
 from sparkdesk.operators.sampling import split_random, split_size, split_stratified
 from sparkdesk.plans.loading import load_category, load_intent, load_priority
-from sparkdesk.session import materialize, remove_path
+from sparkdesk.session import iteration_table, materialize, remove_path
 from sparkdesk.sources.registry import REGISTRY, append_registry, load_model, save_model
 from sparkdesk.sources.tables import limit_rows
 
@@ -73,7 +73,7 @@ def balanced(counts: Mapping[object, int]) -> dict[object, float]:
     return {k: total / (len(counts) * n) for k, n in counts.items()}
 
 
-def _fit_many(jobs: Sequence[Callable[[], object]]) -> list:
+def run_parallel(jobs: Sequence[Callable[[], object]]) -> list:
     with ThreadPoolExecutor(min(PARALLEL_FITS, max(len(jobs), 1))) as pool:
         return list(pool.map(lambda job: job(), jobs))
 
@@ -131,6 +131,7 @@ def fit_single_label(
         "features", ids[F.col(label)].alias("label_id"), costs[F.col(label)].alias("weight")
     )
     table, path = materialize(rows, "features")
+    table = iteration_table(table, path)
     fitted = classifier(sum(counts.values())).fit(table)
     remove_path(df.sparkSession, path)
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
@@ -244,6 +245,7 @@ def _fit_binaries(
     ``costs`` gives the weight of a negative and of a positive row.
     """
     table, path = materialize(hot.select("features", "hot"), "features")
+    table = iteration_table(table, path)
     totals = table.agg(
         F.count("*").alias("rows"),
         *[F.sum(F.get("hot", i)).alias(f"n{i}") for i in range(len(names))],
@@ -264,7 +266,7 @@ def _fit_binaries(
         )
         estimator = classifier(negative * (rows - ones) + positive * ones)
         jobs[name] = lambda part=part, estimator=estimator: estimator.fit(part)
-    fitted = dict(zip(jobs, _fit_many(list(jobs.values()))))
+    fitted = dict(zip(jobs, run_parallel(list(jobs.values()))))
     remove_path(hot.sparkSession, path)
     return fitted, constant
 
@@ -440,16 +442,13 @@ def train_all(
     limit: int | None = None,
 ) -> DataFrame:
     """Train each given target under ``out`` and return its new registry rows (jobs)."""
-    results = [
-        train_target(
-            target,
-            LOADERS[target](limit_rows(sources[target], limit, row_id), keep=[row_id]),
-            f"{out}/{target}",
-            row_id,
-        )
-        for target in LOADERS
-        if target in sources
-    ]
+    def job(target: str) -> Callable[[], TrainingResult]:
+        rows = limit_rows(sources[target], limit, row_id)
+        loaded = LOADERS[target](rows, keep=[row_id])
+        return lambda: train_target(target, loaded, f"{out}/{target}", row_id)
+
+    # The targets do not depend on each other, so their jobs run side by side.
+    results = run_parallel([job(t) for t in LOADERS if t in sources])
     entries = spark.createDataFrame(
         [(r.target, r.model_type, r.path, r.rows, r.labels, r.metrics, r.dataset, None)
          for r in results],

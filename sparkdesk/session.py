@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 # Largest number of rows a table may have to be shipped to every executor.
 BROADCAST_ROWS = 100_000
 
+# Stored bytes per partition of a table that an iterative fit reads.
+ITERATION_BYTES = 32 << 20
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -62,14 +66,30 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
+def _hadoop_path(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def iteration_table(table: DataFrame, path: str) -> DataFrame:
+    """A written table in as few partitions as its size calls for.
+
+    Every pass of an iterative fit pays for each partition, so a small table is read
+    in a few; one of full-size splits keeps them all.
+    """
+    target, files = _hadoop_path(table.sparkSession, path)
+    wanted = max(1, math.ceil(files.getContentSummary(target).getLength() / ITERATION_BYTES))
+    return table.coalesce(wanted) if wanted < table.rdd.getNumPartitions() else table
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target, files = _hadoop_path(spark, path)
+    files.delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target, files = _hadoop_path(spark, path)
+    return files.exists(target)
 
 
 def spread(scan: DataFrame) -> DataFrame:
