@@ -38,6 +38,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def add_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters on it do not compute a second time.
+
+    A filter is pushed below a plain projection together with a copy of the expression;
+    it stays above a generated column.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -96,7 +105,7 @@ def add_text_column(
     def part(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit("")
 
-    return df.withColumn(out, combine_title_body(part(title), part(body))).where(
+    return add_once(df, out, combine_title_body(part(title), part(body))).where(
         F.length(out) > 0
     )
 

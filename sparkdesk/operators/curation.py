@@ -15,7 +15,8 @@ from sparkdesk.functions.labels import (
     resolve_groups,
     severity_priority,
 )
-from sparkdesk.functions.text import light_clean
+from sparkdesk.functions.text import add_once, light_clean
+from sparkdesk.session import small_side
 
 
 def drop_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -55,13 +56,13 @@ def map_labels_join(
 ) -> DataFrame:
     """Label mapping through an alias table of any size.
 
-    Each distinct label list is mapped once, so text columns never move for the
-    mapping and a list shared by a third of the rows is a single row in it. The
-    joins carry no hint: Spark broadcasts a side by its measured size and otherwise
-    splits hot keys (adaptive skew join).
+    Each distinct label list is mapped once, so a list shared by a third of the rows is a
+    single row of the mapping (job: counts the lists). With a mapping within the
+    broadcast bound the table itself does not move; beyond it the join shuffles, and
+    adaptive skew handling splits its hot keys.
     """
     lists = df.select(labels).where(F.col(labels).isNotNull()).distinct()
-    items = lists.select(labels, F.posexplode(labels).alias("pos", "label"))
+    items = lists.select(labels, F.posexplode_outer(labels).alias("pos", "label"))
     aliases = dim.select(F.lower(F.col(alias)).alias("alias"), F.col(group).alias("found"))
     found = items.join(aliases, F.lower(items["label"]) == aliases["alias"], "left").select(
         labels, F.struct("pos", group_or_unknown(F.col("found")).alias("group")).alias("item")
@@ -69,7 +70,7 @@ def map_labels_join(
     mapped = found.groupBy(labels).agg(
         resolve_groups(F.array_sort(F.collect_list("item"))["group"]).alias(out)
     )
-    return df.join(mapped, labels, "left").withColumn(
+    return df.join(small_side(mapped), labels, "left").withColumn(
         out, F.coalesce(F.col(out), F.array(F.lit(UNKNOWN)))
     )
 
@@ -85,7 +86,7 @@ def split_unknown(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
 
 def consolidate_rare(df: DataFrame, col: str) -> DataFrame:
     """Merge rare labels and drop the rows that lose all of theirs."""
-    return df.withColumn(col, consolidate_labels(F.col(col))).where(F.size(col) > 0)
+    return add_once(df, col, consolidate_labels(F.col(col))).where(F.size(col) > 0)
 
 
 def severity_to_priority(df: DataFrame, severity: str = "severity") -> DataFrame:
@@ -93,11 +94,16 @@ def severity_to_priority(df: DataFrame, severity: str = "severity") -> DataFrame
 
     Rows without a mapped severity, or without any text, are dropped.
     """
-    return (
+    mapped = (
         drop_null(df, [severity])
         .withColumn("priority", severity_priority(F.col(severity)))
         .where(F.col("priority").isNotNull())
-        .withColumns({c: light_clean(F.col(c)) for c in ("title", "body")})
-        .where((F.length("title") > 0) | (F.length("body") > 0))
         .drop(severity)
     )
+    cleaned = F.struct(*[light_clean(F.col(c)).alias(c) for c in ("title", "body")])
+    return (
+        add_once(mapped, "_clean", cleaned)
+        .where((F.length("_clean.title") > 0) | (F.length("_clean.body") > 0))
+        .withColumns({c: F.col(f"_clean.{c}") for c in ("title", "body")})
+        .drop("_clean")
+    )

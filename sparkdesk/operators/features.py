@@ -37,10 +37,12 @@ def term_stats(df: DataFrame, term_list: str) -> DataFrame:
     """``term, df, cf``: rows holding the term and its occurrences in all rows.
 
     Rows send one pair per distinct term into the partial aggregation; a term found
-    everywhere is reduced before the shuffle.
+    everywhere is reduced before the shuffle. (The outer form keeps Spark from counting
+    each row's terms a second time in an inferred filter.)
     """
     return (
-        df.select(F.inline(term_counts(F.col(term_list))))
+        df.select(F.inline_outer(term_counts(F.col(term_list))))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     )
@@ -221,7 +223,7 @@ def tfidf_long(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
     vector = F.unwrap_udt(F.col(out))
     entries = (
         tfidf_transform(model, df)
-        .select(row_id, F.inline(F.arrays_zip(vector["indices"], vector["values"])))
+        .select(row_id, F.inline_outer(F.arrays_zip(vector["indices"], vector["values"])))
         .toDF(row_id, "idx", "value")
     )
     words = vocabulary(model)
@@ -243,7 +245,7 @@ def label_classes(df: DataFrame, col: str) -> list[str]:
 
     Classes become model outputs, so a column with very many values is refused.
     """
-    values = F.explode(col) if dict(df.dtypes)[col].startswith("array") else F.col(col)
+    values = F.explode_outer(col) if dict(df.dtypes)[col].startswith("array") else F.col(col)
     found = df.select(values.alias("c")).where(F.col("c").isNotNull()).distinct()
     names = found.orderBy("c").limit(BROADCAST_ROWS + 1).toArrow()["c"].to_pylist()
     if len(names) > BROADCAST_ROWS:

@@ -35,7 +35,7 @@ def value_shares(df: DataFrame, col: str) -> DataFrame:
 
 
 def label_counts(df: DataFrame, col: str, n: int | None = 20) -> DataFrame:
-    return value_counts(df.select(F.explode(col).alias("label")), "label", n)
+    return value_counts(df.select(F.explode_outer(col).alias("label")), "label", n)
 
 
 def label_coverage(df: DataFrame, col: str, share: float = COVERAGE) -> DataFrame:
@@ -44,7 +44,12 @@ def label_coverage(df: DataFrame, col: str, share: float = COVERAGE) -> DataFram
     Labels with equal counts are taken together, so the running sum goes over the
     distinct counts and stays short however many labels there are.
     """
-    uses = df.select(F.explode(col).alias("label")).groupBy("label").agg(F.count("*").alias("c"))
+    uses = (
+        df.select(F.explode_outer(col).alias("label"))
+        .where(F.col("label").isNotNull())
+        .groupBy("label")
+        .agg(F.count("*").alias("c"))
+    )
     levels = uses.groupBy("c").agg(F.count("*").alias("labels"))
     running = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     upto, total = F.sum(F.col("c") * F.col("labels")), F.sum(F.col("c") * F.col("labels"))

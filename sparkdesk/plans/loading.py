@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdesk.functions.labels import normalize_items, normalize_label, parse_label_list
-from sparkdesk.functions.text import add_text_column, clean_text
+from sparkdesk.functions.text import add_once, add_text_column, clean_text
 from sparkdesk.sources.tables import require_columns
 
 
@@ -20,11 +20,8 @@ def load_category(
     column = F.col(f"`{labels}`")
     listed = dict(df.dtypes)[labels].startswith("array")
     parsed = normalize_items(F.coalesce(column, F.array())) if listed else parse_label_list(column)
-    return (
-        add_text_column(df)
-        .select(*keep, "text", parsed.alias("labels"))
-        .where(F.size("labels") > 0)
-    )
+    named = add_once(df, "labels", parsed).where(F.size("labels") > 0)
+    return add_text_column(named).select(*keep, "text", "labels")
 
 
 def load_priority(df: DataFrame, label: str = "priority", keep: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +37,6 @@ def load_priority(df: DataFrame, label: str = "priority", keep: Sequence[str] =
 def load_intent(df: DataFrame, label: str = "intent", keep: Sequence[str] = ()) -> DataFrame:
     """``keep + text, label`` from single utterances and their intent."""
     require_columns(df, ["text", label], "intent dataset")
-    return df.select(
-        *keep, clean_text(F.col("text")).alias("text"), normalize_label(F.col(label)).alias("label")
-    ).where((F.length("label") > 0) & (F.length("text") > 0))
+    named = df.select(*keep, "text", normalize_label(F.col(label)).alias("label"))
+    cleaned = add_once(named.where(F.length("label") > 0), "text", clean_text(F.col("text")))
+    return cleaned.where(F.length("text") > 0)
