@@ -61,7 +61,13 @@ def label_coverage(df: DataFrame, col: str, share: float = COVERAGE) -> DataFram
         total.over(Window.partitionBy()).alias("total"),
     ).withColumn("target", F.lit(share) * F.col("total"))
     before = F.col("upto") - F.col("c") * F.col("labels")
-    taken = F.ceil((F.col("target") - before) / F.col("c"))
+    near = F.ceil((F.col("target") - before) / F.col("c"))
+    # The division may round across a whole number: settle it on the sums themselves.
+    taken = (
+        F.when(before + (near - 1) * F.col("c") >= F.col("target"), near - 1)
+        .when(before + near * F.col("c") < F.col("target"), near + 1)
+        .otherwise(near)
+    )
     return (
         steps.where((F.col("upto") >= F.col("target")) & (before < F.col("target")))
         .select(

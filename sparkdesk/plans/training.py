@@ -119,10 +119,10 @@ def fit_single_label(
     """Balanced single-label classifier on TF-IDF features (jobs)."""
     if isinstance(classifier(1), LinearSVC):
         return fit_one_vs_rest(df, text, label, features, classifier)
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().toLocalIterator()}
-    labels = sorted(counts)
+    labels = label_classes(df, label)
     if len(labels) < 2:
         raise ValueError("a classifier needs at least two classes")
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     weights = balanced(counts)
     model = _fitted_features(df, text, features)
     ids = literal_map({x: float(i) for i, x in enumerate(labels)})
@@ -197,17 +197,17 @@ class MultiLabelModel:
         kept = [x for x in self.labels if x in self.binary]
         save_model(PipelineModel([self.features, *[self.binary[x] for x in kept]]), f"{path}/model")
         spark = SparkSession.getActiveSession()
-        rows = [(i, x, self.constant.get(x)) for i, x in enumerate(self.labels)]
-        spark.createDataFrame(rows, "position int, label string, constant double").coalesce(
-            1
-        ).write.mode("overwrite").parquet(f"{path}/labels")
+        rows = [(i, x, x in self.binary, self.constant.get(x)) for i, x in enumerate(self.labels)]
+        spark.createDataFrame(
+            rows, "position int, label string, fitted boolean, constant double"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> MultiLabelModel:
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MultiLabelModel:
         pipeline = load_model(spark, f"{path}/model")
         rows = spark.read.parquet(f"{path}/labels").orderBy("position").collect()
-        kept = [r["label"] for r in rows if r["constant"] is None]
-        return MultiLabelModel(
+        kept = [r["label"] for r in rows if r["fitted"]]
+        return cls(
             pipeline.stages[0],
             [r["label"] for r in rows],
             dict(zip(kept, pipeline.stages[1:])),

@@ -29,7 +29,7 @@ SETTINGS = {
 
 
 def build_session(app_name: str = "sparkdesk", **overrides: str) -> SparkSession:
-    """Cluster session; pass ``spark_x_y="v"`` style overrides as a dict via ``**``."""
+    """Session with the settings above, changed by ``**{"spark.some.key": "value"}``."""
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SETTINGS, **overrides}.items():
         builder = builder.config(key, value)

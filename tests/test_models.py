@@ -144,6 +144,17 @@ def test_comparison(raw):
     assert {r["model"]: r["accuracy"] for r in table.collect()} == {"logreg": 1.0, "svm": 1.0}
 
 
+def test_two_class_svm_roundtrip(spark, raw):
+    two = TR.load_intent(raw.where("intent <> 'get_refund'"), keep=["id"])
+    svm = TR.fit_linear_svm(two, "label", features=Tfidf(min_df=1, max_features=30))
+    assert list(svm.binary) == ["recover_password"]
+    path = work_path(spark, "svm")
+    svm.save(path)
+    again = TR.OneVsRestModel.load(spark, path)
+    assert isinstance(again, TR.OneVsRestModel)
+    assert TR.evaluate_single(again, two)["accuracy"] == 1.0
+
+
 def test_svm(raw):
     loaded = TR.load_intent(raw, keep=["id"])
     svm = TR.fit_linear_svm(loaded, "label", features=Tfidf(min_df=1, max_features=30))
