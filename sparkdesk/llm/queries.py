@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from sparkdesk.llm.chat import op8_chat_formatting, op8_sql
 from sparkdesk.llm.mixing import op9_mixing, op9_sql
+from sparkdesk.llm.quality_rules import op5_quality_rules
 from sparkdesk.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
 # Queries whose rows SQL can express; the others are tested against brute force.
 ORACLES = {
+    "op8_chat_formatting": op8_sql,
     "op9_mixing": op9_sql,
 }
