@@ -12,7 +12,7 @@ WINDOW = 5
 STATS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_chars", "n_lines", "n_upper", "n_letters", "n_marks", "n_runs",
-    "n_distinct", "longest_word",
+    "n_distinct",
 ]
 
 
@@ -75,7 +75,6 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.struct(
             F.size(w).alias("n"),
             F.size(F.array_distinct(w)).alias("distinct"),
-            F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)).alias("longest"),
             repeated_words(w).alias("repeat"),
         )
 
@@ -104,6 +103,5 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n_runs": F.col("n_chars") - F.col("no_runs"),
         "n_marks": F.col("n_chars") - F.col("no_marks"),
         "n_distinct": F.col("w.distinct"),
-        "longest_word": F.col("w.longest"),
     }
     return found.select("id", *[columns[c].cast("long").alias(c) for c in STATS])
