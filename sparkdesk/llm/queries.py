@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from sparkdesk.llm.bpe import op1_bpe
 from sparkdesk.llm.chat import op8_chat_formatting, op8_sql
 from sparkdesk.llm.mixing import op9_mixing, op9_sql
 from sparkdesk.llm.quality_rules import op5_quality_rules
 from sparkdesk.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
