@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkdesk.llm.bpe import op1_bpe
 from sparkdesk.llm.chat import op8_chat_formatting, op8_sql
+from sparkdesk.llm.lattice import op4_embeddings
 from sparkdesk.llm.mixing import op9_mixing, op9_sql
 from sparkdesk.llm.quality_rules import op5_quality_rules
 from sparkdesk.llm.rule_ensemble import op6_rule_ensemble
@@ -12,6 +13,7 @@ from sparkdesk.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_embeddings": op4_embeddings,
     "op5_quality_rules": op5_quality_rules,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_toxicity": op7_toxicity,
