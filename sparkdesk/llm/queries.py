@@ -6,6 +6,7 @@ from sparkdesk.llm.bpe import op1_bpe
 from sparkdesk.llm.chat import op8_chat_formatting, op8_sql
 from sparkdesk.llm.lattice import op4_embeddings
 from sparkdesk.llm.mixing import op9_mixing, op9_sql
+from sparkdesk.llm.ngram_join import op2_ngram_join
 from sparkdesk.llm.quality_rules import op5_quality_rules
 from sparkdesk.llm.rule_ensemble import op6_rule_ensemble
 from sparkdesk.llm.sharding import op10_sharding
@@ -13,6 +14,7 @@ from sparkdesk.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op4_embeddings": op4_embeddings,
     "op5_quality_rules": op5_quality_rules,
     "op6_rule_ensemble": op6_rule_ensemble,
