@@ -254,16 +254,25 @@ def jaccard_components(
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, of: int = 80
 ) -> DataFrame:
-    """One row of each group of linked documents, the one with the smallest id; rows that share
-    an id and are all that remains of a group are kept once. Documents without words stay."""
-    found = jaccard_components(docs, id_col, text_col, n, of)
-    first = found.where((F.col("id") == F.col("component_id")) & (F.col("size") > 0))
-    (of_id,) = fresh(docs.columns, "kept_id")
-    first = first.select(F.col("id").alias(of_id)).distinct()
-    has_word = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    with_words = docs.where(has_word & F.col(id_col).isNotNull())
-    kept = with_words.join(first, F.col(id_col) == F.col(of_id), "left_semi").dropDuplicates([id_col])
-    return kept.unionAll(docs.where(~has_word | F.col(id_col).isNull()))
+    """The row with the smallest id of each group of linked documents; unknown ids come last,
+    and of rows with equal ids and texts one stays. Documents without words all stay."""
+    text = F.col(text_col).cast("string")
+    key, of_key = fresh(docs.columns, "row_key", "kept_key")
+    keyed = docs.withColumn(
+        key,
+        F.struct(
+            F.col(id_col).isNull().alias("unknown"),
+            F.col(id_col).alias("id"),
+            F.xxhash64(text).alias("mark"),
+        ),
+    )
+    linked = link_sets(keyed.select(F.col(key).alias("id"), text.alias("text")), n, of)
+    first = linked.where(F.col("component").isNotNull()).groupBy("component").agg(
+        F.min("id").alias(of_key)
+    )
+    has_word = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(has_word).join(first, F.col(key) == F.col(of_key), "left_semi")
+    return kept.dropDuplicates([key]).drop(key).unionAll(docs.where(~has_word))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkdesk.llm.bpe import op1_bpe
 from sparkdesk.llm.chat import op8_chat_formatting, op8_sql
 from sparkdesk.llm.lattice import op4_embeddings
+from sparkdesk.llm.line_dedup import op3_line_dedup, op3_sql
 from sparkdesk.llm.mixing import op9_mixing, op9_sql
 from sparkdesk.llm.ngram_join import op2_ngram_join
 from sparkdesk.llm.quality_rules import op5_quality_rules
@@ -15,6 +16,7 @@ from sparkdesk.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_embeddings": op4_embeddings,
     "op5_quality_rules": op5_quality_rules,
     "op6_rule_ensemble": op6_rule_ensemble,
@@ -26,6 +28,7 @@ QUERIES = {
 
 # Queries whose rows SQL can express; the others are tested against brute force.
 ORACLES = {
+    "op3_line_dedup": op3_sql,
     "op8_chat_formatting": op8_sql,
     "op9_mixing": op9_sql,
 }
