@@ -130,12 +130,18 @@ def format_chats(
     """(conv_id, formatted, loss, n_blocks): one row per conversation."""
     row = F.struct(
         F.col(turn_col).alias("turn"),
-        escape_role(whole(F.col(role_col)), controls).alias("role"),
-        escape(whole(F.col(text_col)), controls).alias("text"),
+        whole(F.col(role_col)).alias("role"),
+        whole(F.col(text_col)).alias("text"),
     )
     chats = turns.select(F.col(id_col).alias("conv_id"), row.alias("row"))
     chats = chats.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    blocks = F.aggregate("rows", F.array().cast(f"array<{BLOCK}>"), _merge)
+    escaped = F.transform(
+        "rows",
+        lambda r: F.struct(
+            escape_role(r["role"], controls).alias("role"), escape(r["text"], controls).alias("text")
+        ),
+    )
+    blocks = F.aggregate(escaped, F.array().cast(f"array<{BLOCK}>"), _merge)
     chats = chats.select("conv_id", blocks.alias("blocks"))
     pieces = F.transform(
         "blocks",
