@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text table for heavy per-row work."""
-    return read_table(spark, f"{sf_dir}/{name}.parquet", heavy=True)
+    cores = spark.sparkContext.defaultParallelism
+    return read_table(spark, f"{sf_dir}/{name}.parquet", partitions=cores)
 
 
 def tickets_page(spark, sf_dir):
@@ -112,6 +113,9 @@ ALIASES = {
     "brand#16": "duplicate_existing",
     "blue": "ui_ux",
     "hot": "other",
+    # labels are compared in lower case, aliases as they stand: never found
+    "Gear": "bug",
+    "COLD": "question",
 }
 
 
@@ -233,6 +237,7 @@ SELECT event_id AS id, ts AS timestamp, 'Ticket ' || repeat(props, 8) AS title,
   'user_intent_' || (user_id % 7) AS intent, (event_id % 50) / 50 AS intent_conf,
   event_type AS top_category, value AS latency_ms
 FROM events"""
+TIED_HISTORY = f"SELECT * REPLACE (date_trunc('hour', timestamp) AS timestamp) FROM ({HISTORY})"
 
 
 def decoded(spark, sf_dir):

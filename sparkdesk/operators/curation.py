@@ -15,17 +15,16 @@ from sparkdesk.functions.labels import (
     resolve_groups,
     severity_priority,
 )
-from sparkdesk.functions.text import add_once, light_clean
-from sparkdesk.session import small_side
+from sparkdesk.functions.text import NOT_WS, add_once, light_clean
 
 
 def drop_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Drop rows where any listed text is blank or any listed array is empty."""
+    """Drop rows where any listed text is Unicode white space alone, or any array is empty."""
     kinds = dict(df.dtypes)
     for name in cols:
         column = F.col(f"`{name}`")
-        filled = F.size(column) if kinds[name].startswith("array") else F.length(F.trim(column))
-        df = df.where(filled > 0)
+        is_array = kinds[name].startswith("array")
+        df = df.where(F.size(column) > 0 if is_array else column.rlike(NOT_WS))
     return df
 
 
@@ -56,21 +55,21 @@ def map_labels_join(
 ) -> DataFrame:
     """Label mapping through an alias table of any size.
 
-    Each distinct label list is mapped once, so a list shared by a third of the rows is a
-    single row of the mapping (job: counts the lists). With a mapping within the
-    broadcast bound the table itself does not move; beyond it the join shuffles, and
-    adaptive skew handling splits its hot keys.
+    Labels are compared in lower case with the aliases as they stand; an alias given twice
+    contributes both groups. Each distinct label list is mapped once, so a list shared by a
+    third of the rows is a single row of the mapping; the join back is broadcast or shuffled
+    by its size at run time, and adaptive skew handling splits its hot keys.
     """
     lists = df.select(labels).where(F.col(labels).isNotNull()).distinct()
     items = lists.select(labels, F.posexplode_outer(labels).alias("pos", "label"))
-    aliases = dim.select(F.lower(F.col(alias)).alias("alias"), F.col(group).alias("found"))
+    aliases = dim.select(F.col(alias).alias("alias"), F.col(group).alias("found"))
     found = items.join(aliases, F.lower(items["label"]) == aliases["alias"], "left").select(
         labels, F.struct("pos", group_or_unknown(F.col("found")).alias("group")).alias("item")
     )
     mapped = found.groupBy(labels).agg(
         resolve_groups(F.array_sort(F.collect_list("item"))["group"]).alias(out)
     )
-    return df.join(small_side(mapped), labels, "left").withColumn(
+    return df.join(mapped, labels, "left").withColumn(
         out, F.coalesce(F.col(out), F.array(F.lit(UNKNOWN)))
     )
 

@@ -18,12 +18,11 @@ from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdesk.functions.tokens import stop_words, term_counts, terms
-from sparkdesk.session import BROADCAST_ROWS
 
 # Vocabulary settings of the ticket classifiers.
 NGRAMS = (1, 2)
@@ -204,8 +203,13 @@ class Tfidf(Estimator):
 
 
 def tfidf_transform(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` plus the feature column, without the columns of the steps between."""
+    """``df`` plus the feature column, without the columns of the steps between.
+
+    A table that has the column already is returned as it is.
+    """
     out = model.stages[-1].getOutputCol()
+    if out in df.columns:
+        return df
     return model.transform(df).select(*df.columns, out)
 
 
@@ -243,14 +247,15 @@ def feature_union(df: DataFrame, cols: Sequence[str], out: str = "features") ->
 def label_classes(df: DataFrame, col: str) -> list[str]:
     """Sorted class names of a label or label-list column (job).
 
-    Classes become model outputs, so a column with very many values is refused.
+    Classes become model outputs, so the caller holds one model or score per name anyway.
     """
+    return label_table(df, col).orderBy("c").toArrow()["c"].to_pylist()
+
+
+def label_table(df: DataFrame, col: str) -> DataFrame:
+    """Distinct labels of a label or label-list column, as ``c``."""
     values = F.explode_outer(col) if dict(df.dtypes)[col].startswith("array") else F.col(col)
-    found = df.select(values.alias("c")).where(F.col("c").isNotNull()).distinct()
-    names = found.orderBy("c").limit(BROADCAST_ROWS + 1).toArrow()["c"].to_pylist()
-    if len(names) > BROADCAST_ROWS:
-        raise ValueError(f"column {col} has more than {BROADCAST_ROWS} classes")
-    return names
+    return df.select(values.alias("c")).where(F.col("c").isNotNull()).distinct()
 
 
 def multi_hot(
@@ -267,12 +272,13 @@ def multi_hot(
 
 
 def label_index(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
-    """Number the sorted distinct labels from 0 and add the number (job)."""
-    names = label_classes(df, label)
-    ids = df.sparkSession.createDataFrame(
-        [(c, i) for i, c in enumerate(names)], f"`{label}` string, `{out}` int"
-    )
-    return df.join(F.broadcast(ids), label, "left")
+    """Number the sorted distinct labels from 0 and add the number.
+
+    The window sees one row per distinct label.
+    """
+    place = F.row_number().over(Window.orderBy("c")) - 1
+    ids = label_table(df, label).select(F.col("c").alias(label), place.alias(out))
+    return df.join(ids, label, "left")
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -99,10 +99,14 @@ def distribution(df: DataFrame, col: str, display: bool = False) -> DataFrame:
 
 
 def recent_predictions(df: DataFrame, n: int | None = None) -> DataFrame:
-    """History rows under their dashboard headings, oldest first; ``n`` keeps the newest."""
+    """History rows under their dashboard headings; ``n`` keeps the newest, oldest first.
+
+    Rows of one time are told apart by their other columns. Without ``n`` nothing is sorted.
+    """
     if n is not None:
-        df = df.orderBy(F.desc("timestamp")).limit(n)
-    return df.orderBy("timestamp").select(
+        rest = ["title", "priority", "intent", "top_category", "latency_ms"]
+        df = df.orderBy(F.desc("timestamp"), *rest).limit(n).orderBy("timestamp", *rest)
+    return df.select(
         F.date_format("timestamp", "HH:mm:ss").alias("Time"),
         truncate_title(F.col("title")).alias("Title"),
         F.col("priority").alias("Priority"),

@@ -24,13 +24,13 @@ from sparkdesk.operators.features import (
 from sparkdesk.operators.metrics import accuracy, macro_f1, micro_f1, subset_accuracy
 from sparkdesk.operators.sampling import split_random, split_size, split_stratified
 from sparkdesk.plans.loading import load_category, load_intent, load_priority
-from sparkdesk.session import iteration_table, materialize, remove_path
+from sparkdesk.session import materialize, remove_path, written
 from sparkdesk.sources.registry import REGISTRY, append_registry, load_model, save_model
 from sparkdesk.sources.tables import limit_rows
 
 SEED = 42
 # Stop once an iteration gains less than this share of the loss.
-TOLERANCE = 1e-4
+TOLERANCE = 1e-7
 # Model jobs submitted at once; each of them is a distributed job of its own.
 PARALLEL_FITS = 8
 
@@ -41,8 +41,9 @@ MULTI_TYPE = "TF-IDF + OneVsRest LogisticRegression"
 def logistic(total: float, weight: str = "weight", max_iter: int = 1000, c: float = 1.0):
     """L2 logistic regression with inverse strength ``c``.
 
-    ``total`` is the summed row weight. The summed loss with weight ``c`` against half the squared norm is Spark's mean loss
-    with regularisation 1 / (c * total weight); balanced weights add up to the rows.
+    ``total`` is the summed row weight. The summed loss with weight ``c`` against half the
+    squared norm is Spark's mean loss with regularisation 1 / (c * total weight); balanced
+    weights add up to the rows.
     """
     return LogisticRegression(
         featuresCol="features",
@@ -78,6 +79,13 @@ def run_parallel(jobs: Sequence[Callable[[], object]]) -> list:
         return list(pool.map(lambda job: job(), jobs))
 
 
+def _featured(stages: Sequence, df: DataFrame) -> DataFrame:
+    """``df`` through the feature stages, unless it has their vectors already."""
+    if stages[-1].getOutputCol() in df.columns:
+        return df
+    return PipelineModel(list(stages)).transform(df)
+
+
 # Single label
 
 @dataclass
@@ -92,13 +100,13 @@ class SingleLabelModel:
         *features, classifier, _ = self.pipeline.stages
         quiet = classifier.copy().setProbabilityCol(f"{out}_vector")
         quiet.setRawPredictionCol("").setPredictionCol("")
-        scored = quiet.transform(PipelineModel(features).transform(df))
+        scored = quiet.transform(_featured(features, df))
         return scored.select(*df.columns, vector_to_array(f"{out}_vector").alias(out))
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        return self.pipeline.transform(df).select(
-            *df.columns, F.col("predicted_label").alias(out)
-        )
+        *features, classifier, names = self.pipeline.stages
+        scored = PipelineModel([classifier, names]).transform(_featured(features, df))
+        return scored.select(*df.columns, F.col("predicted_label").alias(out))
 
     def save(self, path: str) -> None:
         save_model(self.pipeline, path)
@@ -130,17 +138,17 @@ def fit_single_label(
     rows = tfidf_transform(model, df).select(
         "features", ids[F.col(label)].alias("label_id"), costs[F.col(label)].alias("weight")
     )
-    table, path = materialize(rows, "features")
-    table = iteration_table(table, path)
-    fitted = classifier(sum(counts.values())).fit(table)
-    remove_path(df.sparkSession, path)
+    with written(rows, "features") as table:
+        fitted = classifier(sum(counts.values())).fit(table)
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
     return SingleLabelModel(PipelineModel([*model.stages, fitted, names]), labels)
 
 
 def evaluate_single(model: SingleLabelModel, df: DataFrame, label: str = "label") -> dict:
+    """Accuracy and macro F1 of one pass over the rows (job)."""
     scored = model.predict(df).select(F.col(label).alias("y"), "p")
-    return {"accuracy": _value(accuracy(scored)), "macro_f1": _value(macro_f1(scored))}
+    with written(scored, "judged") as judged:
+        return {"accuracy": _value(accuracy(judged)), "macro_f1": _value(macro_f1(judged))}
 
 
 def _value(df: DataFrame) -> float:
@@ -163,7 +171,7 @@ class MultiLabelModel:
 
     def _binary_scores(self, df: DataFrame, out: str) -> tuple[DataFrame, dict[str, Column]]:
         """Probability, or decision value, of each binary classifier."""
-        scored, found = self.features.transform(df), {}
+        scored, found = _featured(self.features.stages, df), {}
         for i, (label, model) in enumerate(self.binary.items()):
             quiet, name = model.copy().setPredictionCol(""), f"{out}_{i}"
             if quiet.hasParam("probabilityCol"):
@@ -244,8 +252,11 @@ def _fit_binaries(
     The features are computed once into a table, and the fits read it side by side.
     ``costs`` gives the weight of a negative and of a positive row.
     """
-    table, path = materialize(hot.select("features", "hot"), "features")
-    table = iteration_table(table, path)
+    with written(hot.select("features", "hot"), "features") as table:
+        return _fit_table(table, names, costs, classifier)
+
+
+def _fit_table(table: DataFrame, names, costs, classifier):
     totals = table.agg(
         F.count("*").alias("rows"),
         *[F.sum(F.get("hot", i)).alias(f"n{i}") for i in range(len(names))],
@@ -267,7 +278,6 @@ def _fit_binaries(
         estimator = classifier(negative * (rows - ones) + positive * ones)
         jobs[name] = lambda part=part, estimator=estimator: estimator.fit(part)
     fitted = dict(zip(jobs, run_parallel(list(jobs.values()))))
-    remove_path(hot.sparkSession, path)
     return fitted, constant
 
 
@@ -326,10 +336,11 @@ def fit_one_vs_rest(
 
 def evaluate_multi(model: MultiLabelModel, df: DataFrame, labels: str = "labels") -> dict:
     scored = model.predict(df).select(F.col(labels).alias("y"), "p")
-    return {
-        "micro_f1": _value(micro_f1(scored, model.labels)),
-        "macro_f1": _value(macro_f1(scored, model.labels)),
-    }
+    with written(scored, "judged") as judged:
+        return {
+            "micro_f1": _value(micro_f1(judged, model.labels)),
+            "macro_f1": _value(macro_f1(judged, model.labels)),
+        }
 
 
 # Comparison and the training driver
@@ -349,16 +360,14 @@ def split_table(
     The loader's text work runs once, before the passes of the split. Label lists
     split at random, single labels by class.
     """
-    loaded, loaded_path = materialize(df, "loaded")
-    if test is None:
-        test = split_size(loaded.count())
-    if dict(df.dtypes)[label].startswith("array"):
-        split = split_random(loaded, row_id, SEED, test)
-    else:
-        split = split_stratified(loaded, row_id, label, SEED, test)
-    table, path = materialize(split, "split")
-    remove_path(df.sparkSession, loaded_path)
-    return table, path
+    with written(df, "loaded") as loaded:
+        if test is None:
+            test = split_size(loaded.count())
+        if dict(df.dtypes)[label].startswith("array"):
+            split = split_random(loaded, row_id, SEED, test)
+        else:
+            split = split_stratified(loaded, row_id, label, SEED, test)
+        return materialize(split, "split")
 
 
 def split_parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -372,28 +381,31 @@ def compare_models(
     text: str = "text",
     label: str = "label",
     test: float | int | None = None,
+    features: Estimator | None = None,
 ) -> DataFrame:
-    """``model, accuracy, macro_f1`` of each candidate on one split and one vocabulary."""
+    """``model, accuracy, macro_f1`` of each candidate on one split and one feature table.
+
+    ``features`` replaces the default text features, such as a ``Tfidf`` with other n-grams,
+    document-frequency bounds or stop words. They are fitted on the training rows.
+    """
     multi = dict(df.dtypes)[label].startswith("array")
     table, path = split_table(df, row_id, label, test)
-    train, held = split_parts(table)
-    features = Tfidf(input_col=text).fit(train)
     results = []
-    for name, classifier in candidates.items():
-        if multi:
-            model = fit_multi_label(
-                train, text=text, labels=label, features=features, classifier=classifier
-            )
-            scored = model.predict(held).select(F.col(label).alias("y"), "p")
-            scores = (subset_accuracy(scored), macro_f1(scored, model.labels))
-        else:
-            model = fit_single_label(
-                train, text=text, label=label, features=features, classifier=classifier
-            )
-            scored = model.predict(held).select(F.col(label).alias("y"), "p")
-            scores = (accuracy(scored), macro_f1(scored))
-        results.append((name, *[_value(s) for s in scores]))
-    remove_path(df.sparkSession, path)
+    try:
+        fitted = (features or Tfidf(input_col=text)).fit(table.where(~F.col("is_test")))
+        with written(tfidf_transform(fitted, table), "compared") as vectors:
+            train, held = split_parts(vectors)
+            for name, classifier in candidates.items():
+                fit, of = (fit_multi_label, "labels") if multi else (fit_single_label, "label")
+                model = fit(train, text=text, features=fitted, classifier=classifier, **{of: label})
+                scored = model.predict(held).select(F.col(label).alias("y"), "p")
+                if multi:
+                    scores = (subset_accuracy(scored), macro_f1(scored, model.labels))
+                else:
+                    scores = (accuracy(scored), macro_f1(scored))
+                results.append((name, *[_value(s) for s in scores]))
+    finally:
+        remove_path(df.sparkSession, path)
     return df.sparkSession.createDataFrame(
         results, "model string, accuracy double, macro_f1 double"
     )
@@ -417,16 +429,18 @@ def train_target(
     multi = "labels" in df.columns
     label = "labels" if multi else "label"
     table, path = split_table(df, row_id, label)
-    rows, names = table.count(), label_classes(table, label)
-    train, held = split_parts(table)
-    if multi:
-        model = fit_multi_label(train, names)
-        metrics = evaluate_multi(model, held)
-    else:
-        model = fit_single_label(train)
-        metrics = evaluate_single(model, held)
-    model.save(out)
-    remove_path(df.sparkSession, path)
+    try:
+        rows, names = table.count(), label_classes(table, label)
+        train, held = split_parts(table)
+        if multi:
+            model = fit_multi_label(train, names)
+            metrics = evaluate_multi(model, held)
+        else:
+            model = fit_single_label(train)
+            metrics = evaluate_single(model, held)
+        model.save(out)
+    finally:
+        remove_path(df.sparkSession, path)
     kind = MULTI_TYPE if multi else SINGLE_TYPE
     return TrainingResult(target, out, rows, names, metrics, kind, dataset)
 

@@ -1,20 +1,15 @@
-"""Session settings, the shared work folder and size-checked broadcasts."""
+"""Session settings and the shared work folder."""
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a table may have to be shipped to every executor.
-BROADCAST_ROWS = 100_000
-
-# Stored bytes per partition of a table that an iterative fit reads.
-ITERATION_BYTES = 32 << 20
-
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -36,6 +31,10 @@ def build_session(app_name: str = "sparkdesk", **overrides: str) -> SparkSession
     return builder.getOrCreate()
 
 
+# Throw-away folders of local sessions that name none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
 
@@ -46,9 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="sparkdesk-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="sparkdesk-")
+    return _LOCAL_DIRS[app]
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
@@ -71,17 +71,6 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def iteration_table(table: DataFrame, path: str) -> DataFrame:
-    """A written table in as few partitions as its size calls for.
-
-    Every pass of an iterative fit pays for each partition, so a small table is read
-    in a few; one of full-size splits keeps them all.
-    """
-    target, files = _hadoop_path(table.sparkSession, path)
-    wanted = max(1, math.ceil(files.getContentSummary(target).getLength() / ITERATION_BYTES))
-    return table.coalesce(wanted) if wanted < table.rdd.getNumPartitions() else table
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     target, files = _hadoop_path(spark, path)
     files.delete(target, True)
@@ -92,22 +81,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a plain table scan over all cores when it has fewer splits than cores.
-
-    A table written as a few big row groups would otherwise keep most cores idle during
-    text work. A scan with enough splits is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast join side if it holds at most ``max_rows`` rows (job).
-
-    A larger table is returned as it is, and the join shuffles.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+@contextmanager
+def written(df: DataFrame, tag: str) -> Iterator[DataFrame]:
+    """``materialize`` for the length of a block; the table goes even if the block fails."""
+    table, path = materialize(df, tag)
+    try:
+        yield table
+    finally:
+        remove_path(df.sparkSession, path)

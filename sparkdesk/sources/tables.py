@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdesk.functions.decode import label_array
-from sparkdesk.session import spread
 
 RAW_ISSUES = T.StructType(
     [T.StructField("id", T.LongType())]
@@ -52,10 +51,10 @@ def read_tickets_csv(spark: SparkSession, path: str, schema: T.StructType = TICK
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
-    """Parquet scan; ``heavy`` text work on a table of few splits uses all cores."""
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Parquet scan; ``partitions`` deals the rows out anew, for heavy work on a few splits."""
     df = spark.read.parquet(path)
-    return spread(df) if heavy else df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def write_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None) -> None:

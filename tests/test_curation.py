@@ -12,9 +12,8 @@ def test_map_labels_join_equals_the_map(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, labels array<string>")
     dim = spark.createDataFrame(list(mapping.items()), "alias string, group string")
     got = {r["id"]: r["mapped"] for r in C.map_labels_join(df, dim).collect()}
-    lower = {k.lower(): v for k, v in mapping.items()}
     want = {r["id"]: r["m"] for r in df.select(
-        "id", F.coalesce(map_labels(F.col("labels"), lower), F.array(F.lit("unknown"))).alias("m")
+        "id", F.coalesce(map_labels(F.col("labels"), mapping), F.array(F.lit("unknown"))).alias("m")
     ).collect()}
     assert got == want and len(got) == 55
     assert got[2] == ["ui_ux", "bug"]

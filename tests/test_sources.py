@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdesk.session import materialize, remove_path, shared_dir, small_side, spread, work_path
+from sparkdesk.session import materialize, remove_path, shared_dir, work_path, written
 from sparkdesk.sources import registry as G
 from sparkdesk.sources import tables as S
 
@@ -95,17 +95,15 @@ def test_work_folder_comes_from_the_session(spark):
     remove_path(spark, path)
 
 
-def test_small_side_checks_the_size(spark):
-    big = spark.range(100)
-    assert small_side(big, 99) is big
-    side = small_side(big, 100)
-    joined = spark.range(100_000).join(side, "id")
-    assert joined.count() == 100
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+def test_written_tables_go_with_their_block(spark):
+    with written(spark.range(5), "x") as table:
+        assert table.count() == 5
+        path = table.inputFiles()[0]
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
 
 
-def test_spread_only_touches_small_tables(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
+def test_partitions_are_an_argument(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    assert S.read_table(spark, path, partitions=5).rdd.getNumPartitions() == 5
+    assert S.read_table(spark, path).count() == S.read_table(spark, path, partitions=5).count()
