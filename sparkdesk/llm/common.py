@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdesk.session import materialize, remove_path
+
 # Words are runs of anything but blank, tab, newline, vertical tab, form feed and return.
 SPACE = r"[\x20\x09-\x0D]+"
 HASH_BITS = 48
@@ -47,3 +49,32 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Steps:
+    """Intermediate tables in the shared folder.
+
+    A step's shuffle files go when its table is written, and a table goes when a later one
+    makes it needless; large steps then don't add up on the executors' disks.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            table, path = materialize(df, tag)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
+        self.paths.setdefault(tag, []).append(path)
+        return table
+
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            for path in self.paths.pop(tag, []):
+                remove_path(self.spark, path)

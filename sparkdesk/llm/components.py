@@ -9,10 +9,12 @@ the join's skew handling. Each round is written to the shared folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdesk.session import materialize
+from sparkdesk.llm.common import Steps
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -43,14 +45,15 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    state, _ = materialize(links.distinct(), "links")
-    before = None
-    while True:
+    steps = Steps(links.sparkSession)
+    state, before = steps.write(links.distinct(), "links0"), None
+    for turn in itertools.count(1):
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == before or now[0] == 0:
             break
         before = now
-        state, _ = materialize(_small_star(_large_star(state)).distinct(), "links")
+        state = steps.write(_small_star(_large_star(state)).distinct(), f"links{turn}")
+        steps.drop(f"links{turn - 1}")
     members = state.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return members.unionAll(
         state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

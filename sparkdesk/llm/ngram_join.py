@@ -3,14 +3,15 @@
 The global order of n-grams is the order of their hashes. It is cut into fragments; a
 document's set falls into one part per fragment. Two documents with a Jaccard similarity of at
 least t differ in d shingles at most, so of many fragments all but d agree. A document
-files its first d + 1 parts that aren't empty: two similar documents share one of those, since
-among the leading fragments that either of them files at most d differ. Documents with too few
-filled parts also file the leading shingles that a prefix filter needs. Both are exact; what d
-is follows from a range of set sizes, and a document files parts for every range in which a
-partner may be the smaller one.
+files its first d + 1 parts that aren't empty, d by its own size: two similar documents share
+one of those, since among the leading fragments that both of them file at most d differ.
+Documents with too few filled parts also file the leading shingles that a prefix filter needs.
+Both are exact. The number of fragments follows from a range of set sizes, and a document files
+parts for its own range and for a lower one in which partners may be.
 
-Documents that share a part are compared: every pair's overlap is counted in each of a few
-wide fragments on its own, and the partial overlaps are summed per pair.
+Documents that share a part are compared: a pair's overlap is counted in each of a few wide
+fragments on its own, and the partial overlaps are summed per pair. The leading fragments are
+counted first; a pair that differs too much in them already is not compared further.
 
 Equal sets are one node. A shared part first links its documents with its smallest and its
 largest node only; pairs inside a component that has formed are not compared, as they add no
@@ -29,18 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdesk.llm.common import fresh, read
+from sparkdesk.llm.common import Steps, fresh, read, same
 from sparkdesk.llm.components import components
 from sparkdesk.llm.shingles import mixed, shingle_sets
-from sparkdesk.session import materialize
 
 # Set sizes of one range differ by this factor at most.
 RANGE = 1.5
-# Fragments that overlaps are counted in.
-COUNTED = 8
+# Fragments that overlaps are counted in, and those of them that are counted first.
+COUNTED, LEADING = 8, 2
 BATCH_ROWS = 512
 
 
@@ -49,7 +49,7 @@ class Filing:
 
     def __init__(self, of: int):
         self.of = of
-        self.ranges: list[tuple[int, int, int, int]] = []  # smallest, largest, d, fragments
+        self.ranges: list[tuple[int, int, int]] = []  # smallest and largest size, fragments
         self._upto = 1
 
     def _grow(self, size: int) -> None:
@@ -57,28 +57,33 @@ class Filing:
             low = self._upto
             high = max(low, int(low * RANGE))
             d = high * (100 - self.of) // self.of
-            self.ranges.append((low, high, d, d + d // 2 + 4 if d else 1))
+            self.ranges.append((low, high, d + d // 4 + 2 if d else 1))
             self._upto = high + 1
 
     def parts(self, found: np.ndarray) -> np.ndarray:
         """64-bit numbers of the filed parts of a set of sorted hashes."""
-        size = len(found)
+        size, of = len(found), self.of
         self._grow(size)
         out = []
         top = found >> np.uint64(32)
         for level in range(len(self.ranges) - 1, -1, -1):
-            low, high, d, fragments = self.ranges[level]
+            low, high, fragments = self.ranges[level]
             if low > size:
                 continue
-            if high * 100 < size * self.of:  # all partners of this range are too small
+            if high * 100 < size * of:  # all partners of this range are too small
                 break
+            # the largest difference from a partner: of any size in the own range, else the smaller
+            d = size * (100 - of) // of if size <= high else (size + high) * (100 - of) // (100 + of)
             place = (top * np.uint64(fragments)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            sums = np.add.reduceat(mixed(found), first)
+            short = len(first) <= d
+            upto = size if short or len(first) == d + 1 else int(first[d + 1])
+            first = first[: d + 1]
+            sums = np.add.reduceat(mixed(found[:upto]), first)
             key = np.uint64((level << 32) + 1) + place[first]
-            out.append(mixed(mixed(sums) ^ mixed(key))[: d + 1])
-            if len(first) <= d:
-                leading = size - -(-size * self.of // 100) + 1
+            out.append(mixed(mixed(sums) ^ mixed(key)))
+            if short:
+                leading = size - -(-size * of // 100) + 1
                 out.append(mixed(found[:leading] + np.uint64(level) + _PREFIX))
         return np.concatenate(out)
 
@@ -90,6 +95,20 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def set_name(found: np.ndarray) -> int | None:
+    """A set's 64-bit number, none for the empty set."""
+    if not len(found):
+        return None
+    whole = np.add.reduce(mixed(found), keepdims=True) + mixed(np.uint64([len(found)]))
+    return int(mixed(whole).view(np.int64)[0])
+
+
+def _list_of(pieces: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+    flat = np.concatenate([*pieces, np.empty(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
     """(id, size, node, parts) of documents (id, text); ``node`` names the set, null if empty."""
 
@@ -99,21 +118,12 @@ def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 sets = shingle_sets(_texts(part.column(1)), n)
-                nodes = [
-                    int(mixed(np.add.reduce(mixed(s)) + mixed(np.uint64([len(s)])))[0].view(np.int64))
-                    if len(s)
-                    else None
-                    for s in sets
-                ]
-                parts = [filing.parts(s) if len(s) else np.empty(0, np.uint64) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                flat = np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(nodes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.array([set_name(s) for s in sets], pa.int64()),
+                        _list_of([filing.parts(s) if len(s) else s for s in sets]),
                     ],
                     ["id", "size", "node", "parts"],
                 )
@@ -125,60 +135,76 @@ def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
 
 
 def wide_fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(node, size, fragment, part) of documents (node, size, text): sets in wide fragments."""
+    """(node, size, leading, rest) of documents (node, size, text): a set's parts in wide
+    fragments. Rows whose text has another set than ``node`` are left out."""
+    bounds = [np.uint64(i * (1 << 64) // COUNTED) for i in range(1, COUNTED)]
+
+    def nested(sets: list[np.ndarray], first: int, last: int) -> pa.ListArray:
+        pieces = []
+        for found in sets:
+            cuts = [0, *np.searchsorted(found, bounds).tolist(), len(found)]
+            pieces += [found[cuts[f] : cuts[f + 1]] for f in range(first, last)]
+        offsets = np.arange(len(sets) + 1, dtype=np.int32) * (last - first)
+        return pa.ListArray.from_arrays(pa.array(offsets), _list_of(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                rows, places, pieces = [], [], []
-                for row, found in enumerate(shingle_sets(_texts(part.column(2)), n)):
-                    place = found >> np.uint64(64 - COUNTED.bit_length() + 1)
-                    cuts = np.searchsorted(place, np.arange(COUNTED + 1, dtype=np.uint64))
-                    for f in np.flatnonzero(np.diff(cuts)):
-                        rows.append(row)
-                        places.append(int(f))
-                        pieces.append(found[cuts[f] : cuts[f + 1]].view(np.int64))
-                taken = part.take(pa.array(rows, pa.int32()))
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
-                flat = np.concatenate([*pieces, np.empty(0, np.int64)])
+                sets = shingle_sets(_texts(part.column(2)), n)
+                names = part.column(0).to_pylist()
+                right = [i for i, s in enumerate(sets) if set_name(s) == names[i]]
+                sets = [sets[i] for i in right]
+                taken = part.take(pa.array(right, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        taken.column(0),
-                        taken.column(1),
-                        pa.array(places, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    ],
-                    ["node", "size", "fragment", "part"],
+                    [taken.column(0), taken.column(1), nested(sets, 0, LEADING), nested(sets, LEADING, COUNTED)],
+                    ["node", "size", "leading", "rest"],
                 )
 
     return docs.select("node", "size", "text").mapInArrow(
-        run, "node bigint, size bigint, fragment int, part array<bigint>"
+        run, "node bigint, size bigint, leading array<array<bigint>>, rest array<array<bigint>>"
     )
 
 
-def count_overlaps(pairs: DataFrame, fragments: DataFrame, of: int) -> DataFrame:
-    """The pairs (a, b) with 100 * overlap >= of * union, from overlaps summed over fragments."""
-    left = fragments.select(
-        F.col("node").alias("l"), F.col("size").alias("l_size"), "fragment", F.col("part").alias("l_part")
+def _partial(column: str) -> Column:
+    """Overlaps of two sets counted fragment by fragment, and summed."""
+    each = F.zip_with(f"l_{column}", f"r_{column}", lambda x, y: F.size(F.array_intersect(x, y)))
+    return F.aggregate(each, F.lit(0), lambda total, x: total + x)
+
+
+def _elements(column: str) -> Column:
+    return F.aggregate(column, F.lit(0), lambda total, x: total + F.size(x))
+
+
+def _with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    left = sets.select(F.col("node").alias("l"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    right = sets.select(F.col("node").alias("r"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    return pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+
+
+def count_overlaps(pairs: DataFrame, sets: DataFrame, of: int, steps: Steps, tag: str) -> DataFrame:
+    """The pairs (a, b) with 100 * overlap >= of * union, written."""
+    both = F.col("l_size") + F.col("r_size")
+    most = F.expr(f"(l_size + r_size) * {100 - of} div {100 + of}")
+    apart = _elements("l_leading") + _elements("r_leading") - 2 * F.col("overlap")
+    begun = (
+        _with_sides(pairs, sets, "size", "leading")
+        .withColumn("overlap", _partial("leading"))
+        .where(apart <= most)
+        .select("a", "b", "overlap")
+        .distinct()
     )
-    right = fragments.select(
-        F.col("node").alias("r"), F.col("size").alias("r_size"),
-        F.col("fragment").alias("r_fragment"), F.col("part").alias("r_part"),
-    )
-    partial = (
-        pairs.join(left, F.col("a") == F.col("l"))
-        .join(right, (F.col("b") == F.col("r")) & (F.col("fragment") == F.col("r_fragment")))
-        .select(
-            "a", "b", "l_size", "r_size",
-            F.size(F.array_intersect("l_part", "r_part")).alias("overlap"),
-        )
-    )
-    sums = partial.groupBy("a", "b").agg(
-        F.sum("overlap").alias("overlap"), F.first("l_size").alias("l"), F.first("r_size").alias("r")
+    begun = steps.write(begun, f"{tag}-begun")
+    overlap = F.col("overlap") + _partial("rest")
+    found = (
+        _with_sides(begun, sets, "size", "rest")
+        .where(100 * overlap >= of * (both - overlap))
+        .select("a", "b")
+        .distinct()
     )
-    union = F.col("l") + F.col("r") - F.col("overlap")
-    return sums.where(100 * F.col("overlap") >= of * union).select("a", "b")
+    found = steps.write(found, tag)
+    steps.drop(f"{tag}-begun")
+    return found
 
 
 def _pair(x: str, y: str) -> list:
@@ -188,27 +214,28 @@ def _pair(x: str, y: str) -> list:
 def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     """(id, size, component) of documents (id, text); ``component`` is a set's name, null if
     the set is empty. Written to the shared folder."""
-    filed, _ = materialize(file_documents(docs, n, of), "filed")
+    steps = Steps(docs.sparkSession)
+    filed = steps.write(file_documents(docs, n, of), "filed")
+    named = filed.where(F.col("node").isNotNull()).groupBy("node")
+    named = steps.write(named.agg(F.min("id").alias("rep"), F.first("size").alias("size")), "named")
+    listed = steps.write(filed.select("id", "size", "node"), "listed")
+
     parts = filed.select("node", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = shared.where(F.col("low") < F.col("high")).withColumnRenamed("part", "at")
-    met, _ = materialize(
-        parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high").distinct(),
-        "met",
-    )
+    met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high")
+    met = steps.write(met.distinct(), "met")
+    steps.drop("filed")
+
     stars = met.where(F.col("node") > F.col("low")).select(*_pair("node", "low"))
     stars = stars.unionAll(met.where(F.col("node") < F.col("high")).select(*_pair("node", "high")))
-    stars, _ = materialize(stars.distinct(), "stars")
-
-    nodes = stars.select(F.col("a").alias("of")).unionAll(stars.select(F.col("b").alias("of"))).distinct()
-    one_each = filed.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"))
-    wanted = one_each.join(nodes, F.col("node") == F.col("of")).select("rep", "node", "size")
-    texts = docs.select("id", "text").join(wanted, F.col("id") == F.col("rep"))
-    fragments, _ = materialize(
-        wide_fragments(texts.dropDuplicates(["node"]).select("node", "size", "text"), n), "fragments"
-    )
-    links, _ = materialize(count_overlaps(stars, fragments, of), "linked")
-    member, _ = materialize(components(links), "members")
+    stars = steps.write(_of_like_size(stars.distinct(), named, of), "stars")
+
+    nodes = stars.select(F.col("a").alias("of")).unionAll(stars.select(F.col("b").alias("of")))
+    sets = steps.write(_sets(docs, named, nodes.distinct(), n), "sets")
+    links = count_overlaps(stars, sets, of, steps, "linked")
+    steps.drop("stars", "sets")
+    member = steps.write(components(links), "members")
 
     # what shares a part across components and has met neither end of the star
     known = member.select(F.col("node").alias("of"), "component")
@@ -221,17 +248,43 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     apart = apart.where(F.col("least") < F.col("most"))
     placed = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")))
     placed = placed.join(apart, F.col("part") == F.col("at")).select("part", "node", "component")
+    placed = steps.write(placed, "placed")
+    steps.drop("met")
     other = placed.toDF("other_part", "other", "other_component")
     rest = placed.join(
         other, (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
     )
-    rest, _ = materialize(rest.select(*_pair("node", "other")).distinct(), "rest")
-    more, _ = materialize(count_overlaps(rest, fragments, of), "linked")
-    if not more.isEmpty():
-        member, _ = materialize(components(links.unionAll(more)), "members")
-    return filed.select("id", "size", "node").join(
+    rest = rest.select(*_pair("node", "other")).distinct()
+    rest = steps.write(_of_like_size(rest, named, of), "rest")
+    if not rest.isEmpty():
+        nodes = rest.select(F.col("a").alias("of")).unionAll(rest.select(F.col("b").alias("of")))
+        sets = steps.write(_sets(docs, named, nodes.distinct(), n), "sets")
+        more = count_overlaps(rest, sets, of, steps, "more")
+        if not more.isEmpty():
+            member = steps.write(components(links.unionAll(more)), "members-all")
+    found = listed.join(
         member.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left"
-    ).select("id", "size", F.coalesce("component", "node").alias("component"))
+    )
+    found = found.select("id", "size", F.coalesce("component", "node").alias("component"))
+    found = steps.write(found, "components")
+    steps.drop(*[tag for tag in list(steps.paths) if tag != "components"])
+    return found
+
+
+def _of_like_size(pairs: DataFrame, named: DataFrame, of: int) -> DataFrame:
+    """Pairs whose smaller set is large enough for the similarity."""
+    size = named.select("node", "size")
+    left, right = size.toDF("l", "l_size"), size.toDF("r", "r_size")
+    both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+    near = 100 * F.least("l_size", "r_size") >= of * F.greatest("l_size", "r_size")
+    return both.where(near).select("a", "b")
+
+
+def _sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The sets of nodes (of), from the text of one document each."""
+    wanted = named.join(nodes, F.col("node") == F.col("of")).select("rep", "node", "size")
+    texts = docs.select("id", "text").join(wanted, same(F.col("id"), F.col("rep")))
+    return wide_fragments(texts, n)
 
 
 def jaccard_components(
@@ -242,7 +295,7 @@ def jaccard_components(
     ``of`` is the similarity in hundredths.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    linked, _ = materialize(link_sets(docs, n, of), "components")
+    linked = link_sets(docs, n, of)
     least = linked.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("of")).agg(
         F.min("id").alias("least")
     )
