@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -819,6 +820,128 @@ def score_table(spark, sf_dir):
     )
 
 
+# Contracts of fits and scoring, which SQL can state though it can't repeat them
+
+INTENT_ROWS = f"""SELECT * FROM (SELECT doc_id AS id, {S.clean("text")} AS text,
+  {S.norm_label("lang")} AS label FROM documents) WHERE length(text) > 0"""
+
+# Largest norm of the gradient that counts as fitted, as a share of the summed row weight.
+FLAT = 1e-3
+
+
+@query(
+    f"""SELECT label, count(*) AS rows, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6)
+      AS weight, true AS fitted FROM ({INTENT_ROWS}) GROUP BY label"""
+)
+def fit_single_label_optimal(spark, sf_dir):
+    """Per class: its rows and weight, and whether the objective's gradient vanishes.
+
+    The summed weighted loss plus half the squared norm of the coefficients has the gradient
+    sum(w * (p - y) * x) + b for every class; it is summed here over the rows from the fitted
+    coefficients b.
+    """
+    docs = _loaded(spark, sf_dir, _intent)
+    model = training.fit_single_label(docs)
+    *stages, classifier, _ = model.pipeline.stages
+    out = stages[-1].getOutputCol()
+    counts = features.class_weights(docs, "label")
+    rows = model.scores(features.tfidf_transform(PipelineModel(stages), docs), "share")
+    rows = rows.join(F.broadcast(counts.select("label", "weight")), "label")  # a row per class
+    vector = F.unwrap_udt(F.col(out))
+    entries = rows.select(
+        "label", "weight", "share", F.inline(F.arrays_zip(vector["indices"], vector["values"]))
+    ).toDF("label", "weight", "share", "idx", "x")
+    pulls = [
+        F.sum(F.col("weight") * F.col("x") * (F.get("share", k) - (F.col("label") == name).cast("int"))).alias(f"g{k}")
+        for k, name in enumerate(model.labels)
+    ]
+    sums = entries.groupBy("idx").agg(*pulls)
+    matrix = classifier.coefficientMatrix.toArray()
+    held = spark.createDataFrame(
+        [(i, [float(v) for v in matrix[:, i]]) for i in range(matrix.shape[1])], "idx int, b array<double>"
+    )
+    slopes = held.join(sums, "idx", "left").na.fill(0.0)
+    norms = slopes.agg(
+        *[F.sqrt(F.sum((F.col(f"g{k}") + F.get("b", k)) ** 2)).alias(n) for k, n in enumerate(model.labels)]
+    ).first()
+    total = docs.count()
+    flat = F.create_map(*[F.lit(x) for n in model.labels for x in (n, norms[n] <= FLAT * total)])
+    return counts.select(
+        "label", F.col("n").alias("rows"), F.round("weight", 6).alias("weight"), flat[F.col("label")].alias("fitted")
+    )
+
+
+@query(f"SELECT id, label, true AS same FROM ({INTENT_ROWS})")
+def model_roundtrip_same(spark, sf_dir):
+    """Whether a saved model predicts for each row what the model predicted before."""
+    path = work_path(spark, "model")
+    model, docs = _models(spark, sf_dir).intent, _intent(spark, sf_dir)
+    model.save(path)
+    loaded = training.SingleLabelModel.load(spark, path)
+    both = loaded.predict(model.predict(docs, "before"), "after")
+    return both.select("id", "label", F.col("before").eqNullSafe(F.col("after")).alias("same"))
+
+
+def _in_contract(category, priority, intent, models):
+    """Ranks, ranges and names of one row's predictions."""
+    falling = F.forall(
+        F.sequence(F.lit(1), F.size(category)),
+        lambda i: F.coalesce(
+            F.get(category, i - 1)["confidence"] >= F.get(category, i)["confidence"], F.lit(True)
+        ),
+    )
+    named = F.forall(category, lambda x: x["label"].isin(*models.category.labels))
+    found = F.concat(category, F.array(priority, intent))
+    return (
+        F.size(category).between(1, 3)
+        & falling
+        & named
+        & priority["label"].isin(*models.priority.labels)
+        & intent["label"].isin(*models.intent.labels)
+        & F.forall(found, lambda x: x["confidence"].between(0, 1))
+    )
+
+
+@query("SELECT doc_id AS id, true AS valid, true AS sums_to_one FROM documents")
+def predict_batch_contract(spark, sf_dir):
+    """One to three categories, best first, known names, confidences and shares in range."""
+    models = _models(spark, sf_dir)
+    tickets = V.tickets_doc(spark, sf_dir).select("id", "title", "body")
+    found = scoring.predict_batch(tickets, models)
+    texts = X.add_text_column(tickets).select("id", "text")
+    shares = scoring.probabilities(models.intent, texts, "shares").select("id", "shares")
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    return found.join(shares, "id", "left").select(
+        "id",
+        _in_contract(F.col("category"), F.col("priority"), F.col("intent"), models).alias("valid"),
+        F.coalesce(F.abs(total - 1) < 1e-9, F.lit(True)).alias("sums_to_one"),
+    )
+
+
+@query("SELECT page_id AS id, true AS equal, 1 AS logged FROM pages")
+def score_table_contract(spark, sf_dir):
+    """The written table's JSON says what its columns say, and every row is in the log."""
+    path, log = work_path(spark, "scored"), work_path(spark, "log")
+    scored = scoring.score_table(
+        spark, V.tickets_page(spark, sf_dir), path, _models(spark, sf_dir), log=log
+    )
+    kind = (
+        "category array<struct<label string, confidence double>>, "
+        "priority struct<label string, confidence double>, intent struct<label string, confidence double>"
+    )
+    said = F.from_json("prediction_json", kind)
+    equal = (
+        (X.format_predictions(said["category"]) == F.col("category"))
+        & (said["priority"]["label"] == F.col("priority"))
+        & (said["priority"]["confidence"] == F.col("priority_confidence"))
+        & (said["intent"]["label"] == F.col("intent"))
+        & (said["intent"]["confidence"] == F.col("intent_confidence"))
+    )
+    logged = spark.read.parquet(log).where("latency_ms >= 0 AND backend IS NOT NULL").count()
+    rows = scored.count()
+    return scored.select("id", equal.alias("equal"), F.lit(int(logged == rows)).alias("logged"))
+
+
 CENTROIDS = """SELECT label, list(c ORDER BY i) AS centre FROM (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM embeddings, range(1, 65) r(i)
   GROUP BY label, i) GROUP BY label"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdesk.functions.decode import decode_multi, decode_single, softmax_scores
-from sparkdesk.functions.text import combine_title_body, format_predictions, validate_tickets
+from sparkdesk.functions.text import combine_title_body, format_predictions, mark_tickets
+from sparkdesk.operators.reports import prediction_log
 from sparkdesk.plans.training import MultiLabelModel, OneVsRestModel, SingleLabelModel
+from sparkdesk.session import written
 from sparkdesk.sources.tables import read_tickets_csv, require_columns, write_csv
 
 # Fixed value: backend name of the default models.
@@ -125,17 +128,31 @@ def score_table(
     target: str,
     models: TicketModels,
     rejected: str | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Score a ticket CSV (or table) into a predictions CSV; returns what was written.
 
-    Every row is scored. With a ``rejected`` path, rows that break the request limits
-    go there instead.
+    Every row is scored, once. With a ``rejected`` path, rows that break the request limits
+    go there instead. With a ``log`` path, a row per prediction with the run's latency per
+    ticket is appended to that Parquet table.
     """
+    start = time.monotonic()
     tickets = read_tickets_csv(spark, source) if isinstance(source, str) else source
     require_columns(tickets, ["title", "body"], "table", list_all=True)
-    if rejected is not None:
-        tickets, refused = validate_tickets(tickets)
-        write_csv(refused, rejected)
-    result = flatten_predictions(predict_batch(tickets, models))
-    write_csv(result, target)
-    return read_tickets_csv(spark, target, result.schema)
+    if rejected is None:
+        return _score_and_log(spark, tickets, target, models, log, start)
+    with written(mark_tickets(tickets), "tickets") as marked:
+        write_csv(marked.where(F.col("reject_reason").isNotNull()), rejected)
+        valid = marked.where(F.col("reject_reason").isNull()).drop("reject_reason")
+        return _score_and_log(spark, valid, target, models, log, start)
+
+
+def _score_and_log(spark, tickets, target, models, log, start) -> DataFrame:
+    with written(predict_batch(tickets, models), "scored") as scored:
+        result = flatten_predictions(scored)
+        write_csv(result, target)
+        if log is not None:
+            rows, spent = scored.count(), (time.monotonic() - start) * 1000
+            run = prediction_log(attach_run(scored, spent, rows))
+            run.write.mode("append").parquet(log)
+        return read_tickets_csv(spark, target, result.schema)

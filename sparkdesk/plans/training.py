@@ -30,7 +30,7 @@ from sparkdesk.sources.tables import limit_rows
 
 SEED = 42
 # Stop once an iteration gains less than this share of the loss.
-TOLERANCE = 1e-7
+TOLERANCE = 1e-6
 # Model jobs submitted at once; each of them is a distributed job of its own.
 PARALLEL_FITS = 8
 
