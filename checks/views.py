@@ -242,7 +242,7 @@ TIED_HISTORY = f"SELECT * REPLACE (date_trunc('hour', timestamp) AS timestamp) F
 
 def decoded(spark, sf_dir):
     """Decoded predictions of the embeddings with ticket texts."""
-    from sparkdesk.functions.decode import decode_logits, decode_multi, decode_single, softmax_scores
+    from sparkdesk.functions.decode import decode_logits, decode_single, softmax_scores
 
     s = scores(spark, sf_dir)
     shares = softmax_scores(F.col("raw"))
