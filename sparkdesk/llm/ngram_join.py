@@ -17,7 +17,10 @@ Equal sets are one node. A shared part first links its documents with its smalle
 largest node only; pairs inside a component that has formed are not compared, as they add no
 link between different components. Pairs across components that share a part are all compared,
 so no component is left in two. A group of near copies therefore costs about its size, not its
-square.
+square. Parts that very many documents share, those of a passage that stands in all of them,
+say little about similarity: among the documents that share such parts, pairs are found by a
+prefix filter instead, over shingles in the order of their counts, rare ones first. It is exact
+as well, and looks at common shingles only where a document has hardly any others.
 
 Cases: a text without words, empty or null, has an empty set and is linked with nothing; equal
 texts are linked; rows with a null id count as documents, but the smallest id of a component is
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdesk.llm.common import Steps, fresh, read, same
@@ -42,6 +45,8 @@ RANGE = 1.5
 # Fragments that overlaps are counted in, and those of them that are counted first.
 COUNTED, LEADING = 8, 2
 BATCH_ROWS = 512
+# Documents that share a part before the prefix filter takes over.
+COMMON = 32
 
 
 class Filing:
@@ -221,9 +226,9 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     listed = steps.write(filed.select("id", "size", "node"), "listed")
 
     parts = filed.select("node", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = parts.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     shared = shared.where(F.col("low") < F.col("high")).withColumnRenamed("part", "at")
-    met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high")
+    met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high", "n")
     met = steps.write(met.distinct(), "met")
     steps.drop("filed")
 
@@ -240,28 +245,25 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     # what shares a part across components and has met neither end of the star
     known = member.select(F.col("node").alias("of"), "component")
     placed = met.join(known, F.col("node") == F.col("of"), "left").select(
-        "part", "node", "low", "high", F.coalesce("component", "node").alias("component")
+        "part", "node", "low", "high", "n", F.coalesce("component", "node").alias("component")
     )
     apart = placed.groupBy(F.col("part").alias("at")).agg(
         F.min("component").alias("least"), F.max("component").alias("most")
     )
     apart = apart.where(F.col("least") < F.col("most"))
     placed = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")))
-    placed = placed.join(apart, F.col("part") == F.col("at")).select("part", "node", "component")
+    placed = placed.join(apart, F.col("part") == F.col("at")).select("part", "node", "n", "component")
     placed = steps.write(placed, "placed")
     steps.drop("met")
-    other = placed.toDF("other_part", "other", "other_component")
-    rest = placed.join(
-        other, (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
+    sets = steps.write(_sets(docs, named, placed.select(F.col("node").alias("of")).distinct(), n), "sets")
+    few, many = placed.where(F.col("n") <= COMMON), placed.where(F.col("n") > COMMON)
+    rest = _across(few.select("part", "node", "component")).unionAll(
+        _across(*_rare_first(sets, many.select("node", "component").distinct(), of))
     )
-    rest = rest.select(*_pair("node", "other")).distinct()
-    rest = steps.write(_of_like_size(rest, named, of), "rest")
-    if not rest.isEmpty():
-        nodes = rest.select(F.col("a").alias("of")).unionAll(rest.select(F.col("b").alias("of")))
-        sets = steps.write(_sets(docs, named, nodes.distinct(), n), "sets")
-        more = count_overlaps(rest, sets, of, steps, "more")
-        if not more.isEmpty():
-            member = steps.write(components(links.unionAll(more)), "members-all")
+    rest = steps.write(_of_like_size(rest.distinct(), named, of), "rest")
+    more = count_overlaps(rest, sets, of, steps, "more")
+    if not more.isEmpty():
+        member = steps.write(components(links.unionAll(more)), "members-all")
     found = listed.join(
         member.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left"
     )
@@ -271,6 +273,35 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     return found
 
 
+def _across(filed: DataFrame, also: Column | None = None) -> DataFrame:
+    """Pairs of (part, node, component) that share a part, from different components; ``also``
+    is a further condition on the columns and those of the other node, named other_..."""
+    other = filed.toDF(*[f"other_{c}" for c in filed.columns])
+    met = (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
+    met = met if also is None else met & also
+    return filed.join(other, met).select(*_pair("node", "other_node"))
+
+
+def _rare_first(sets: DataFrame, nodes: DataFrame, of: int) -> tuple[DataFrame, Column]:
+    """(part, node, component, size, rank): the shingles of nodes (node, component) that a
+    partner must share one of, in the order of how many of these nodes have them; and what
+    must hold at the first shingle that two nodes share, as nothing before it is shared."""
+    mine = nodes.withColumnRenamed("node", "of")
+    held = sets.join(mine, F.col("node") == F.col("of")).select(
+        "node", "size", "component", F.explode(F.flatten(F.concat("leading", "rest"))).alias("part")
+    )
+    counts = held.groupBy(F.col("part").alias("at")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "part")
+    ranked = held.join(counts, F.col("part") == F.col("at")).withColumn(
+        "rank", F.row_number().over(order)
+    )
+    leading = F.expr(f"size - (size * {of} + 99) div 100 + 1")
+    kept = ranked.where((F.col("rank") <= leading) & (F.col("n") > 1))
+    left = F.least(F.col("size") - F.col("rank"), F.col("other_size") - F.col("other_rank")) + 1
+    enough = left * (100 + of) >= of * (F.col("size") + F.col("other_size"))
+    return kept.select("part", "node", "component", "size", "rank"), enough
+
+
 def _of_like_size(pairs: DataFrame, named: DataFrame, of: int) -> DataFrame:
     """Pairs whose smaller set is large enough for the similarity."""
     size = named.select("node", "size")
