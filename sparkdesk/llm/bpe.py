@@ -39,7 +39,7 @@ VOCABULARY = "byte_bpe_50k.json"
 # How byte-level vocabularies split a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words, pieces and pairs that a task keeps; more are solved again when they come back.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 BYTES = [bytes([b]) for b in range(256)]
 # Rows of one batch handed to Python, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
@@ -236,10 +236,19 @@ def _vocabulary(spark: SparkSession, path: str):
 
 
 def encode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: str | None = None,
 ) -> DataFrame:
-    """(id, n_tokens, ids) per document; ids packed as little-endian unsigned 32-bit integers."""
+    """(id, n_tokens, ids) per document; ids packed as little-endian unsigned 32-bit integers.
+
+    ``decoded`` names a further column for the text that the ids decode to, which saves a
+    second pass through Python.
+    """
     vocabulary = _vocabulary(docs.sparkSession, path)
+    names = ["id", "n_tokens", "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary.value)
@@ -248,13 +257,16 @@ def encode(
                 part = batch.slice(at, BATCH_ROWS)
                 ids = enc.encode_batch(part.column(1).to_pylist())
                 sizes = pa.array([len(i) // 4 for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), sizes, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"]
-                )
+                columns = [part.column(0), sizes, pa.array(ids, pa.binary())]
+                if decoded:
+                    texts = [enc.decode(np.frombuffer(i, "<u4")) for i in ids]
+                    columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     table = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     kind = table.schema["id"].dataType.simpleString()
-    return table.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
+    more = f", `{decoded}` string" if decoded else ""
+    return table.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary{more}")
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -286,7 +298,7 @@ def op1_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode every document, decode its ids, and digest both."""
     path = path or vocabulary_path()
-    both = decode(encode(docs, path), path, text_col="decoded")
+    both = encode(docs, path, decoded="decoded")
     return both.select(
         F.col("id").alias("doc_id"),
         "n_tokens",

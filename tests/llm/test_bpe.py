@@ -87,5 +87,7 @@ def test_odd_cases(spark, tokenizer):
     rows = [(r.doc_id, *digests(tokenizer, r.text)) for r in docs.collect()]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in bpe.digests(docs).collect())
     assert bpe.digests(docs.limit(0)).count() == 0
+    again = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+    assert sorted(repr(r.text) for r in again) == sorted(repr(r.text or "") for r in docs.collect())
     unknown = spark.createDataFrame([(1, bytearray(struct.pack("<2I", 64, 4_000_000))), (2, None)], "id long, ids binary")
     assert [r.text for r in bpe.decode(unknown, PATH).orderBy("id").collect()] == ["a", ""]
