@@ -20,6 +20,8 @@ from sparkdesk.session import materialize
 
 EPOCHS = 3
 SEED = 9
+# Tasks that a source's documents are dealt to where they meet their source's cut.
+SALTS = 64
 # Bits of the seeded number that each look into a source's order resolves.
 LOOKS = (36, 24, 0)
 
@@ -92,17 +94,18 @@ def _cuts(drawn: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
     )
     shift = HASH_BITS
     for finer in LOOKS:
-        known = state.select(F.col("source").alias("of"), "cell", "before", "rest")
-        inside = drawn.join(
-            known,
-            same(drawn["source"], known["of"])
-            & (F.shiftright(drawn["draw"], shift) == known["cell"]),
-        )
+        inside = drawn.select(F.col("source").alias("of"), "draw", "words")
+        if shift < HASH_BITS:
+            cells = state.select(F.col("source").alias("in_source"), "cell")
+            here = F.shiftright(F.col("draw"), shift) == F.col("cell")
+            inside = inside.join(cells, same(F.col("of"), F.col("in_source")) & here, "left_semi")
         sums = inside.groupBy("of", F.shiftright("draw", finer).alias("part")).agg(
-            F.sum("words").alias("sum"), F.first("before").alias("start"), F.first("rest").alias("rest")
+            F.sum("words").alias("sum")
         )
+        known = state.select(F.col("source").alias("in_source"), "before", "rest")
+        sums = sums.join(known, same(F.col("of"), F.col("in_source")))
         walk = Window.partitionBy("of").orderBy("part")
-        sums = sums.withColumn("end", F.col("start") + F.sum("sum").over(walk))
+        sums = sums.withColumn("end", F.col("before") + F.sum("sum").over(walk))
         begin = F.col("end") - F.col("sum")
         if finer:
             # the cut lies in the first cell whose end passes what is left, if any does
@@ -152,12 +155,18 @@ def draw_mix(
         ),
         "mix",
     )
-    cuts = mix_cuts(drawn, weights, epochs)
-    return drawn.join(cuts, same(drawn["source"], cuts["of"]), "left").select(
+    cuts = _spread(mix_cuts(drawn, weights, epochs), "salt")
+    mine = same(F.col("source"), F.col("of")) & (F.col("draw") % SALTS == F.col("salt"))
+    return drawn.join(cuts, mine, "left").select(
         "id", "source", "words", "draw", "source_size", "target", copies_of("draw", epochs).alias("copies")
     )
 
 
+def _spread(cuts: DataFrame, salt: str) -> DataFrame:
+    """One row per source and salt, so that a hot source's documents meet it in many tasks."""
+    return cuts.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def mix_cuts(drawn: DataFrame, weights=cyclic_weights, epochs: int = EPOCHS) -> DataFrame:
     """(of, source_size, target, times, cut): one row per source of (source, words, draw)."""
     sizes = drawn.groupBy("source").agg(F.sum("words").alias("size"))
@@ -182,21 +191,22 @@ def mix(
     seed: int = SEED,
 ) -> DataFrame:
     """The mixed table: rows of ``docs``, with the same columns, as often as the mix takes them."""
-    source, count, draw = fresh(docs.columns, "mix_source", "mix_words", "mix_draw")
+    (draw,) = fresh(docs.columns, "mix_draw")
     slim = docs.select(
         F.col(source_col).alias("source"),
         size_in_words(F.col(text_col)).alias("words"),
         seeded(seed, F.col(id_col)).alias("draw"),
     )
     cuts = mix_cuts(materialize(slim, "mix")[0], weights, epochs)
-    of, total, target, times, cut, copy = fresh(
-        [*docs.columns, source, count, draw], "mix_of", "mix_total", "mix_target", "mix_times", "mix_cut", "mix_copy"
-    )
-    cuts = cuts.toDF(of, total, target, times, cut)
+    of, total, target, times, cut, salt, copy = fresh(
+        [*docs.columns, draw],
+        "mix_of", "mix_total", "mix_target", "mix_times", "mix_cut", "mix_salt", "mix_copy",
+    )
+    cuts = _spread(cuts.toDF(of, total, target, times, cut), salt)
     once_more = F.when(F.col(draw) <= F.col(cut), 1).otherwise(0)
     copies = F.least(F.col(times) + once_more, F.lit(epochs)).cast("int")
     out = docs.withColumn(draw, seeded(seed, F.col(id_col))).join(
-        cuts, same(F.col(source_col), F.col(of))
+        cuts, same(F.col(source_col), F.col(of)) & (F.col(draw) % SALTS == F.col(salt))
     )
     out = out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
