@@ -253,14 +253,17 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     apart = apart.where(F.col("least") < F.col("most"))
     placed = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")))
     placed = placed.join(apart, F.col("part") == F.col("at")).select("part", "node", "n", "component")
+    sizes = named.select(F.col("node").alias("of"), "size")
+    placed = placed.join(sizes, F.col("node") == F.col("of")).drop("of")
     placed = steps.write(placed, "placed")
     steps.drop("met")
     sets = steps.write(_sets(docs, named, placed.select(F.col("node").alias("of")).distinct(), n), "sets")
     few, many = placed.where(F.col("n") <= COMMON), placed.where(F.col("n") > COMMON)
-    rest = _across(few.select("part", "node", "component")).unionAll(
+    alike = 100 * F.least("size", "other_size") >= of * F.greatest("size", "other_size")
+    rest = _across(few.select("part", "node", "component", "size"), alike).unionAll(
         _across(*_rare_first(sets, many.select("node", "component").distinct(), of))
     )
-    rest = steps.write(_of_like_size(rest.distinct(), named, of), "rest")
+    rest = steps.write(rest.distinct(), "rest")
     more = count_overlaps(rest, sets, of, steps, "more")
     if not more.isEmpty():
         member = steps.write(components(links.unionAll(more)), "members-all")
@@ -273,13 +276,12 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     return found
 
 
-def _across(filed: DataFrame, also: Column | None = None) -> DataFrame:
-    """Pairs of (part, node, component) that share a part, from different components; ``also``
-    is a further condition on the columns and those of the other node, named other_..."""
+def _across(filed: DataFrame, also: Column) -> DataFrame:
+    """Pairs of (part, node, component, ...) that share a part, from different components;
+    ``also`` must hold for the columns and those of the other node, named other_..."""
     other = filed.toDF(*[f"other_{c}" for c in filed.columns])
     met = (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
-    met = met if also is None else met & also
-    return filed.join(other, met).select(*_pair("node", "other_node"))
+    return filed.join(other, met & also).select(*_pair("node", "other_node"))
 
 
 def _rare_first(sets: DataFrame, nodes: DataFrame, of: int) -> tuple[DataFrame, Column]:
