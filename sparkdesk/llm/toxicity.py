@@ -6,10 +6,10 @@ ordinary one speaks for toxicity. How many bytes a window must gain is calibrate
 texts, and so is the score made from the largest gain, the gains above that threshold and the
 share of windows that reach it.
 
-Toxic texts are mostly ordinary words. Their dictionary is therefore trained on their words
-with a part that the ordinary sample lacks and that stands in many different contexts (copies
-of one text repeat a word in the same context), and is laid over the ordinary dictionary, so
-that windows without such words gain nothing.
+Toxic texts are mostly ordinary words. Their dictionary therefore holds only their words with a
+part that stands in toxic texts several times as often as in ordinary ones, and in different
+contexts (copies of one text repeat a word in the same context). It is laid over the ordinary
+dictionary, so that windows without such words gain next to nothing.
 
 The fit reads a bounded sample of labelled rows, ``SAMPLE_ROWS`` of either class at most and
 texts up to ``SAMPLE_CHARS`` code points; scoring reads whole texts, whatever their length.
@@ -37,13 +37,16 @@ from sparkdesk.llm.common import fresh, read, seeded, whole
 
 STEP, LENGTH = 48, 64
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
+ORDINARY_BYTES = 32 << 10
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
 SEED = 7
-# Contexts that a telling part stands in, as a share of the toxic texts and at least; fewer only
-# where no part has so many.
-CONTEXT_SHARE, LEAST_CONTEXTS = 0.01, 4
+# A telling part: the contexts in different toxic texts that it has at least; how many times as
+# often it stands in toxic as in ordinary texts; and least sums of that rate's logarithm over its
+# toxic texts, of which the calibration texts choose one (chance alone, among some 10^5 parts,
+# hardly reaches the first).
+LEAST_CONTEXTS, LEAST_RATE = 4, 4.0
+EVIDENCE = (22.0, 30.0, 40.0, 60.0, 90.0)
 LEAST_SCORE = 0.3
 WORD = re.compile(r"\w+")
 # Characters of the word parts that are looked for.
@@ -119,25 +122,44 @@ def _grams(word: str) -> set[str]:
     return {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))}
 
 
-def _distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Per toxic text its words with a part that ordinary texts lack and many contexts share."""
-    usual = {g for w in {w for t in ordinary for w in WORD.findall(t.lower())} for g in _grams(w)}
+def _texts_with(texts: list[str]) -> Counter:
+    """In how many texts every word part stands."""
+    count: Counter[str] = Counter()
+    for text in texts:
+        count.update({part for word in set(WORD.findall(text)) for part in _grams(word)})
+    return count
+
+
+def _distinctive(toxic: list[str], ordinary: list[str]) -> dict[str, float]:
+    """The words with a part that tells toxic from ordinary texts, and their evidence; most telling last.
+
+    Texts count once, however many copies there are.
+    """
+    toxic, ordinary = (list(dict.fromkeys(t.lower() for t in x)) for x in (toxic, ordinary))
     contexts: dict[str, set[str]] = defaultdict(set)
-    parts: dict[str, set[str]] = {}
+    holders: Counter[str] = Counter()
     for text in toxic:
-        found = WORD.findall(text.lower())
+        found = WORD.findall(text)
+        holders.update(set(found))
         for before, word in zip(["", *found], found):
-            if word not in parts:
-                parts[word] = _grams(word) - usual
-            for part in parts[word]:
+            for part in _grams(word):
                 contexts[part].add(before)
-    telling: set[str] = set()
-    for least in (max(LEAST_CONTEXTS, round(len(toxic) * CONTEXT_SHARE)), 2, 1):
-        telling = telling or {part for part, c in contexts.items() if len(c) >= least}
-    picked = (
-        " ".join(w for w in WORD.findall(t.lower()) if not parts[w].isdisjoint(telling)) for t in toxic
-    )
-    return [p.encode() for p in picked if p]
+    usual = _texts_with(ordinary)
+    evidence: dict[str, float] = {}
+    for part, n in _texts_with(toxic).items():
+        n = min(n, len(contexts[part]))
+        rate = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (usual[part] + 0.5)
+        weight = n * float(np.log(rate))
+        if n >= LEAST_CONTEXTS and rate >= LEAST_RATE and weight >= EVIDENCE[0]:
+            evidence[part] = weight
+    telling = {w: max((evidence.get(part, 0.0) for part in _grams(w)), default=0.0) for w in holders}
+    picked = [w for w in telling if telling[w]]
+    return {w: telling[w] for w in sorted(picked, key=lambda w: (telling[w], holders[w], w))}
+
+
+def _words_from(evidence: dict[str, float], least: float) -> bytes:
+    """The words of at least that evidence, between blanks."""
+    return " ".join(["", *(w for w, e in evidence.items() if e >= least), ""]).encode()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -170,22 +192,26 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> Model:
         return Model(share=share)
     few = min(len(toxic), len(ordinary)) < 30
     a, b = (len(x) if few else len(x) * 2 // 3 for x in (toxic, ordinary))
-    model = Model(
-        _trained(ORDINARY_BYTES, [t.lower().encode() for t in ordinary[:b] if t], 256, 8),
-        _trained(TOXIC_BYTES, _distinctive(toxic[:a], ordinary), 64, 6),
-        share=share,
-    )
+    base = _trained(ORDINARY_BYTES, [t.lower().encode() for t in ordinary[:b] if t], 256, 8)
     held = [(toxic, a, 1), (ordinary, b, 0)]
     rest = [(t, y) for texts, cut, y in held for t in (texts if few else texts[cut:])]
-    by = model.compressors()
-    found = [gains(t, *by) for t, _ in rest]
     y = np.array([y for _, y in rest])
-    shares = {g: np.array([(f >= g).mean() for f in found]) for g in range(1, 9)}
-    model.gain = max(shares, key=lambda g: _ranking(shares[g], y))
-    x = np.array([features(f, model.gain) for f in found])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.weights = _logistic(x, y, weight).tolist()
-    return model
+    evidence = _distinctive(toxic[:a], ordinary)
+    best, least_loss = Model(), np.inf
+    for content in dict.fromkeys(_words_from(evidence, least) for least in EVIDENCE):
+        model = Model(base, content, share=share)
+        by = model.compressors()
+        found = [gains(t, *by) for t, _ in rest]
+        shares = {g: np.array([(f >= g).mean() for f in found]) for g in range(1, 9)}
+        model.gain = max(shares, key=lambda g: _ranking(shares[g], y))
+        x = np.array([features(f, model.gain) for f in found])
+        w = _logistic(x, y, weight)
+        model.weights = w.tolist()
+        loss = float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)))
+        if loss < least_loss:
+            best, least_loss = model, loss
+    return best
 
 
 def fit(

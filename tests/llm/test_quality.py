@@ -128,6 +128,33 @@ def test_toxic_words_in_many_contexts(spark):
     assert p[y].mean() > 0.95 and p[~y].mean() < 0.05
 
 
+def test_toxic_words_that_ordinary_texts_hold_too():
+    """Rarer toxic words count beside frequent ones, also if a few ordinary texts hold their parts."""
+    rng = np.random.default_rng(8)
+    clean = ["".join(rng.choice(list("etaoinsr"), 5)) for _ in range(400)]
+    frequent = ["scoundrel", "blackguard", "miscreant"]
+    rare = ["xulquamp" + end for end in ("ba", "ke", "di", "vo", "zu")]
+
+    def text(bad, n):
+        w = rng.choice(clean, 60).tolist()
+        for place in rng.choice(60, n, replace=False):
+            w[place] = str(rng.choice(bad))
+        return " ".join(w)
+
+    toxic = [text(rare if i % 4 == 0 else frequent, 4) for i in range(240)]
+    ordinary = [text(rare if i % 50 == 0 else clean, 1) for i in range(400)]
+    picked = set(toxicity._distinctive(toxic[:120], ordinary[:300]))
+    assert picked == {*frequent, *rare}
+    model = toxicity.train(toxic[:180], ordinary[:300], 0.3)
+    by = model.compressors()
+
+    def caught(text):
+        return np.dot(toxicity.features(toxicity.gains(text, *by), model.gain), model.weights) >= np.log(0.3 / 0.7)
+
+    assert np.mean([caught(t) for t in toxic[180::4]]) > 0.9
+    assert np.mean([caught(t) for t in ordinary[300:]]) < 0.1
+
+
 def test_gains_read_whole_texts():
     sizes = []
     toxicity.gains("word " * 40_000, lambda w: sizes.append(len(w)) or b"", lambda w: b"")
