@@ -24,9 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks; a text that loses all of its words goes."""
-    lines, chunks, removed = fresh(docs.columns, "lines", "chunks", "removed")
-    cleaned = line_dedup.dedup_lines(docs, counts=(lines, chunks, removed))
+    """Texts without repeated passages and chunks; a text that loses all of its words goes."""
+    names = ("passages", "lines", "chunks", "removed")
+    passages, lines, chunks, removed = fresh(docs.columns, *names)
+    cleaned = line_dedup.dedup_passages(docs, removed=passages)
+    cleaned = line_dedup.dedup_lines(cleaned, counts=(lines, chunks, removed))
+    cleaned = cleaned.withColumn(removed, F.col(removed) + F.col(passages))
     has_word = whole(F.col("text")).rlike(line_dedup.WORD)
     cleaned = cleaned.where((F.col(removed) == 0) | has_word)
     if "n_chars" in docs.columns:

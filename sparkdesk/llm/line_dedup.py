@@ -127,6 +127,83 @@ def dedup_lines(
     return out.select(*shown, *[a.cast("long").alias(c) for a, c in zip(added, counts)])
 
 
+def pairs(text: Column) -> Column:
+    """Every line with a word up to the next one, as array of (begin, end, text)."""
+
+    def of(lines: Column) -> Column:
+        def joined(at: Column) -> Column:
+            def pair(begin: Column, k: Column) -> Column:
+                end = F.get(at, k + 1)
+                part = F.array_join(F.slice(lines, begin + 1, end - begin + 1), "\n")
+                return F.struct(begin.alias("begin"), end.alias("end"), part.alias("text"))
+
+            return F.transform(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), pair)
+
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        return let(F.filter(places, lambda i: F.get(lines, i).rlike(WORD)), joined)
+
+    return let(F.split(text, "\n"), of)
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(id, mark, lines) of documents (id, mark, text): lines of pairs that stand elsewhere first.
+
+    A pair that overlaps its own first place in a document is not a repetition. Texts of pairs
+    are cut again only where a hash repeats, so that the count moves hashes alone.
+    """
+    hashes = F.transform(pairs(F.col("text")), lambda x: F.xxhash64(x["text"]))
+    hashed = docs.select("id", "mark", F.posexplode(hashes).alias("place", "hash"))
+    repeated = hashed.groupBy(F.col("hash").alias("of")).count().where(F.col("count") > 1)
+    places = hashed.join(repeated, F.col("hash") == F.col("of")).groupBy(
+        F.col("id").alias("in"), F.col("mark").alias("in_mark")
+    )
+    places = places.agg(F.collect_set("place").alias("places"))
+    texts = docs.join(places, same(F.col("id"), F.col("in")) & (F.col("mark") == F.col("in_mark")))
+    picked = F.transform(
+        F.array_sort("places"), lambda k: F.struct(k.alias("place"), F.get(F.col("all"), k).alias("pair"))
+    )
+    texts = texts.select("id", "mark", "places", pairs(F.col("text")).alias("all"))
+    texts = texts.select("id", "mark", F.explode(picked).alias("x")).select("id", "mark", "x.*")
+    candidates, _ = materialize(
+        texts.select("id", "mark", "place", F.xxhash64("pair.text").alias("hash"), "pair"), "pairs"
+    )
+    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "mark", "place")
+    first = candidates.groupBy(F.col("hash").alias("of"), F.col("pair.text").alias("as"))
+    first = first.agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    later = candidates.join(first, (F.col("hash") == F.col("of")) & (F.col("pair.text") == F.col("as")))
+    here = same(F.col("id"), F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    later = later.where(~(here & (F.col("place") < F.col("first.place") + 2)))
+    spans = F.collect_set(F.struct("pair.begin", "pair.end"))
+    lines = F.flatten(F.transform(spans, lambda x: F.sequence(x["begin"], x["end"])))
+    return later.groupBy("id", "mark").agg(F.array_distinct(lines).alias("lines"))
+
+
+def dedup_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str | None = None
+) -> DataFrame:
+    """``docs`` without runs of two or more lines with words that stand elsewhere first.
+
+    Where a run begins and ends doesn't depend on the lines around it. ``removed`` may name a
+    column to add, the number of lines removed.
+    """
+    text = whole(F.col(text_col))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    mark, of, of_mark, gone = fresh(docs.columns, "of_text", "of_id", "of_mark", "gone")
+    found = removed_lines(slim).toDF(of, of_mark, gone)
+    out = docs.withColumn(mark, F.xxhash64(text)).join(
+        found, same(F.col(id_col), F.col(of)) & (F.col(mark) == F.col(of_mark)), "left"
+    )
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    new_text = F.when(F.col(gone).isNotNull(), let(F.split(text, "\n"), kept)).otherwise(F.col(text_col))
+    shown = [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    count = F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.col(gone))).cast("long")
+    return out.select(*shown, *([count.alias(removed)] if removed else []))
+
+
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = dedup_lines(docs, counts=("n_lines", "n_chunks", "n_removed"))
