@@ -155,6 +155,17 @@ def test_toxic_words_that_ordinary_texts_hold_too():
     assert np.mean([caught(t) for t in ordinary[300:]]) < 0.1
 
 
+def test_every_picked_word_is_in_the_dictionary():
+    """Also words that stand only in the first of the toxic texts."""
+    rng = np.random.default_rng(3)
+    clean = ["".join(rng.choice(list("etaoinsr"), 5)) for _ in range(200)]
+    early, late = [[f"{a}{'xqzjvwk'[i % 7] * 4}{i}" for i in range(3)] for a in ("gub", "pylk")]
+    toxic = [" ".join(rng.permutation([*(early if i < 40 else late * 6), *rng.choice(clean, 30)])) for i in range(120)]
+    ordinary = [" ".join(rng.choice(clean, 60)) for _ in range(100)]
+    words_of = set(toxicity.train(toxic, ordinary, 0.3).toxic.decode().split(" "))
+    assert {*early, *late} <= words_of
+
+
 def test_gains_read_whole_texts():
     sizes = []
     toxicity.gains("word " * 40_000, lambda w: sizes.append(len(w)) or b"", lambda w: b"")
