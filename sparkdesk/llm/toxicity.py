@@ -43,8 +43,7 @@ SAMPLE_CHARS = 20_000
 SEED = 7
 # A telling part: the contexts in different toxic texts that it has at least; how many times as
 # often it stands in toxic as in ordinary texts; and least sums of that rate's logarithm over its
-# toxic texts, of which the calibration texts choose one (chance alone, among some 10^5 parts,
-# hardly reaches the first).
+# toxic texts, of which the calibration texts choose one.
 LEAST_CONTEXTS, LEAST_RATE = 4, 4.0
 EVIDENCE = (22.0, 30.0, 40.0, 60.0, 90.0)
 LEAST_SCORE = 0.3
