@@ -19,5 +19,5 @@ def test_matches_sql(spark, name):
 def test_entry_has_all():
     queries = entry_module.queries()
     assert {"pipeline", *QUERIES} <= set(queries)
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(entry_module.oracle_sql())
