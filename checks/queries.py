@@ -1075,13 +1075,16 @@ def subset_accuracy(spark, sf_dir):
     return found.select(F.round("subset_accuracy", 6).alias("subset_accuracy"))
 
 
+SOME_MISSING = f"SELECT * REPLACE (CASE WHEN id % 5 <> 0 THEN p END AS p) FROM ({V.PREDICTED})"
+SOME_EMPTY = f"SELECT * REPLACE (CASE WHEN id % 5 <> 0 THEN p ELSE [] END AS p) FROM ({V.PREDICTED_MULTI})"
+
 MULTI_COUNTS = f"""SELECT c AS label, sum((list_contains(y, c) AND list_contains(p, c))::INT) AS tp,
   sum(list_contains(p, c)::INT) AS predicted, sum(list_contains(y, c)::INT) AS support
-FROM ({V.PREDICTED_MULTI}), (SELECT unnest({V.CLASS_LIST}) AS c) GROUP BY c"""
+FROM ({SOME_EMPTY}), (SELECT unnest({V.CLASS_LIST}) AS c) GROUP BY c"""
 
-SINGLE_COUNTS = f"""SELECT c AS label, sum((y = c AND p = c)::INT) AS tp,
-  sum((p = c)::INT) AS predicted, sum((y = c)::INT) AS support
-FROM ({V.PREDICTED}), (SELECT unnest({V.CLASS_LIST}) AS c) GROUP BY c"""
+SINGLE_COUNTS = f"""SELECT c AS label, sum(coalesce(y = c AND p = c, false)::INT) AS tp,
+  sum(coalesce(p = c, false)::INT) AS predicted, sum((y = c)::INT) AS support
+FROM ({SOME_MISSING}), (SELECT unnest({V.CLASS_LIST}) AS c) GROUP BY c"""
 
 SCORED = """SELECT label, support::BIGINT AS support, tp, predicted,
   CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS precision,
@@ -1104,7 +1107,7 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
 
 @query(f"SELECT round(2 * sum(tp) / (sum(predicted) + sum(support)), 6) AS micro_f1 FROM ({MULTI_COUNTS})")
 def micro_f1(spark, sf_dir):
-    found = metrics.micro_f1(V.predicted_multi(spark, sf_dir), V.CLASSES)
+    found = metrics.micro_f1(_some_missing(V.predicted_multi(spark, sf_dir)), V.CLASSES)
     return found.select(F.round("micro_f1", 6).alias("micro_f1"))
 
 
@@ -1113,8 +1116,9 @@ def micro_f1(spark, sf_dir):
       (SELECT round(avg(f1), 6) FROM ({MULTI_SCORED})) AS multi"""
 )
 def macro_f1(spark, sf_dir):
-    single = metrics.macro_f1(V.predicted(spark, sf_dir)).withColumnRenamed("macro_f1", "single")
-    multi = metrics.macro_f1(V.predicted_multi(spark, sf_dir), V.CLASSES)
+    single = metrics.macro_f1(_some_missing(V.predicted(spark, sf_dir)))
+    single = single.withColumnRenamed("macro_f1", "single")
+    multi = metrics.macro_f1(_some_missing(V.predicted_multi(spark, sf_dir)), V.CLASSES)
     return single.select(
         F.round("single", 6).alias("single"), F.round(multi.scalar(), 6).alias("multi")
     )
@@ -1131,7 +1135,7 @@ def _rounded(report):
     )
 )
 def classification_report(spark, sf_dir):
-    return _rounded(metrics.classification_report(V.predicted(spark, sf_dir)))
+    return _rounded(metrics.classification_report(_some_missing(V.predicted(spark, sf_dir))))
 
 
 @query(
@@ -1144,12 +1148,14 @@ def classification_report(spark, sf_dir):
           avg(CASE WHEN len(y) = 0 THEN 0 ELSE len(list_intersect(y, p)) / len(y) END),
           avg(CASE WHEN len(y) + len(p) = 0 THEN 0
             ELSE 2 * len(list_intersect(y, p)) / (len(y) + len(p)) END), sum(len(y))
-        FROM ({V.PREDICTED_MULTI})""",
+        FROM ({SOME_EMPTY})""",
     )
 )
 def classification_report_multi(spark, sf_dir):
     return _rounded(
-        metrics.classification_report_multi(V.predicted_multi(spark, sf_dir), V.CLASSES)
+        metrics.classification_report_multi(
+            _some_missing(V.predicted_multi(spark, sf_dir)), V.CLASSES
+        )
     )
 
 

@@ -61,6 +61,22 @@ def test_single_label_metrics(spark):
     assert matrix == [("c", 0, 1, 0), ("a", 0, 1, 1), ("b", 0, 0, 2)]
 
 
+def test_missing_labels_are_no_class(spark):
+    pairs = [("a", "a"), ("a", None), ("b", "b"), ("b", None), (None, "b")]
+    df = spark.createDataFrame(pairs, "y string, p string")
+    rows = report(M.classification_report(df))
+    assert set(rows) == {"a", "b", "accuracy", "macro avg", "weighted avg"}
+    assert rows["a"] == pytest.approx((1.0, 0.5, 2 / 3, 2))
+    assert rows["b"] == pytest.approx((0.5, 0.5, 0.5, 2))
+    assert rows["accuracy"] == (None, None, 0.5, 4)
+    known = df.where("y IS NOT NULL")
+    assert M.macro_f1(known).first()[0] == pytest.approx(2 / 3)
+    lists = spark.createDataFrame([(["a"], None), (None, ["a"]), (["a"], ["a"])], "y array<string>, p array<string>")
+    got = report(M.classification_report_multi(lists, ["a"]))
+    assert got["a"] == pytest.approx((0.5, 0.5, 0.5, 2))
+    assert got["samples avg"] == pytest.approx((1 / 3, 1 / 3, 1 / 3, 2))
+
+
 def test_multi_label_metrics(spark):
     rows = [(["a", "b"], ["a"]), (["b"], ["b", "c"]), ([], []), (["a"], ["b"])]
     df = spark.createDataFrame(rows, "y array<string>, p array<string>")
