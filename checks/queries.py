@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -658,12 +657,11 @@ def feature_union(spark, sf_dir):
     )
     model = features.Tfidf(output_col="tfidf", max_features=UNION_FEATURES, sublinear=False).fit(docs)
     both = features.feature_union(features.tfidf_transform(model, docs), ["tfidf", "urgent"])
-    vector = F.unwrap_udt("features")
     return both.select(
         "doc_id",
         "urgent",
-        F.coalesce(vector["size"], F.size(vector["values"])).alias("width"),
-        F.round(F.aggregate(vector["values"], F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+        F.col("features.size").alias("width"),
+        F.round(F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
     )
 
 
@@ -842,12 +840,10 @@ def fit_single_label_optimal(spark, sf_dir):
     """
     docs = _loaded(spark, sf_dir, _intent)
     model = training.fit_single_label(docs)
-    *stages, classifier, _ = model.pipeline.stages
-    out = stages[-1].getOutputCol()
     counts = features.class_weights(docs, "label")
-    rows = model.scores(features.tfidf_transform(PipelineModel(stages), docs), "share")
+    rows = model.scores(features.tfidf_transform(model.features, docs), "share")
     rows = rows.join(F.broadcast(counts.select("label", "weight")), "label")  # a row per class
-    vector = F.unwrap_udt(F.col(out))
+    vector = F.col("features")
     entries = rows.select(
         "label", "weight", "share", F.inline(F.arrays_zip(vector["indices"], vector["values"]))
     ).toDF("label", "weight", "share", "idx", "x")
@@ -856,7 +852,7 @@ def fit_single_label_optimal(spark, sf_dir):
         for k, name in enumerate(model.labels)
     ]
     sums = entries.groupBy("idx").agg(*pulls)
-    matrix = classifier.coefficientMatrix.toArray()
+    matrix = model.coefficients
     held = spark.createDataFrame(
         [(i, [float(v) for v in matrix[:, i]]) for i in range(matrix.shape[1])], "idx int, b array<double>"
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import keyword_only
@@ -11,18 +12,18 @@ from pyspark.ml.feature import (
     CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
-    Normalizer,
-    VectorAssembler,
 )
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdesk.functions.text import let, urgency_flag
 from sparkdesk.functions.tokens import stop_words, term_counts, terms
+from sparkdesk.session import materialize, remove_path
 
 # Vocabulary settings of the ticket classifiers.
 NGRAMS = (1, 2)
@@ -108,33 +109,123 @@ class TermExtractor(
         )
 
 
-VECTOR_FIELD = T.StructType([T.StructField("v", VectorUDT())])
+# Sparse features are plain structs of the layout in which Spark stores a sparse vector: built-in
+# expressions make and read them, and a written table of them reads back as vectors.
+SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-class SublinearCounts(
+def sparse_struct(size: Column, indices: Column, values: Column) -> Column:
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        size.cast("int").alias("size"),
+        indices.alias("indices"),
+        values.alias("values"),
+    )
+
+
+def sparse_column(df: DataFrame, name: str) -> Column:
+    """A feature column as a struct, whether the table holds structs or vectors."""
+    column = F.col(name)
+    return F.unwrap_udt(column) if isinstance(df.schema[name].dataType, VectorUDT) else column
+
+
+@contextmanager
+def written_vectors(df: DataFrame, tag: str, *names: str) -> Iterator[DataFrame]:
+    """``df`` as a table of the shared folder, the named feature structs read back as vectors.
+
+    A table that holds vectors already comes from such a file and is not written again.
+    """
+    if all(isinstance(df.schema[n].dataType, VectorUDT) for n in names):
+        yield df
+        return
+    _, path = materialize(df, tag)
+    fields = [
+        T.StructField(f.name, VectorUDT() if f.name in names else f.dataType, True) for f in df.schema
+    ]
+    try:
+        yield df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+    finally:
+        remove_path(df.sparkSession, path)
+
+
+class RowWeights(
+    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Term counts and their idf-scaled copy to weights of length 1, as a sparse struct."""
+
+    scaledCol = Param(Params._dummy(), "scaledCol", "counts times idf", TypeConverters.toString)
+    sublinear = Param(Params._dummy(), "sublinear", "damp counts", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, inputCol="counts", scaledCol="scaled", outputCol="features", sublinear=True):
+        super().__init__()
+        self._setDefault(inputCol="counts", scaledCol="scaled", outputCol="features", sublinear=True)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        counts = F.unwrap_udt(F.col(self.getInputCol()))
+        scaled = F.unwrap_udt(F.col(self.getOrDefault(self.scaledCol)))
+        values = scaled["values"]
+        if self.getOrDefault(self.sublinear):
+            values = F.zip_with(values, counts["values"], lambda x, n: x / n * (1 + F.log(n)))
+
+        def normal(x: Column) -> Column:
+            squares = F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v)
+            return let(F.sqrt(squares), lambda norm: F.transform(x, lambda v: v / norm))
+
+        weights = sparse_struct(scaled["size"], scaled["indices"], let(values, normal))
+        return dataset.withColumn(self.getOutputCol(), weights)
+
+
+class UrgencyFlag(
     Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
-    """Term counts tf to 1 + ln(tf) on sparse vectors."""
+    """1 for texts with a word that asks for haste, else 0."""
 
     @keyword_only
-    def __init__(self, *, inputCol="counts", outputCol="weights"):
+    def __init__(self, *, inputCol="text", outputCol="urgent"):
         super().__init__()
-        self._setDefault(inputCol="counts", outputCol="weights")
+        self._setDefault(inputCol="text", outputCol="urgent")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        raw = F.unwrap_udt(F.col(self.getInputCol()))
-        damped = raw.withField("values", F.transform(raw["values"], lambda x: 1 + F.log(x)))
-        # A struct has no cast to a vector; the JSON reader builds one inside the JVM.
-        wrapped = F.from_json(F.to_json(F.struct(damped.alias("v"))), VECTOR_FIELD)["v"]
-        return dataset.withColumn(self.getOutputCol(), wrapped)
+        return dataset.withColumn(self.getOutputCol(), urgency_flag(F.col(self.getInputCol())))
+
+
+class SparseUnion(
+    Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Sparse features and numbers side by side in one sparse struct; a null number is 0."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCol="features"):
+        super().__init__()
+        self._setDefault(outputCol="features")
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        none = {"indices": F.array().cast("array<int>"), "values": F.array().cast("array<double>")}
+        width, places, values = F.lit(0), [], []
+        for name in self.getInputCols():
+            if isinstance(dataset.schema[name].dataType, T.NumericType):
+                x = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+                places.append(F.when(x != 0, F.array(width)).otherwise(none["indices"]))
+                values.append(F.when(x != 0, F.array(x)).otherwise(none["values"]))
+                width = width + 1
+            else:
+                part, start = sparse_column(dataset, name), width
+                places.append(F.transform(part["indices"], lambda i, start=start: i + start))
+                values.append(part["values"])
+                width = width + part["size"]
+        both = sparse_struct(width, F.concat(*places), F.concat(*values))
+        return dataset.withColumn(self.getOutputCol(), both)
 
 
 class Tfidf(Estimator):
-    """Fits a pipeline model from text to L2-normalised TF-IDF vectors (jobs).
+    """Fits a pipeline model from text to L2-normalised TF-IDF features (jobs).
 
     Only the bounded vocabulary and its weights reach the driver; transforming is
-    narrow, without a shuffle.
+    narrow, without a shuffle. A table that holds the extractor's terms isn't read for text.
     """
 
     def __init__(
@@ -156,16 +247,19 @@ class Tfidf(Estimator):
         self.max_features, self.sublinear = max_features, sublinear
         self.words = stop_words() if words is None else list(words)
 
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        prefix = self.output_col
-        extract = TermExtractor(
+    def extractor(self) -> TermExtractor:
+        return TermExtractor(
             inputCol=self.input_col,
-            outputCol=f"{prefix}_terms",
+            outputCol=f"{self.output_col}_terms",
             lo=self.ngram[0],
             hi=self.ngram[1],
             words=self.words,
         )
-        listed = extract.transform(dataset.select(self.input_col))
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        prefix = self.output_col
+        extract = self.extractor()
+        listed = extract.transform(dataset).select(f"{prefix}_terms")
         vocab = vocab_topk(
             vocab_df(listed, f"{prefix}_terms", self.min_df, self.max_df), self.max_features
         )
@@ -184,24 +278,49 @@ class Tfidf(Estimator):
         placed = counts.transform(kept).select(
             "term", "idf", F.get(F.unwrap_udt(f"{prefix}_counts")["indices"], 0).alias("idx")
         ).toArrow().sort_by("idx")
-        stages = [extract, counts]
-        weights = f"{prefix}_counts"
-        if self.sublinear:
-            stages.append(SublinearCounts(inputCol=weights, outputCol=f"{prefix}_tf"))
-            weights = f"{prefix}_tf"
-        stages += [
-            ElementwiseProduct(
-                scalingVec=DenseVector(placed["idf"].to_numpy()),
-                inputCol=weights,
-                outputCol=f"{prefix}_tfidf",
-            ),
-            Normalizer(p=2.0, inputCol=f"{prefix}_tfidf", outputCol=self.output_col),
-        ]
-        model = PipelineModel(stages)
+        model = PipelineModel(
+            [
+                extract,
+                counts,
+                ElementwiseProduct(
+                    scalingVec=DenseVector(placed["idf"].to_numpy()),
+                    inputCol=f"{prefix}_counts",
+                    outputCol=f"{prefix}_scaled",
+                ),
+                RowWeights(
+                    inputCol=f"{prefix}_counts",
+                    scaledCol=f"{prefix}_scaled",
+                    outputCol=prefix,
+                    sublinear=self.sublinear,
+                ),
+            ]
+        )
         model.terms = placed["term"].to_pylist()
         return model
 
 
+class TextAndUrgency(Estimator):
+    """Fits TF-IDF features with the urgency flag beside them, as one pipeline (jobs)."""
+
+    def __init__(self, input_col: str = "text", output_col: str = "features", **options):
+        super().__init__()
+        self.output_col = output_col
+        self.tfidf = Tfidf(input_col=input_col, output_col=f"{output_col}_text", **options)
+
+    def extractor(self) -> TermExtractor:
+        return self.tfidf.extractor()
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        text, flag = self.tfidf.output_col, f"{self.output_col}_urgent"
+        return PipelineModel(
+            [
+                *self.tfidf.fit(dataset).stages,
+                UrgencyFlag(inputCol=self.tfidf.input_col, outputCol=flag),
+                SparseUnion(inputCols=[text, flag], outputCol=self.output_col),
+            ]
+        )
+
+
 def tfidf_transform(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` plus the feature column, without the columns of the steps between.
 
@@ -224,12 +343,11 @@ def vocabulary(model: PipelineModel) -> list[str]:
 def tfidf_long(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
     """The non-zero weights as ``row_id, term, value`` rows."""
     out = model.stages[-1].getOutputCol()
-    vector = F.unwrap_udt(F.col(out))
-    entries = (
-        tfidf_transform(model, df)
-        .select(row_id, F.inline_outer(F.arrays_zip(vector["indices"], vector["values"])))
-        .toDF(row_id, "idx", "value")
-    )
+    rows = tfidf_transform(model, df)
+    vector = sparse_column(rows, out)
+    entries = rows.select(
+        row_id, F.inline_outer(F.arrays_zip(vector["indices"], vector["values"]))
+    ).toDF(row_id, "idx", "value")
     words = vocabulary(model)
     names = df.sparkSession.createDataFrame(
         pa.table({"idx": pa.array(range(len(words)), pa.int32()), "term": words})
@@ -239,7 +357,8 @@ def tfidf_long(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
 
 
 def feature_union(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
+    """``df`` plus sparse features and number columns side by side."""
+    return SparseUnion(inputCols=list(cols), outputCol=out).transform(df)
 
 
 # Labels

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkdesk.functions.decode import decode_multi, decode_single, softmax_scores
+from sparkdesk.functions.decode import decode_multi, decode_single
 from sparkdesk.functions.text import combine_title_body, format_predictions, mark_tickets
 from sparkdesk.operators.reports import prediction_log
-from sparkdesk.plans.training import MultiLabelModel, OneVsRestModel, SingleLabelModel
+from sparkdesk.plans.linear import LinearModel, MultiLabelModel, SingleLabelModel, decision_values
 from sparkdesk.session import written
 from sparkdesk.sources.tables import read_tickets_csv, require_columns, write_csv
 
@@ -40,20 +40,15 @@ class TicketModels:
         )
 
 
-def probabilities(model: SingleLabelModel | MultiLabelModel, df: DataFrame, out: str) -> DataFrame:
+def probabilities(model: LinearModel, df: DataFrame, out: str) -> DataFrame:
     """``df`` plus one probability per label of the model."""
-    scored = model.scores(df, out)
-    if isinstance(model, OneVsRestModel):
-        return scored.withColumn(out, softmax_scores(F.col(out)))
-    return scored
+    return decision_values(df, {out: model}).withColumn(out, model.shares(F.col(out)))
 
 
 def _with_terms(df: DataFrame, models: TicketModels) -> DataFrame:
     """Extract the terms once if the three models want the same ones."""
     extractors = [
-        models.category.features.stages[0],
-        models.priority.pipeline.stages[0],
-        models.intent.pipeline.stages[0],
+        m.features.stages[0] for m in (models.category, models.priority, models.intent)
     ]
     if len({e.settings() for e in extractors}) == 1:
         return extractors[0].transform(df)
@@ -61,18 +56,21 @@ def _with_terms(df: DataFrame, models: TicketModels) -> DataFrame:
 
 
 def predict_batch(df: DataFrame, models: TicketModels) -> DataFrame:
-    """``df`` plus ``category``, ``priority`` and ``intent``; narrow, without a shuffle."""
+    """``df`` plus ``category``, ``priority`` and ``intent``; narrow, without a shuffle.
+
+    One pass through Python multiplies the features of all three models with their matrices.
+    """
     require_columns(df, ["title", "body"], "table", list_all=True)
     kept = df.columns
     scored = df.withColumn("text", combine_title_body(F.col("title"), F.col("body")))
-    scored = _with_terms(scored, models)
-    for name in ("category", "priority", "intent"):
-        scored = probabilities(getattr(models, name), scored, f"{name}_scores")
+    named = {f"{t}_margins": getattr(models, t) for t in ("category", "priority", "intent")}
+    scored = decision_values(_with_terms(scored, models), named)
+    category, priority, intent = (m.shares(F.col(name)) for name, m in named.items())
     return scored.select(
         *kept,
-        decode_multi(F.col("category_scores"), models.category.labels).alias("category"),
-        decode_single(F.col("priority_scores"), models.priority.labels).alias("priority"),
-        decode_single(F.col("intent_scores"), models.intent.labels).alias("intent"),
+        decode_multi(category, models.category.labels).alias("category"),
+        decode_single(priority, models.priority.labels).alias("priority"),
+        decode_single(intent, models.intent.labels).alias("intent"),
     )
 
 

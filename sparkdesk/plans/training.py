@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model, PipelineModel
+import numpy as np
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IndexToString
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdesk.functions.decode import decode_single, sigmoid_scores
-from sparkdesk.functions.labels import literal_map
 from sparkdesk.operators.features import (
     Tfidf,
     label_classes,
     multi_hot,
     tfidf_transform,
+    written_vectors,
 )
 from sparkdesk.operators.metrics import accuracy, macro_f1, micro_f1, subset_accuracy
 from sparkdesk.operators.sampling import split_random, split_size, split_stratified
+from sparkdesk.plans.linear import (
+    LinearModel,
+    MultiLabelModel,
+    OneVsRestModel,
+    SingleLabelModel,
+    stacked,
+)
 from sparkdesk.plans.loading import load_category, load_intent, load_priority
 from sparkdesk.session import materialize, remove_path, written
-from sparkdesk.sources.registry import REGISTRY, append_registry, load_model, save_model
+from sparkdesk.sources.registry import REGISTRY, append_registry
 from sparkdesk.sources.tables import limit_rows
 
 SEED = 42
@@ -79,43 +85,33 @@ def run_parallel(jobs: Sequence[Callable[[], object]]) -> list:
         return list(pool.map(lambda job: job(), jobs))
 
 
-def _featured(stages: Sequence, df: DataFrame) -> DataFrame:
-    """``df`` through the feature stages, unless it has their vectors already."""
-    if stages[-1].getOutputCol() in df.columns:
-        return df
-    return PipelineModel(list(stages)).transform(df)
-
-
-# Single label
-
-@dataclass
-class SingleLabelModel:
-    """Feature pipeline, classifier and the class names in index order."""
+@contextmanager
+def fitted_vectors(
+    df: DataFrame, text: str, features: Estimator | PipelineModel | None, *columns: str
+) -> Iterator[tuple[DataFrame, PipelineModel]]:
+    """The columns with ``features`` as vectors in a table, and the feature pipeline (jobs).
 
-    pipeline: PipelineModel
-    labels: list[str]
-
-    def scores(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` plus the probabilities of the labels."""
-        *features, classifier, _ = self.pipeline.stages
-        quiet = classifier.copy().setProbabilityCol(f"{out}_vector")
-        quiet.setRawPredictionCol("").setPredictionCol("")
-        scored = quiet.transform(_featured(features, df))
-        return scored.select(*df.columns, vector_to_array(f"{out}_vector").alias(out))
+    Features that are still to be fitted read a table of the rows' terms, so texts are
+    tokenised once.
+    """
+    features = features or Tfidf(input_col=text)
 
-    def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        *features, classifier, names = self.pipeline.stages
-        scored = PipelineModel([classifier, names]).transform(_featured(features, df))
-        return scored.select(*df.columns, F.col("predicted_label").alias(out))
+    @contextmanager
+    def listed() -> Iterator[DataFrame]:
+        if isinstance(features, PipelineModel) or features.extractor().getOutputCol() in df.columns:
+            yield df
+        else:
+            with written(features.extractor().transform(df), "terms") as table:
+                yield table
 
-    def save(self, path: str) -> None:
-        save_model(self.pipeline, path)
+    with listed() as rows:
+        model = features.fit(rows) if isinstance(features, Estimator) else features
+        vectors = tfidf_transform(model, rows).select("features", *columns)
+        with written_vectors(vectors, "features", "features") as table:
+            yield table, model
 
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> SingleLabelModel:
-        pipeline = load_model(spark, path)
-        return SingleLabelModel(pipeline, list(pipeline.stages[-1].getLabels()))
 
+# Single label
 
 def fit_single_label(
     df: DataFrame,
@@ -127,24 +123,26 @@ def fit_single_label(
     """Balanced single-label classifier on TF-IDF features (jobs)."""
     if isinstance(classifier(1), LinearSVC):
         return fit_one_vs_rest(df, text, label, features, classifier)
-    labels = label_classes(df, label)
+    named = df.where(F.col(label).isNotNull())
+    counts = {r[label]: r["count"] for r in named.groupBy(label).count().orderBy(label).collect()}
+    labels, weights = list(counts), balanced(counts)
     if len(labels) < 2:
         raise ValueError("a classifier needs at least two classes")
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    weights = balanced(counts)
-    model = _fitted_features(df, text, features)
-    ids = literal_map({x: float(i) for i, x in enumerate(labels)})
-    costs = literal_map({x: weights[x] for x in labels})
-    rows = tfidf_transform(model, df).select(
-        "features", ids[F.col(label)].alias("label_id"), costs[F.col(label)].alias("weight")
+    classes = df.sparkSession.createDataFrame(
+        [(x, float(i), weights[x]) for i, x in enumerate(labels)],
+        f"`{label}` string, label_id double, weight double",
     )
-    with written(rows, "features") as table:
-        fitted = classifier(sum(counts.values())).fit(table)
-    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-    return SingleLabelModel(PipelineModel([*model.stages, fitted, names]), labels)
+    with fitted_vectors(named, text, features, label) as (table, model):
+        rows = table.join(F.broadcast(classes), label)  # one row per class
+        fitted = classifier(sum(counts.values())).fit(rows.select("features", "label_id", "weight"))
+    matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if len(labels) == 2:
+        matrix = np.vstack([np.zeros_like(matrix), matrix])
+        intercepts = np.concatenate([[0.0], intercepts])
+    return SingleLabelModel(model, labels, matrix, intercepts)
 
 
-def evaluate_single(model: SingleLabelModel, df: DataFrame, label: str = "label") -> dict:
+def evaluate_single(model: LinearModel, df: DataFrame, label: str = "label") -> dict:
     """Accuracy and macro F1 of one pass over the rows (job)."""
     scored = model.predict(df).select(F.col(label).alias("y"), "p")
     with written(scored, "judged") as judged:
@@ -157,114 +155,26 @@ def _value(df: DataFrame) -> float:
 
 # Several labels
 
-@dataclass
-class MultiLabelModel:
-    """One binary classifier per label over shared features.
-
-    A label present in all or no training rows has a constant score instead.
-    """
-
-    features: PipelineModel
-    labels: list[str]
-    binary: dict[str, Model] = field(default_factory=dict)
-    constant: dict[str, float] = field(default_factory=dict)
-
-    def _binary_scores(self, df: DataFrame, out: str) -> tuple[DataFrame, dict[str, Column]]:
-        """Probability, or decision value, of each binary classifier."""
-        scored, found = _featured(self.features.stages, df), {}
-        for i, (label, model) in enumerate(self.binary.items()):
-            quiet, name = model.copy().setPredictionCol(""), f"{out}_{i}"
-            if quiet.hasParam("probabilityCol"):
-                quiet.setProbabilityCol(name).setRawPredictionCol("")
-            else:
-                quiet.setRawPredictionCol(name)
-            scored = quiet.transform(scored)
-            found[label] = F.get(vector_to_array(name), 1)
-        return scored, found
-
-    def scores(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` plus an array with one score in [0, 1] per label."""
-        scored, found = self._binary_scores(df, out)
-        for label, model in self.binary.items():
-            if not model.hasParam("probabilityCol"):
-                found[label] = F.get(sigmoid_scores(F.array(found[label])), 0)
-        parts = [found[x] if x in found else F.lit(self.constant[x]) for x in self.labels]
-        return scored.select(*df.columns, F.array(*parts).alias(out))
-
-    def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        """``df`` plus the labels scoring above 0.5."""
-        names = F.array(*[F.lit(x) for x in self.labels])
-        hits = F.transform(
-            F.col("_scores"), lambda s, i: F.when(s > 0.5, F.get(names, i))
-        )
-        return (
-            self.scores(df, "_scores").withColumn(out, F.array_compact(hits)).drop("_scores")
-        )
-
-    def save(self, path: str) -> None:
-        kept = [x for x in self.labels if x in self.binary]
-        save_model(PipelineModel([self.features, *[self.binary[x] for x in kept]]), f"{path}/model")
-        spark = SparkSession.getActiveSession()
-        rows = [(i, x, x in self.binary, self.constant.get(x)) for i, x in enumerate(self.labels)]
-        spark.createDataFrame(
-            rows, "position int, label string, fitted boolean, constant double"
-        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> MultiLabelModel:
-        pipeline = load_model(spark, f"{path}/model")
-        rows = spark.read.parquet(f"{path}/labels").orderBy("position").collect()
-        kept = [r["label"] for r in rows if r["fitted"]]
-        return cls(
-            pipeline.stages[0],
-            [r["label"] for r in rows],
-            dict(zip(kept, pipeline.stages[1:])),
-            {r["label"]: r["constant"] for r in rows if r["constant"] is not None},
-        )
-
-
-@dataclass
-class OneVsRestModel(MultiLabelModel):
-    """One label per row: the largest decision value of the binary classifiers.
-
-    Of two labels only the second has a classifier; the first scores its negative.
-    """
-
-    def scores(self, df: DataFrame, out: str) -> DataFrame:
-        scored, found = self._binary_scores(df, out)
-        if len(self.labels) == 2:
-            found[self.labels[0]] = -found[self.labels[1]]
-        return scored.select(*df.columns, F.array(*[found[x] for x in self.labels]).alias(out))
-
-    def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        best = decode_single(F.col("_scores"), self.labels)["label"]
-        return self.scores(df, "_scores").withColumn(out, best).drop("_scores")
-
-
 def _fit_binaries(
-    hot: DataFrame,
+    table: DataFrame,
     names: Sequence[str],
     costs: Callable[[int, int], tuple[float, float]],
     classifier: Callable[[float], Estimator],
-) -> tuple[dict[str, Model], dict[str, float]]:
-    """A binary classifier per name on ``features, hot``; constant labels get a constant.
+) -> tuple[dict[str, tuple[np.ndarray, float]], dict[str, float]]:
+    """Coefficients of a binary classifier per name on ``features, hot``, and the scores of
+    names that all or no rows have.
 
-    The features are computed once into a table, and the fits read it side by side.
-    ``costs`` gives the weight of a negative and of a positive row.
+    The fits read one table of vectors side by side. ``costs`` gives the weight of a negative
+    and of a positive row.
     """
-    with written(hot.select("features", "hot"), "features") as table:
-        return _fit_table(table, names, costs, classifier)
-
-
-def _fit_table(table: DataFrame, names, costs, classifier):
     totals = table.agg(
         F.count("*").alias("rows"),
-        *[F.sum(F.get("hot", i)).alias(f"n{i}") for i in range(len(names))],
+        F.array(*[F.sum(F.get("hot", i)) for i in range(len(names))]).alias("ones"),
     ).first()
     rows = totals["rows"]
     constant, jobs = {}, {}
     for i, name in enumerate(names):
-        ones = totals[f"n{i}"] or 0
+        ones = totals["ones"][i] or 0
         if ones in (0, rows):
             constant[name] = 1.0 if ones and ones == rows else 0.0
             continue
@@ -278,12 +188,21 @@ def _fit_table(table: DataFrame, names, costs, classifier):
         estimator = classifier(negative * (rows - ones) + positive * ones)
         jobs[name] = lambda part=part, estimator=estimator: estimator.fit(part)
     fitted = dict(zip(jobs, run_parallel(list(jobs.values()))))
-    return fitted, constant
+    return {x: (m.coefficients.toArray(), m.intercept) for x, m in fitted.items()}, constant
+
 
+def multi_label_costs(rows: int, ones: int) -> tuple[float, float]:
+    """Balanced weights of a row without and with a label."""
+    return rows / (2 * (rows - ones)), rows / (2 * ones)
 
-def _fitted_features(df: DataFrame, text: str, features) -> PipelineModel:
-    model = features or Tfidf(input_col=text)
-    return model.fit(df) if isinstance(model, Estimator) else model
+
+def one_vs_rest_costs(classes: int) -> Callable[[int, int], tuple[float, float]]:
+    """A class weighs n / (classes * its rows) as the positive side and 1 among the rest; with
+    two classes both sides have their class weight."""
+    def costs(rows: int, ones: int) -> tuple[float, float]:
+        return (rows / (2 * (rows - ones)) if classes == 2 else 1.0), rows / (classes * ones)
+
+    return costs
 
 
 def fit_multi_label(
@@ -296,13 +215,10 @@ def fit_multi_label(
 ) -> MultiLabelModel:
     """One balanced binary classifier per class (jobs)."""
     names = list(classes) if classes is not None else label_classes(df, labels)
-    model = _fitted_features(df, text, features)
-
-    def costs(rows: int, ones: int) -> tuple[float, float]:
-        return rows / (2 * (rows - ones)), rows / (2 * ones)
-
-    hot = multi_hot(tfidf_transform(model, df), labels, names)
-    return MultiLabelModel(model, names, *_fit_binaries(hot, names, costs, classifier))
+    hot = multi_hot(df, labels, names)
+    with fitted_vectors(hot, text, features, "hot") as (table, model):
+        rows, constant = _fit_binaries(table, names, multi_label_costs, classifier)
+    return stacked(model, names, rows, MultiLabelModel, constant)
 
 
 def fit_one_vs_rest(
@@ -314,27 +230,24 @@ def fit_one_vs_rest(
 ) -> OneVsRestModel:
     """Single-label model of one binary classifier per class (jobs).
 
-    A class weighs n / (classes * its rows) as the positive side and 1 among the rest;
-    with two classes both sides have their class weight.
+    Of two labels only the second has a classifier; the first scores its negative.
     """
     names = label_classes(df, label)
     if len(names) < 2:
         raise ValueError("a classifier needs at least two classes")
-    model = _fitted_features(df, text, features)
-
-    def costs(rows: int, ones: int) -> tuple[float, float]:
-        positive = rows / (len(names) * ones)
-        return (rows / (2 * (rows - ones)) if len(names) == 2 else 1.0), positive
-
     fitted = names[1:] if len(names) == 2 else names
-    hot = multi_hot(
-        tfidf_transform(model, df).withColumn("_own", F.array(label)), "_own", fitted
-    )
-    binary, _ = _fit_binaries(hot, fitted, costs, classifier or linear_svm)
-    return OneVsRestModel(model, names, binary)
+    hot = multi_hot(df.withColumn("_own", F.array(label)), "_own", fitted)
+    with fitted_vectors(hot, text, features, "hot") as (table, model):
+        rows, _ = _fit_binaries(
+            table, fitted, one_vs_rest_costs(len(names)), classifier or linear_svm
+        )
+    if len(names) == 2:
+        coefficients, intercept = rows[names[1]]
+        rows[names[0]] = (-coefficients, -intercept)
+    return stacked(model, names, rows, OneVsRestModel)
 
 
-def evaluate_multi(model: MultiLabelModel, df: DataFrame, labels: str = "labels") -> dict:
+def evaluate_multi(model: LinearModel, df: DataFrame, labels: str = "labels") -> dict:
     scored = model.predict(df).select(F.col(labels).alias("y"), "p")
     with written(scored, "judged") as judged:
         return {
@@ -353,12 +266,17 @@ def fit_linear_svm(df: DataFrame, label: str, text: str = "text", **options):
 
 
 def split_table(
-    df: DataFrame, row_id: str, label: str, test: float | int | None = None
+    df: DataFrame,
+    row_id: str,
+    label: str,
+    test: float | int | None = None,
+    features: Estimator | None = None,
 ) -> tuple[DataFrame, str]:
     """The rows with ``is_test`` as a table of the shared folder, and its path (jobs).
 
     The loader's text work runs once, before the passes of the split. Label lists
-    split at random, single labels by class.
+    split at random, single labels by class. With ``features`` the table also holds the
+    terms that they are fitted on and made of.
     """
     with written(df, "loaded") as loaded:
         if test is None:
@@ -367,6 +285,8 @@ def split_table(
             split = split_random(loaded, row_id, SEED, test)
         else:
             split = split_stratified(loaded, row_id, label, SEED, test)
+        if features is not None:
+            split = features.extractor().transform(split)
         return materialize(split, "split")
 
 
@@ -374,6 +294,29 @@ def split_parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(~F.col("is_test")).drop("is_test"), df.where("is_test").drop("is_test")
 
 
+@contextmanager
+def split_vectors(
+    df: DataFrame,
+    row_id: str,
+    label: str,
+    text: str = "text",
+    test: float | int | None = None,
+    features: Estimator | None = None,
+) -> Iterator[tuple[DataFrame, PipelineModel]]:
+    """The split rows with feature vectors instead of texts, and the feature pipeline, fitted on
+    the training rows (jobs). Texts are tokenised once."""
+    features = features or Tfidf(input_col=text)
+    table, path = split_table(df, row_id, label, test, features)
+    try:
+        model = features.fit(table.where(~F.col("is_test")))
+        kept = [c for c in (*df.columns, "is_test") if c != text]
+        vectors = tfidf_transform(model, table).select(*kept, "features")
+        with written_vectors(vectors, "vectors", "features") as rows:
+            yield rows, model
+    finally:
+        remove_path(df.sparkSession, path)
+
+
 def compare_models(
     df: DataFrame,
     candidates: Mapping[str, Callable[[float], Estimator]],
@@ -389,28 +332,42 @@ def compare_models(
     document-frequency bounds or stop words. They are fitted on the training rows.
     """
     multi = dict(df.dtypes)[label].startswith("array")
-    table, path = split_table(df, row_id, label, test)
     results = []
-    try:
-        fitted = (features or Tfidf(input_col=text)).fit(table.where(~F.col("is_test")))
-        with written(tfidf_transform(fitted, table), "compared") as vectors:
-            train, held = split_parts(vectors)
-            for name, classifier in candidates.items():
-                fit, of = (fit_multi_label, "labels") if multi else (fit_single_label, "label")
-                model = fit(train, text=text, features=fitted, classifier=classifier, **{of: label})
-                scored = model.predict(held).select(F.col(label).alias("y"), "p")
+    with split_vectors(df, row_id, label, text, test, features) as (rows, fitted):
+        train, held = split_parts(rows)
+        for name, classifier in candidates.items():
+            fit, of = (fit_multi_label, "labels") if multi else (fit_single_label, "label")
+            model = fit(train, text=text, features=fitted, classifier=classifier, **{of: label})
+            scored = model.predict(held).select(F.col(label).alias("y"), "p")
+            with written(scored, "judged") as judged:
                 if multi:
-                    scores = (subset_accuracy(scored), macro_f1(scored, model.labels))
+                    scores = (subset_accuracy(judged), macro_f1(judged, model.labels))
                 else:
-                    scores = (accuracy(scored), macro_f1(scored))
+                    scores = (accuracy(judged), macro_f1(judged))
                 results.append((name, *[_value(s) for s in scores]))
-    finally:
-        remove_path(df.sparkSession, path)
     return df.sparkSession.createDataFrame(
         results, "model string, accuracy double, macro_f1 double"
     )
 
 
+def compare_texts(
+    df: DataFrame,
+    texts: Sequence[str],
+    candidates: Mapping[str, Callable[[float], Estimator]],
+    row_id: str,
+    **options,
+) -> DataFrame:
+    """``compare_models`` for each of several text columns, with the column's name as ``text``."""
+    found = [
+        compare_models(df, candidates, row_id, text=t, **options).select(F.lit(t).alias("text"), "*")
+        for t in texts
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @dataclass(frozen=True)
 class TrainingResult:
     target: str
@@ -428,19 +385,16 @@ def train_target(
     """Split, fit, evaluate and save one target; ``df`` comes from a training loader."""
     multi = "labels" in df.columns
     label = "labels" if multi else "label"
-    table, path = split_table(df, row_id, label)
-    try:
+    with split_vectors(df, row_id, label) as (table, features):
         rows, names = table.count(), label_classes(table, label)
         train, held = split_parts(table)
         if multi:
-            model = fit_multi_label(train, names)
+            model = fit_multi_label(train, names, features=features)
             metrics = evaluate_multi(model, held)
         else:
-            model = fit_single_label(train)
+            model = fit_single_label(train, features=features)
             metrics = evaluate_single(model, held)
         model.save(out)
-    finally:
-        remove_path(df.sparkSession, path)
     kind = MULTI_TYPE if multi else SINGLE_TYPE
     return TrainingResult(target, out, rows, names, metrics, kind, dataset)
 
