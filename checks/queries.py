@@ -597,8 +597,8 @@ def _listed(spark, sf_dir, hi: int = 2):
     SELECT term, df, cf FROM ({sql_vocab(5)}), n WHERE df >= 0.01 * n AND df <= 0.9 * n"""
 )
 def vocab_df(spark, sf_dir):
-    return features.vocab_df(_listed(spark, sf_dir, 5), "terms", min_df=0.01, max_df=0.9)
-
+    with features.vocab_levels(_listed(spark, sf_dir, 5), "terms", 5, min_df=0.01, max_df=0.9) as vocab:
+        return materialize(vocab, "vocabulary")[0]
 
 
 def sql_top(size: int = features.MAX_FEATURES) -> str:
@@ -761,8 +761,8 @@ def compare_models(spark, sf_dir):
     return training.compare_models(
         _category(spark, sf_dir),
         {
-            "logreg": lambda rows: training.logistic(rows, max_iter=3000),
-            "svm": training.linear_svm,
+            "logreg": training.logistic(max_iter=3000),
+            "svm": training.linear_svm(),
         },
         "id",
         label="labels",
@@ -1321,42 +1321,84 @@ def dataset_inventory(spark, sf_dir):
 
 # Streams
 
+def _ticket_stream(spark, sf_dir):
+    pages = jobs.read_stream(
+        spark, f"{sf_dir}/page*.parquet", V.table(spark, sf_dir, "pages").schema
+    )
+    return pages.select(
+        F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("html").alias("body")
+    )
+
+
+PAGE_TICKETS = "SELECT page_id AS id, url AS title, html AS body FROM pages"
+
+
 @query(
-    f"""SELECT id, state, urgent FROM (SELECT id, coalesce({sql_reason("title", "body")}, 'ok')
-      AS state, regexp_matches(lower(body), '{"|".join(X.URGENT_WORDS)}')::INT AS urgent
-    FROM (SELECT page_id AS id, url AS title, html AS body FROM pages))"""
+    f"""SELECT id, coalesce({sql_reason("title", "body")}, 'ok') AS state,
+      regexp_matches(lower(body), '{"|".join(X.URGENT_WORDS)}')::INT AS urgent FROM ({PAGE_TICKETS})"""
 )
 def stream_score(spark, sf_dir):
-    schema = V.table(spark, sf_dir, "pages").schema
-    pages = jobs.read_stream(spark, f"{sf_dir}/page*.parquet", schema)
-    tickets = pages.select(
-        F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("html").alias("body")
-    )
     flag = X.urgency_flag(F.col("body")).alias("urgent")
     out = work_path(spark, "stream")
-    running = jobs.stream_score(
-        tickets, lambda df: df.select("id", flag), f"{out}/scored", f"{out}/refused",
-        f"{out}/state",
-    )
-    for q in running:
-        q.awaitTermination()
-    scored = spark.read.schema("id long, urgent int").parquet(f"{out}/scored")
-    refused = spark.read.schema(
-        "id long, title string, body string, reject_reason string"
-    ).parquet(f"{out}/refused")
+    jobs.stream_score(
+        _ticket_stream(spark, sf_dir), lambda df: df.select("id", flag), out, f"{out}/state", log=False
+    ).awaitTermination()
+    scored, refused = (spark.read.parquet(f"{out}/{t}") for t in ("scored", "refused"))
     return scored.select("id", F.lit("ok").alias("state"), "urgent").unionByName(
         refused.select("id", F.col("reject_reason").alias("state"), flag)
     )
 
 
+@query(
+    f"""SELECT id, state, 1 AS times, state = 'ok' AS logged, state = 'ok' AS same FROM (
+      SELECT id, coalesce({sql_reason("title", "body")}, 'ok') AS state FROM ({PAGE_TICKETS}))"""
+)
+def stream_predict(spark, sf_dir):
+    """Fitted models over a stream that is restarted: how often a ticket stands in the tables,
+    whether the log has its lengths, and whether its predictions are those of a batch."""
+    models, out = _models(spark, sf_dir), work_path(spark, "stream")
+    for _ in range(2):
+        jobs.stream_score(
+            _ticket_stream(spark, sf_dir), lambda df: scoring.predict_batch(df, models), out, f"{out}/state"
+        ).awaitTermination()
+    scored, refused, log = (spark.read.parquet(f"{out}/{t}") for t in ("scored", "refused", "log"))
+    pages = V.table(spark, sf_dir, "pages")
+    tickets = pages.select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.col("html").alias("body"))
+    found = ["category", "priority", "intent"]
+    batch = scoring.predict_batch(tickets, models).select(
+        F.col("id").alias("of"), F.to_json(F.struct(*found)).alias("wanted")
+    )
+    checked = scored.join(batch, F.col("id") == F.col("of")).withColumn(
+        "same", F.to_json(F.struct(*found)) == F.col("wanted")
+    )
+    counts = log.groupBy("title_length", "body_length").agg(F.count("*").alias("n")).alias("l")
+    sizes = scored.groupBy(F.length("title").alias("t"), F.length("body").alias("b")).agg(F.count("*").alias("m"))
+    wrong = sizes.join(
+        counts, (F.col("t") == F.col("title_length")) & (F.col("b") == F.col("body_length")), "full"
+    ).where(~F.col("n").eqNullSafe(F.col("m")))
+    logged = wrong.count() == 0
+    good = checked.groupBy("id").agg(
+        F.lit("ok").alias("state"), F.count("*").cast("int").alias("times"),
+        F.lit(logged).alias("logged"), F.bool_and("same").alias("same"),
+    )
+    bad = refused.groupBy("id").agg(
+        F.first("reject_reason").alias("state"), F.count("*").cast("int").alias("times"),
+        F.lit(False).alias("logged"), F.lit(False).alias("same"),
+    )
+    return good.unionByName(bad)
+
+
 @query(
     f"""SELECT priority, count(*) AS predictions, round(sum(latency_ms), 4) AS latency_sum, {STATS}
     FROM ({V.HISTORY}) GROUP BY priority"""
 )
 def stream_stats(spark, sf_dir):
-    schema = V.table(spark, sf_dir, "events").schema
-    events = jobs.read_stream(spark, f"{sf_dir}/event*.parquet", schema)
-    name = f"stats_{abs(hash(sf_dir))}"
-    q = jobs.stream_stats(V.as_history(events), name, work_path(spark, "stats"))
-    q.awaitTermination()
-    return _round_stats(spark.table(name)).withColumn("latency_sum", F.round("latency_sum", 4))
+    """Two arrivals of files, with the query stopped and started again between them."""
+    events, path = V.table(spark, sf_dir, "events"), work_path(spark, "stats")
+    for part in range(2):
+        arrived = events.where(F.pmod("event_id", F.lit(2)) == part)
+        arrived.write.mode("append").parquet(f"{path}/events")
+        stream = jobs.read_stream(spark, f"{path}/events", events.schema)
+        jobs.stream_stats(V.as_history(stream), f"{path}/table", f"{path}/state").awaitTermination()
+    found = jobs.latest_stats(spark, f"{path}/table")
+    return _round_stats(found).withColumn("latency_sum", F.round("latency_sum", 4))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
 from pyspark import keyword_only
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from sparkdesk.functions.text import let, urgency_flag
 from sparkdesk.functions.tokens import stop_words, term_counts, terms
-from sparkdesk.session import materialize, remove_path
+from sparkdesk.session import materialize, remove_path, written
 
 # Vocabulary settings of the ticket classifiers.
 NGRAMS = (1, 2)
@@ -48,13 +48,9 @@ def term_stats(df: DataFrame, term_list: str) -> DataFrame:
     )
 
 
-def vocab_df(
-    df: DataFrame, term_list: str, min_df: int | float = MIN_DF, max_df: int | float = 1.0
+def _bounded(
+    stats: DataFrame, min_df: int | float, max_df: int | float, rows: int | None
 ) -> DataFrame:
-    """Term statistics within document-frequency bounds: counts (int) or shares (float)."""
-    stats = term_stats(df, term_list)
-    if isinstance(min_df, float) or isinstance(max_df, float) and max_df < 1.0:
-        rows = df.agg(F.count("*")).scalar()
     if isinstance(min_df, float):
         stats = stats.where(F.col("df") >= F.lit(min_df) * rows)
     elif min_df > 1:
@@ -66,6 +62,74 @@ def vocab_df(
     return stats
 
 
+def _row_count(df: DataFrame, min_df: int | float, max_df: int | float) -> int | None:
+    """Rows, if a bound is a share of them (job)."""
+    if isinstance(min_df, float) or isinstance(max_df, float) and max_df < 1.0:
+        return df.agg(F.count("*")).scalar()
+    return None
+
+
+def vocab_df(
+    df: DataFrame, term_list: str, min_df: int | float = MIN_DF, max_df: int | float = 1.0
+) -> DataFrame:
+    """Term statistics within document-frequency bounds: counts (int) or shares (float)."""
+    rows = _row_count(df, min_df, max_df)
+    return _bounded(term_stats(df, term_list), min_df, max_df, rows)
+
+
+# Bytes of the kept n-grams of one length up to which they are shipped to the rows.
+SHIPPED_GRAMS = 64 << 20
+
+
+def _of_length(term_list: Column, n: int) -> Column:
+    def blanks(t: Column) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+
+    return F.filter(term_list, lambda t: blanks(t) == n - 1)
+
+
+@contextmanager
+def vocab_levels(
+    df: DataFrame,
+    term_list: str,
+    hi: int,
+    min_df: int | float = MIN_DF,
+    max_df: int | float = 1.0,
+) -> Iterator[DataFrame]:
+    """``vocab_df`` of 1- to ``hi``-grams, one length after the other (jobs).
+
+    An n-gram stands in no more rows than the two (n-1)-grams in it, so only n-grams whose
+    both parts were kept are counted: the rows drop the others before the shuffle. The upper
+    bound is applied at the end, as a frequent n-gram may be part of a rarer one. If the kept
+    (n-1)-grams are too many to ship to the rows, all n-grams of that length are counted.
+    """
+    rows, levels = _row_count(df, min_df, max_df), []
+    with ExitStack() as tables:
+        for n in range(1, hi + 1):
+            counted = df.select(
+                F.inline_outer(term_counts(_of_length(F.col(term_list), n)))
+            ).where(F.col("term").isNotNull())
+            if n > 1:
+                size = levels[-1].agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
+                if size <= SHIPPED_GRAMS:
+                    last = F.length(F.substring_index("term", " ", -1))
+                    parts = {
+                        "head": F.left("term", F.length("term") - last - 1),
+                        "tail": F.substring("term", F.length(F.substring_index("term", " ", 1)) + 2, 1 << 30),
+                    }
+                    counted = counted.withColumns(parts)
+                    for part in parts:
+                        kept = F.broadcast(levels[-1].select(F.col("term").alias(part)))
+                        counted = counted.join(kept, part, "left_semi")
+                    counted = counted.drop(*parts)
+            stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+            levels.append(tables.enter_context(written(_bounded(stats, min_df, 1.0, rows), "grams")))
+        out = levels[0]
+        for more in levels[1:]:
+            out = out.unionByName(more)
+        yield _bounded(out, 1, max_df, rows)
+
+
 def vocab_topk(vocab: DataFrame, k: int | None = MAX_FEATURES) -> DataFrame:
     """The ``k`` most frequent terms, ties by term."""
     return vocab if k is None else vocab.orderBy(F.desc("cf"), "term").limit(k)
@@ -192,6 +256,10 @@ class UrgencyFlag(
         return dataset.withColumn(self.getOutputCol(), urgency_flag(F.col(self.getInputCol())))
 
 
+def _moved(places: Column, by: Column) -> Column:
+    return F.transform(places, lambda i: i + by)
+
+
 class SparseUnion(
     Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -213,8 +281,8 @@ class SparseUnion(
                 values.append(F.when(x != 0, F.array(x)).otherwise(none["values"]))
                 width = width + 1
             else:
-                part, start = sparse_column(dataset, name), width
-                places.append(F.transform(part["indices"], lambda i, start=start: i + start))
+                part = sparse_column(dataset, name)
+                places.append(_moved(part["indices"], width))
                 values.append(part["values"])
                 width = width + part["size"]
         both = sparse_struct(width, F.concat(*places), F.concat(*values))
@@ -260,11 +328,18 @@ class Tfidf(Estimator):
         prefix = self.output_col
         extract = self.extractor()
         listed = extract.transform(dataset).select(f"{prefix}_terms")
-        vocab = vocab_topk(
-            vocab_df(listed, f"{prefix}_terms", self.min_df, self.max_df), self.max_features
-        )
         rows = dataset.select(F.count("*")).scalar()
-        fitted = idf(vocab, rows).select("term", "idf").toArrow().sort_by("term")
+
+        def weighed(vocab: DataFrame) -> pa.Table:
+            top = vocab_topk(vocab, self.max_features)
+            return idf(top, rows).select("term", "idf").toArrow().sort_by("term")
+
+        if self.ngram[0] == 1 and self.ngram[1] > 2:
+            bounds = (self.ngram[1], self.min_df, self.max_df)
+            with vocab_levels(listed, f"{prefix}_terms", *bounds) as vocab:
+                fitted = weighed(vocab)
+        else:
+            fitted = weighed(vocab_df(listed, f"{prefix}_terms", self.min_df, self.max_df))
         if fitted.num_rows == 0:
             raise ValueError("no terms remain after document-frequency pruning")
         # Fitting on the kept terms themselves, one per row, hands over the whole list

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from sparkdesk.operators.features import (
     Tfidf,
     label_classes,
     multi_hot,
+    sparse_column,
     tfidf_transform,
     written_vectors,
 )
@@ -27,16 +27,14 @@ from sparkdesk.plans.linear import (
     MultiLabelModel,
     OneVsRestModel,
     SingleLabelModel,
-    stacked,
 )
 from sparkdesk.plans.loading import load_category, load_intent, load_priority
+from sparkdesk.plans.solver import Objective, linear_svm, logistic, solve
 from sparkdesk.session import materialize, remove_path, written
 from sparkdesk.sources.registry import REGISTRY, append_registry
 from sparkdesk.sources.tables import limit_rows
 
 SEED = 42
-# Stop once an iteration gains less than this share of the loss.
-TOLERANCE = 1e-6
 # Model jobs submitted at once; each of them is a distributed job of its own.
 PARALLEL_FITS = 8
 
@@ -44,37 +42,6 @@ SINGLE_TYPE = "TF-IDF + LogisticRegression"
 MULTI_TYPE = "TF-IDF + OneVsRest LogisticRegression"
 
 
-def logistic(total: float, weight: str = "weight", max_iter: int = 1000, c: float = 1.0):
-    """L2 logistic regression with inverse strength ``c``.
-
-    ``total`` is the summed row weight. The summed loss with weight ``c`` against half the
-    squared norm is Spark's mean loss with regularisation 1 / (c * total weight); balanced
-    weights add up to the rows.
-    """
-    return LogisticRegression(
-        featuresCol="features",
-        labelCol="label_id",
-        weightCol=weight,
-        regParam=1.0 / (c * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=TOLERANCE,
-    )
-
-
-def linear_svm(total: float, weight: str = "weight", max_iter: int = 100, c: float = 1.0):
-    return LinearSVC(
-        featuresCol="features",
-        labelCol="label_id",
-        weightCol=weight,
-        regParam=1.0 / (c * total),
-        standardization=False,
-        maxIter=max_iter,
-        tol=TOLERANCE,
-    )
-
-
 def balanced(counts: Mapping[object, int]) -> dict[object, float]:
     total = sum(counts.values())
     return {k: total / (len(counts) * n) for k, n in counts.items()}
@@ -111,6 +78,12 @@ def fitted_vectors(
             yield table, model
 
 
+def _width(table: DataFrame) -> int:
+    """Number of features of a table of vectors."""
+    first = table.select(sparse_column(table, "features")["size"]).first()
+    return first[0] if first else 0
+
+
 # Single label
 
 def fit_single_label(
@@ -118,28 +91,42 @@ def fit_single_label(
     text: str = "text",
     label: str = "label",
     features: Estimator | PipelineModel | None = None,
-    classifier: Callable[[float], Estimator] = logistic,
-) -> SingleLabelModel | OneVsRestModel:
-    """Balanced single-label classifier on TF-IDF features (jobs)."""
-    if isinstance(classifier(1), LinearSVC):
-        return fit_one_vs_rest(df, text, label, features, classifier)
+    objective: Objective = logistic(),
+) -> SingleLabelModel:
+    """Balanced single-label classifier on TF-IDF features (jobs).
+
+    The logistic loss is softmax over the classes, or binary for two; any other loss makes one
+    binary classifier per class.
+    """
     named = df.where(F.col(label).isNotNull())
     counts = {r[label]: r["count"] for r in named.groupBy(label).count().orderBy(label).collect()}
-    labels, weights = list(counts), balanced(counts)
+    labels, rows = list(counts), sum(counts.values())
     if len(labels) < 2:
         raise ValueError("a classifier needs at least two classes")
-    classes = df.sparkSession.createDataFrame(
-        [(x, float(i), weights[x]) for i, x in enumerate(labels)],
-        f"`{label}` string, label_id double, weight double",
-    )
-    with fitted_vectors(named, text, features, label) as (table, model):
-        rows = table.join(F.broadcast(classes), label)  # one row per class
-        fitted = classifier(sum(counts.values())).fit(rows.select("features", "label_id", "weight"))
-    matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    coupled = objective.loss == "logistic"
+    own = balanced(counts)
+    # of two labels only the second has a classifier
+    fitted = labels[1:] if len(labels) == 2 else labels
+    positive = np.array([own[x] for x in fitted])
+    if len(labels) == 2:
+        negative = np.array([own[labels[0]]])
+    else:
+        negative = np.zeros(len(labels)) if coupled else np.ones(len(labels))
+    ones = np.array([counts[x] for x in fitted])
+    totals = positive * ones + negative * (rows - ones)
+    hot = multi_hot(named.withColumn("_own", F.array(label)), "_own", fitted)
+    with fitted_vectors(hot, text, features, "hot") as (table, model):
+        matrix, intercepts = solve(
+            table, _width(table), np.stack([negative, positive]),
+            np.array([rows]) if coupled and len(labels) > 2 else totals,
+            objective, coupled=len(labels) > 2,
+        )
+    kind = SingleLabelModel if coupled else OneVsRestModel
     if len(labels) == 2:
-        matrix = np.vstack([np.zeros_like(matrix), matrix])
-        intercepts = np.concatenate([[0.0], intercepts])
-    return SingleLabelModel(model, labels, matrix, intercepts)
+        other = 0.0 if coupled else -1.0
+        matrix = np.vstack([other * matrix, matrix])
+        intercepts = np.concatenate([other * intercepts, intercepts])
+    return kind(model, labels, matrix, intercepts)
 
 
 def evaluate_single(model: LinearModel, df: DataFrame, label: str = "label") -> dict:
@@ -155,96 +142,37 @@ def _value(df: DataFrame) -> float:
 
 # Several labels
 
-def _fit_binaries(
-    table: DataFrame,
-    names: Sequence[str],
-    costs: Callable[[int, int], tuple[float, float]],
-    classifier: Callable[[float], Estimator],
-) -> tuple[dict[str, tuple[np.ndarray, float]], dict[str, float]]:
-    """Coefficients of a binary classifier per name on ``features, hot``, and the scores of
-    names that all or no rows have.
-
-    The fits read one table of vectors side by side. ``costs`` gives the weight of a negative
-    and of a positive row.
-    """
-    totals = table.agg(
-        F.count("*").alias("rows"),
-        F.array(*[F.sum(F.get("hot", i)) for i in range(len(names))]).alias("ones"),
-    ).first()
-    rows = totals["rows"]
-    constant, jobs = {}, {}
-    for i, name in enumerate(names):
-        ones = totals["ones"][i] or 0
-        if ones in (0, rows):
-            constant[name] = 1.0 if ones and ones == rows else 0.0
-            continue
-        negative, positive = costs(rows, ones)
-        target = F.get("hot", i)
-        part = table.select(
-            "features",
-            target.cast("double").alias("label_id"),
-            F.when(target == 1, positive).otherwise(negative).alias("weight"),
-        )
-        estimator = classifier(negative * (rows - ones) + positive * ones)
-        jobs[name] = lambda part=part, estimator=estimator: estimator.fit(part)
-    fitted = dict(zip(jobs, run_parallel(list(jobs.values()))))
-    return {x: (m.coefficients.toArray(), m.intercept) for x, m in fitted.items()}, constant
-
-
-def multi_label_costs(rows: int, ones: int) -> tuple[float, float]:
-    """Balanced weights of a row without and with a label."""
-    return rows / (2 * (rows - ones)), rows / (2 * ones)
-
-
-def one_vs_rest_costs(classes: int) -> Callable[[int, int], tuple[float, float]]:
-    """A class weighs n / (classes * its rows) as the positive side and 1 among the rest; with
-    two classes both sides have their class weight."""
-    def costs(rows: int, ones: int) -> tuple[float, float]:
-        return (rows / (2 * (rows - ones)) if classes == 2 else 1.0), rows / (classes * ones)
-
-    return costs
-
-
 def fit_multi_label(
     df: DataFrame,
     classes: Sequence[str] | None = None,
     text: str = "text",
     labels: str = "labels",
     features: Estimator | PipelineModel | None = None,
-    classifier: Callable[[float], Estimator] = logistic,
+    objective: Objective = logistic(),
 ) -> MultiLabelModel:
-    """One balanced binary classifier per class (jobs)."""
-    names = list(classes) if classes is not None else label_classes(df, labels)
-    hot = multi_hot(df, labels, names)
-    with fitted_vectors(hot, text, features, "hot") as (table, model):
-        rows, constant = _fit_binaries(table, names, multi_label_costs, classifier)
-    return stacked(model, names, rows, MultiLabelModel, constant)
-
-
-def fit_one_vs_rest(
-    df: DataFrame,
-    text: str = "text",
-    label: str = "label",
-    features: Estimator | PipelineModel | None = None,
-    classifier: Callable[[float], Estimator] | None = None,
-) -> OneVsRestModel:
-    """Single-label model of one binary classifier per class (jobs).
+    """One balanced binary classifier per class, all fitted in the same passes (jobs).
 
-    Of two labels only the second has a classifier; the first scores its negative.
+    A class that all or no rows have gets a constant score.
     """
-    names = label_classes(df, label)
-    if len(names) < 2:
-        raise ValueError("a classifier needs at least two classes")
-    fitted = names[1:] if len(names) == 2 else names
-    hot = multi_hot(df.withColumn("_own", F.array(label)), "_own", fitted)
+    names = list(classes) if classes is not None else label_classes(df, labels)
+    hot = multi_hot(df, labels, names)
     with fitted_vectors(hot, text, features, "hot") as (table, model):
-        rows, _ = _fit_binaries(
-            table, fitted, one_vs_rest_costs(len(names)), classifier or linear_svm
-        )
-    if len(names) == 2:
-        coefficients, intercept = rows[names[1]]
-        rows[names[0]] = (-coefficients, -intercept)
-    return stacked(model, names, rows, OneVsRestModel)
+        counts = table.agg(
+            F.count("*").alias("rows"),
+            F.array(*[F.sum(F.get("hot", i)) for i in range(len(names))]).alias("ones"),
+        ).first()
+        rows, ones = counts["rows"], np.array([n or 0 for n in counts["ones"]])
+        some = np.flatnonzero((ones > 0) & (ones < rows))
+        matrix = np.zeros((len(names), _width(table)))
+        intercepts = np.where((ones > 0) & (ones == rows), np.inf, -np.inf)
+        if len(some):
+            weights = np.stack([rows / (2 * (rows - ones[some])), rows / (2 * ones[some])])
+            chosen = F.filter("hot", lambda x, i: i.isin(some.tolist()))
+            matrix[some], intercepts[some] = solve(
+                table.withColumn("hot", chosen), matrix.shape[1], weights,
+                np.full(len(some), rows), objective,
+            )
+    return MultiLabelModel(model, names, matrix, intercepts)
 
 
 def evaluate_multi(model: LinearModel, df: DataFrame, labels: str = "labels") -> dict:
@@ -259,10 +187,14 @@ def evaluate_multi(model: LinearModel, df: DataFrame, labels: str = "labels") ->
 # Comparison and the training driver
 
 def fit_linear_svm(df: DataFrame, label: str, text: str = "text", **options):
-    """Balanced linear SVM; a label-list column gives a multi-label model."""
+    """Balanced linear SVM; a label-list column gives a multi-label model.
+
+    A class weighs n / (classes * its rows) as the positive side and 1 among the rest; with
+    two classes both sides have their class weight.
+    """
     if dict(df.dtypes)[label].startswith("array"):
-        return fit_multi_label(df, text=text, labels=label, classifier=linear_svm, **options)
-    return fit_one_vs_rest(df, text=text, label=label, classifier=linear_svm, **options)
+        return fit_multi_label(df, text=text, labels=label, objective=linear_svm(), **options)
+    return fit_single_label(df, text=text, label=label, objective=linear_svm(), **options)
 
 
 def split_table(
@@ -319,7 +251,7 @@ def split_vectors(
 
 def compare_models(
     df: DataFrame,
-    candidates: Mapping[str, Callable[[float], Estimator]],
+    candidates: Mapping[str, Objective],
     row_id: str,
     text: str = "text",
     label: str = "label",
@@ -335,9 +267,9 @@ def compare_models(
     results = []
     with split_vectors(df, row_id, label, text, test, features) as (rows, fitted):
         train, held = split_parts(rows)
-        for name, classifier in candidates.items():
+        for name, objective in candidates.items():
             fit, of = (fit_multi_label, "labels") if multi else (fit_single_label, "label")
-            model = fit(train, text=text, features=fitted, classifier=classifier, **{of: label})
+            model = fit(train, text=text, features=fitted, objective=objective, **{of: label})
             scored = model.predict(held).select(F.col(label).alias("y"), "p")
             with written(scored, "judged") as judged:
                 if multi:
@@ -353,7 +285,7 @@ def compare_models(
 def compare_texts(
     df: DataFrame,
     texts: Sequence[str],
-    candidates: Mapping[str, Callable[[float], Estimator]],
+    candidates: Mapping[str, Objective],
     row_id: str,
     **options,
 ) -> DataFrame:

@@ -1,12 +1,17 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from sparkdesk.functions import tokens as K
+from sparkdesk.functions.text import URGENT_WORDS
 from sparkdesk.operators import features as FT
+from sparkdesk.session import work_path
 
 DOCS = [
     (0, "Error when the server crashes, server crashes again"),
@@ -59,6 +64,18 @@ def test_vocab_bounds(docs):
     assert [r["term"] for r in top.collect()] == ["offline", "printer"]
 
 
+@pytest.mark.parametrize("bounds", [(2, 1.0), (0.05, 0.5), (3, 40), (1, 1.0)])
+@pytest.mark.parametrize("shipped", [64 << 20, 0])
+def test_levels_equal_one_count(spark, monkeypatch, bounds, shipped):
+    monkeypatch.setattr(FT, "SHIPPED_GRAMS", shipped)
+    rng = random.Random(1)
+    rows = [(" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee ff gg"], k=rng.randrange(0, 25))),) for _ in range(80)]
+    listed = spark.createDataFrame([*rows, (None,)], "text string").select(K.terms(F.col("text"), [], 1, 4).alias("t"))
+    want = sorted(map(tuple, FT.vocab_df(listed, "t", *bounds).collect()))
+    with FT.vocab_levels(listed, "t", 4, *bounds) as vocab:
+        assert sorted(map(tuple, vocab.collect())) == want and len(want) > 5
+
+
 @pytest.mark.parametrize("sublinear", [True, False])
 def test_tfidf_matches_plain_python(docs, sublinear):
     model = FT.Tfidf(min_df=1, max_features=100, sublinear=sublinear, words=["the"]).fit(docs)
@@ -78,7 +95,34 @@ def test_tfidf_matches_plain_python(docs, sublinear):
 def test_tfidf_transform_is_narrow(docs):
     model = FT.Tfidf(min_df=1, max_features=50).fit(docs)
     plan = FT.tfidf_transform(model, docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "Python" not in plan and "json" not in plan.lower()
+
+
+def test_text_and_urgency_pipeline(spark, docs):
+    """The union is one pipeline that is saved, loaded and gives the same vectors."""
+    rows = docs.union(spark.createDataFrame([(9, "urgent: server offline")], docs.schema))
+    model = FT.TextAndUrgency(min_df=1, max_features=50).fit(rows)
+    path = work_path(spark, "union")
+    model.write().overwrite().save(path)
+    got = {r["id"]: r["features"] for r in FT.tfidf_transform(PipelineModel.load(path), rows).collect()}
+    text = FT.Tfidf(min_df=1, max_features=50).fit(rows)
+    for r in FT.tfidf_transform(text, rows).collect():
+        both, alone = got[r["id"]], r["features"]
+        flag = [alone["size"]] if any(w in r["text"].lower() for w in URGENT_WORDS) else []
+        assert both["size"] == alone["size"] + 1
+        assert both["indices"] == alone["indices"] + flag
+        assert both["values"] == pytest.approx(alone["values"] + [1.0] * len(flag))
+
+
+def test_written_features_read_back_as_vectors(docs):
+    model = FT.Tfidf(min_df=1, max_features=50).fit(docs)
+    plain = FT.tfidf_transform(model, docs)
+    want = {r["id"]: r["features"] for r in plain.collect()}
+    with FT.written_vectors(plain, "test", "features") as table:
+        for r in table.collect():
+            assert isinstance(r["features"], SparseVector)
+            assert r["features"].indices.tolist() == want[r["id"]]["indices"]
+            assert r["features"].values.tolist() == want[r["id"]]["values"]
 
 
 def test_tfidf_refuses_unbounded_or_empty(docs):

@@ -1,10 +1,10 @@
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sparkdesk.operators.features import Tfidf
 from sparkdesk.plans import scoring as SC
+from sparkdesk.plans import solver as SV
 from sparkdesk.plans import training as TR
 from sparkdesk.session import work_path
 from sparkdesk.sources.registry import read_registry
@@ -125,10 +125,10 @@ def test_logistic_matches_newton(spark):
     y = (x @ [1.0, -4.0, 0.5] + rng.normal(size=80) > 0.3).astype(float)
     cost = TR.balanced({0.0: int((y == 0).sum()), 1.0: int((y == 1).sum())})
     w = np.array([cost[v] for v in y])
-    df = spark.createDataFrame(
-        [(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)],
-        ["features", "label_id", "weight"])
-    fit = TR.logistic(80).setTol(1e-12).fit(df)
+    df = instances(spark, x, y[:, None])
+    weights = np.array([[cost[0.0]], [cost[1.0]]])
+    objective = SV.Objective("logistic", tolerance=1e-9)
+    found, intercept = SV.solve(df, 3, weights, np.array([80.0]), objective)
     z = np.hstack([x, np.ones((80, 1))])
     beta = np.zeros(4)
     penalty = np.diag([1.0, 1, 1, 0])
@@ -136,12 +136,64 @@ def test_logistic_matches_newton(spark):
         p = 1 / (1 + np.exp(-z @ beta))
         beta -= np.linalg.solve(
             (z * (w * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (w * (p - y)) + penalty @ beta)
-    assert np.allclose([*fit.coefficients, fit.intercept], beta, atol=1e-5)
+    assert np.allclose([*found[0], intercept[0]], beta, atol=1e-6)
+
+
+def instances(spark, x, hot):
+    """Rows as sparse structs with their 0/1 labels."""
+    rows = [
+        ([int(v) for v in h], (0, x.shape[1], np.flatnonzero(a).tolist(), a[np.flatnonzero(a)].tolist()))
+        for a, h in zip(x, hot)
+    ]
+    kind = "hot array<int>, features struct<type:int,size:int,indices:array<int>,values:array<double>>"
+    return spark.createDataFrame(rows, kind).repartition(3)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "squared_hinge", "softmax"])
+def test_objectives_are_solved(spark, kind):
+    """The gradient vanishes by finite differences of a plainly written objective."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)) * (rng.random((60, 4)) < 0.6)
+    cls = (x @ rng.normal(size=(4, 3)) + rng.normal(size=(60, 3))).argmax(1)
+    hot = np.eye(3)[cls]
+    weights = np.array([[1.0, 0.5, 2.0], [1.5, 2.0, 0.7]])
+    loss = "logistic" if kind == "softmax" else kind
+    c, b = SV.solve(
+        instances(spark, x, hot), 4, weights, np.array([60.0] * (1 if kind == "softmax" else 3)),
+        SV.Objective(loss, tolerance=1e-8), coupled=kind == "softmax",
+    )
+
+    def value(c, b):
+        m = x @ c.T + b
+        if kind == "softmax":
+            w = (hot * weights[1]).sum(1)
+            return -(w * np.log((np.exp(m) * hot).sum(1) / np.exp(m).sum(1))).sum() + (c**2).sum() / 2
+        w, z = np.where(hot == 1, weights[1], weights[0]), m * (2 * hot - 1)
+        if kind == "logistic":
+            return (w * np.log(1 + np.exp(-z))).sum() + (c**2).sum() / 2
+        return (w * np.maximum(0, 1 - z) ** 2).sum() + ((c**2).sum() + (b**2).sum()) / 2
+
+    h = 1e-5
+    for k in range(3):
+        for j in range(5):
+            dc, db = np.zeros((3, 4)), np.zeros(3)
+            if j < 4:
+                dc[k, j] = h
+            else:
+                db[k] = h
+            assert abs(value(c + dc, b + db) - value(c - dc, b - db)) / (2 * h) < 1e-4
+
+
+def test_early_stop_warns(spark):
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    df = instances(spark, x, (x[:, :1] > 0).astype(int))
+    with pytest.warns(UserWarning, match="above the tolerance"):
+        SV.solve(df, 3, np.ones((2, 1)), np.array([40.0]), SV.Objective(max_iter=1))
 
 
 def test_comparison(raw):
     two = TR.load_intent(raw.where("intent <> 'get_refund'"), keep=["id"])
-    table = TR.compare_models(two, {"logreg": TR.logistic, "svm": TR.linear_svm}, "id")
+    table = TR.compare_models(two, {"logreg": TR.logistic(), "svm": TR.linear_svm()}, "id")
     assert {r["model"]: r["accuracy"] for r in table.collect()} == {"logreg": 1.0, "svm": 1.0}
 
 
@@ -189,37 +241,51 @@ def test_stream_equals_batch(spark, raw, trained):
         spark.createDataFrame([(900, None, "x"), (901, " ", "x")],
                               "id long, title string, body string"))
     tickets.repartition(4).write.parquet(src)
-    def run():
+
+    def rows(table):
+        return sorted(map(str, spark.read.parquet(f"{out}/{table}").drop("batch_id").collect()))
+
+    def run(score=lambda d: SC.predict_batch(d, models)):
         stream = jobs.read_stream(spark, src, tickets.schema)
-        for q in jobs.stream_score(
-            stream, lambda d: SC.flatten_predictions(SC.predict_batch(d, models)),
-            f"{out}/good", f"{out}/bad", f"{out}/state",
-        ):
-            q.awaitTermination()
-        return sorted(map(tuple, spark.read.parquet(f"{out}/good").collect()))
-    batch = SC.flatten_predictions(SC.predict_batch(raw.select("id", "title", "body"), models))
-    want = sorted(map(tuple, batch.collect()))
-    assert run() == want
-    # a restarted query repeats nothing, and takes only new files
-    more = tickets.where("id = 0").withColumn("id", F.lit(1000).cast("long"))
-    more.write.mode("append").parquet(src)
-    again = run()
-    assert len(again) == len(want) + 1 and {r[0] for r in again} - {r[0] for r in want} == {1000}
-    assert {r["reject_reason"] for r in spark.read.parquet(f"{out}/bad").collect()} == {
+        jobs.stream_score(stream, score, out, f"{out}/state").awaitTermination()
+
+    run()
+    batch = SC.predict_batch(raw.select("id", "title", "body"), models)
+    want = sorted(map(str, batch.collect()))
+    assert rows("scored") == want and len(rows("log")) == len(want)
+    assert {r["reject_reason"] for r in spark.read.parquet(f"{out}/refused").collect()} == {
         "title missing", "title blank"}
+    # a batch that breaks off half-way is run again, and nothing is repeated
+    more = tickets.where("id in (0, 900)").withColumn("id", F.col("id") + 1000)
+    more.write.mode("append").parquet(src)
+
+    def broken(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run(broken)
+    run()
+    run()
+    ids = [r["id"] for r in spark.read.parquet(f"{out}/scored").select("id").collect()]
+    assert sorted(ids) == [*range(120), 1000] and len(rows("log")) == 121
+    assert len(rows("refused")) == 3
+    log = spark.read.parquet(f"{out}/log")
+    assert log.where("latency_ms IS NULL OR batch_id IS NULL").count() == 0
 
 
 def test_stream_stats_equal_batch(spark):
-    log = spark.range(100).select(
+    """Over two arrivals, with a restart between them; old batches go."""
+    log = spark.range(90).select(
         F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("priority"),
         (F.col("id") / 100).alias("priority_conf"), (F.col("id") / 200).alias("intent_conf"),
         F.col("id").cast("double").alias("latency_ms"))
-    src = work_path(spark, "log")
-    log.write.parquet(src)
-    q = jobs.stream_stats(
-        jobs.read_stream(spark, src, log.schema), "log_stats", work_path(spark, "state"))
-    q.awaitTermination()
-    got = sorted(map(tuple, spark.table("log_stats").collect()))
+    src, table, state = (work_path(spark, t) for t in ("log", "table", "state"))
+    for part in range(3):
+        log.where(F.col("latency_ms") % 3 == part).write.mode("append").parquet(src)
+        stream = jobs.read_stream(spark, src, log.schema)
+        jobs.stream_stats(stream, table, state).awaitTermination()
+    got = sorted(map(tuple, jobs.latest_stats(spark, table).collect()))
     want = sorted(map(tuple, jobs.running_stats(log).collect()))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(g[2:] == pytest.approx(w[2:]) for g, w in zip(got, want))
+    assert spark.read.parquet(table).select("batch_id").distinct().count() == 2
