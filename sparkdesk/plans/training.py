@@ -12,6 +12,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdesk.functions.decode import sigmoid_scores, softmax_scores
 from sparkdesk.operators.features import (
     Tfidf,
     label_classes,
@@ -27,6 +28,7 @@ from sparkdesk.plans.linear import (
     MultiLabelModel,
     OneVsRestModel,
     SingleLabelModel,
+    decision_values,
 )
 from sparkdesk.plans.loading import load_category, load_intent, load_priority
 from sparkdesk.plans.solver import Objective, linear_svm, logistic, solve
@@ -42,9 +44,28 @@ SINGLE_TYPE = "TF-IDF + LogisticRegression"
 MULTI_TYPE = "TF-IDF + OneVsRest LogisticRegression"
 
 
-def balanced(counts: Mapping[object, int]) -> dict[object, float]:
-    total = sum(counts.values())
-    return {k: total / (len(counts) * n) for k, n in counts.items()}
+def single_label_weights(rows: int, counts: Sequence[int], coupled: bool) -> np.ndarray:
+    """Weights of a row without and with each fitted class.
+
+    A class weighs n / (classes * its rows). Without it a row weighs 1 if the classes have
+    classifiers of their own, and nothing in a softmax. Of two classes only the second has a
+    classifier, and both sides have their class weight.
+    """
+    own = rows / (len(counts) * np.array(counts))
+    if len(counts) == 2:
+        return np.array([[own[0]], [own[1]]])
+    return np.stack([np.zeros(len(own)) if coupled else np.ones(len(own)), own])
+
+
+def multi_label_weights(rows: int, counts: Sequence[int]) -> np.ndarray:
+    """Balanced weights of a row without and with each label."""
+    ones = np.array(counts)
+    return np.stack([rows / (2 * (rows - ones)), rows / (2 * ones)])
+
+
+def summed_weights(rows: int, counts: Sequence[int], weights: np.ndarray) -> np.ndarray:
+    ones = np.array(counts)
+    return weights[0] * (rows - ones) + weights[1] * ones
 
 
 def run_parallel(jobs: Sequence[Callable[[], object]]) -> list:
@@ -104,20 +125,13 @@ def fit_single_label(
     if len(labels) < 2:
         raise ValueError("a classifier needs at least two classes")
     coupled = objective.loss == "logistic"
-    own = balanced(counts)
-    # of two labels only the second has a classifier
     fitted = labels[1:] if len(labels) == 2 else labels
-    positive = np.array([own[x] for x in fitted])
-    if len(labels) == 2:
-        negative = np.array([own[labels[0]]])
-    else:
-        negative = np.zeros(len(labels)) if coupled else np.ones(len(labels))
-    ones = np.array([counts[x] for x in fitted])
-    totals = positive * ones + negative * (rows - ones)
+    weights = single_label_weights(rows, [counts[x] for x in labels], coupled)
+    totals = summed_weights(rows, [counts[x] for x in fitted], weights)
     hot = multi_hot(named.withColumn("_own", F.array(label)), "_own", fitted)
     with fitted_vectors(hot, text, features, "hot") as (table, model):
         matrix, intercepts = solve(
-            table, _width(table), np.stack([negative, positive]),
+            table, _width(table), weights,
             np.array([rows]) if coupled and len(labels) > 2 else totals,
             objective, coupled=len(labels) > 2,
         )
@@ -166,7 +180,7 @@ def fit_multi_label(
         matrix = np.zeros((len(names), _width(table)))
         intercepts = np.where((ones > 0) & (ones == rows), np.inf, -np.inf)
         if len(some):
-            weights = np.stack([rows / (2 * (rows - ones[some])), rows / (2 * ones[some])])
+            weights = multi_label_weights(rows, ones[some])
             chosen = F.filter("hot", lambda x, i: i.isin(some.tolist()))
             matrix[some], intercepts[some] = solve(
                 table.withColumn("hot", chosen), matrix.shape[1], weights,
@@ -184,6 +198,84 @@ def evaluate_multi(model: LinearModel, df: DataFrame, labels: str = "labels") ->
         }
 
 
+def fit_gradients(
+    model: LinearModel, df: DataFrame, label: str = "label", objective: Objective = logistic()
+) -> DataFrame:
+    """``label, gradient, total``: the gradient's norm of each fitted label's objective, and its
+    summed row weights (jobs).
+
+    The objective is convex, so a model is fitted as well as its gradients are small. They are
+    summed here from the model's own decision values, apart from the solver.
+    """
+    multi = dict(df.dtypes)[label].startswith("array")
+    if not multi:
+        df = df.where(F.col(label).isNotNull()).withColumn("_own", F.array(label))
+    known = [i for i, b in enumerate(model.intercepts) if np.isfinite(b)]
+    if not multi and len(model.labels) == 2:
+        known = [1]
+    names = [model.labels[i] for i in known]
+    hot = multi_hot(tfidf_transform(model.features, df), label if multi else "_own", model.labels)
+    scored = decision_values(hot, {"_margins": model})
+    with written(scored.select("features", "hot", "_margins"), "gradients") as rows:
+        counts = rows.agg(
+            F.count("*").alias("rows"),
+            F.array(*[F.sum(F.get("hot", i)) for i in range(len(model.labels))]).alias("ones"),
+        ).first()
+        ones = [counts["ones"][i] for i in known]
+        coupled = isinstance(model, SingleLabelModel) and objective.loss == "logistic"
+        softmax = coupled and len(names) > 1
+        if multi:
+            weights = multi_label_weights(counts["rows"], ones)
+        else:
+            weights = single_label_weights(counts["rows"], counts["ones"], coupled)
+        totals = summed_weights(counts["rows"], ones, weights)
+        table = df.sparkSession.createDataFrame(
+            [
+                (place, k, name, *map(float, (*weights[:, k], totals[k], model.intercepts[place])))
+                for k, (place, name) in enumerate(zip(known, names))
+            ],
+            "place int, k int, label string, negative double, positive double, total double, b double",
+        )
+        shares = softmax_scores(F.col("_margins")) if softmax else sigmoid_scores(F.col("_margins"))
+        own = F.get("hot", F.lit(0)) * 0.0
+        weight_of = F.array(*[F.lit(float(w)) for w in weights[1]])
+        if softmax:
+            own = F.aggregate(
+                F.zip_with("hot", weight_of, lambda y, w: y * w), F.lit(0.0), lambda a, x: a + x
+            )
+        each = rows.select(
+            "features", own.alias("own"),
+            F.posexplode(F.arrays_zip("hot", "_margins", shares.alias("share"))).alias("place", "x"),
+        ).join(F.broadcast(table), "place")  # a row per label
+        y, weight = F.col("x.hot"), F.when(F.col("x.hot") == 1, F.col("positive")).otherwise(F.col("negative"))
+        side = 2 * y - 1
+        if softmax:
+            slope = F.col("own") * (F.col("x.share") - y)
+        elif objective.loss == "logistic":
+            slope = weight * (F.col("x.share") - y)
+        else:
+            slope = -2 * weight * side * F.greatest(F.lit(0.0), 1 - side * F.col("x._margins"))
+        each = each.withColumn("slope", objective.c * slope)
+        sums = (
+            each.select("k", "slope", F.inline(F.arrays_zip("features.indices", "features.values")))
+            .groupBy("k", F.col("indices").alias("idx"))
+            .agg(F.sum(F.col("slope") * F.col("values")).alias("g"))
+        )
+        held = df.sparkSession.createDataFrame(
+            [(k, model.coefficients[place].tolist()) for k, place in enumerate(known)],
+            "k int, coefficients array<double>",
+        ).select("k", F.posexplode("coefficients").alias("idx", "w"))
+        squares = held.join(sums, ["k", "idx"], "left").groupBy("k").agg(
+            F.sum((F.col("w") + F.coalesce("g", F.lit(0.0))) ** 2).alias("square")
+        )
+        intercept = F.sum("slope") + (F.first("b") if objective.loss == "squared_hinge" else 0)
+        ends = each.groupBy("k", "label", "total").agg(intercept.alias("end"))
+        found = ends.join(squares, "k").select(
+            "label", F.sqrt(F.col("square") + F.col("end") ** 2).alias("gradient"), "total"
+        )
+        return df.sparkSession.createDataFrame(found.toArrow())  # a row per label
+
+
 # Comparison and the training driver
 
 def fit_linear_svm(df: DataFrame, label: str, text: str = "text", **options):

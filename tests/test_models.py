@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkdesk.operators.features import Tfidf
+from sparkdesk.operators.features import TextAndUrgency, Tfidf
 from sparkdesk.plans import scoring as SC
 from sparkdesk.plans import solver as SV
 from sparkdesk.plans import training as TR
@@ -119,14 +119,36 @@ def test_flatten_and_json(raw, trained):
     assert found.first()["latency_ms"] == 2.5
 
 
+@pytest.mark.parametrize("loss", ["logistic", "squared_hinge"])
+@pytest.mark.parametrize("label", ["label", "two", "labels"])
+def test_gradients_tell_a_whole_fit_from_a_stopped_one(raw, loss, label):
+    docs = TR.load_intent(raw, keep=["id", "labels-mapped"])
+    parsed = F.split(F.regexp_replace("labels-mapped", r"[\[\]' ]", ""), ",")
+    docs = docs.withColumn("labels", parsed).withColumn("two", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
+    fit = TR.fit_multi_label if label == "labels" else TR.fit_single_label
+    of = "labels" if label == "labels" else "label"
+    features = Tfidf(min_df=1, max_features=200).fit(docs)
+
+    def worst(**options):
+        objective = SV.Objective(loss, **options)
+        model = fit(docs, features=features, objective=objective, **{of: label})
+        rows = TR.fit_gradients(model, docs, label, objective).collect()
+        known = [x for x in model.labels if x != "always"][1 if label == "two" else 0:]
+        assert sorted(r["label"] for r in rows) == sorted(known)
+        return max(r["gradient"] / r["total"] for r in rows)
+
+    assert worst(tolerance=1e-6) <= 2e-6
+    with pytest.warns(UserWarning, match="tolerance"):
+        assert worst(max_iter=2, tolerance=1e-6) > 1e-3
+
+
 def test_logistic_matches_newton(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 3)) * [1.0, 0.2, 3.0]
     y = (x @ [1.0, -4.0, 0.5] + rng.normal(size=80) > 0.3).astype(float)
-    cost = TR.balanced({0.0: int((y == 0).sum()), 1.0: int((y == 1).sum())})
-    w = np.array([cost[v] for v in y])
+    weights = TR.single_label_weights(80, [int((y == 0).sum()), int((y == 1).sum())], True)
+    w = weights[y.astype(int), 0]
     df = instances(spark, x, y[:, None])
-    weights = np.array([[cost[0.0]], [cost[1.0]]])
     objective = SV.Objective("logistic", tolerance=1e-9)
     found, intercept = SV.solve(df, 3, weights, np.array([80.0]), objective)
     z = np.hstack([x, np.ones((80, 1))])
@@ -197,6 +219,26 @@ def test_comparison(raw):
     assert {r["model"]: r["accuracy"] for r in table.collect()} == {"logreg": 1.0, "svm": 1.0}
 
 
+def test_comparison_of_texts(raw):
+    loaded = TR.load_intent(raw, keep=["id", "title", "body"])
+    table = TR.compare_texts(loaded, ["title", "text"], {"logreg": TR.logistic()}, "id")
+    rows = {r["text"]: r["accuracy"] for r in table.collect()}
+    assert set(rows) == {"title", "text"} and rows["text"] == 1.0
+
+
+def test_svm_on_text_and_urgency_roundtrip(spark, raw):
+    loaded = TR.load_intent(raw, keep=["id"]).withColumn(
+        "text", F.concat("text", F.when(F.col("id") % 2 == 0, " crash now").otherwise("")))
+    loaded = loaded.withColumn("label", F.when(F.col("id") % 2 == 0, "high").otherwise("low"))
+    svm = TR.fit_linear_svm(loaded, "label", features=TextAndUrgency(min_df=1, max_features=30, sublinear=False))
+    path = work_path(spark, "svm")
+    svm.save(path)
+    again = TR.OneVsRestModel.load(spark, path)
+    rows = again.scores(svm.scores(loaded, "a"), "b").collect()
+    assert all(r["a"] == r["b"] for r in rows) and len(rows) == 120
+    assert TR.evaluate_single(again, loaded)["accuracy"] == 1.0
+
+
 def test_two_class_svm_roundtrip(spark, raw):
     two = TR.load_intent(raw.where("intent <> 'get_refund'"), keep=["id"])
     svm = TR.fit_linear_svm(two, "label", features=Tfidf(min_df=1, max_features=30))
