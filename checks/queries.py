@@ -411,6 +411,40 @@ def drop_class(spark, sf_dir):
     )
 
 
+TICKET_COLUMNS = ["conv_id", "doc_id", "text"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS dataset, count(*) AS rows, (SELECT '[' || string_agg( || c || , ', ' ORDER BY c) || ']'
+        FROM (SELECT unnest({TICKET_COLUMNS}) AS c) WHERE c NOT IN (
+          SELECT column_name FROM (DESCRIBE {t}))) AS missing FROM {t}"""
+        for t in ("documents", "benchmark", "conversations", "pages")
+    )
+)
+def required_columns(spark, sf_dir):
+    """What the check of required columns names as missing in each table."""
+    found = []
+    for name in ("documents", "benchmark", "conversations", "pages"):
+        rows, missing = V.table(spark, sf_dir, name), ""
+        try:
+            tables.require_columns(rows, TICKET_COLUMNS, name)
+        except ValueError as error:
+            missing = str(error).partition(": ")[2]
+        found.append(rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.lit(missing).alias("missing")))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(
+    f"""SELECT id, text, regexp_matches(lower(text), '{"|".join(X.URGENT_WORDS)}')::INT AS urgent
+    FROM (SELECT id, {S.combined("title", "body")} AS text FROM ({V.TICKETS_CONV})) WHERE length(text) > 0"""
+)
+def conversation_tickets(spark, sf_dir):
+    """Support chats through the same clean-up as tickets."""
+    texts = X.add_text_column(V.tickets_conv(spark, sf_dir)).select("id", "text")
+    return texts.withColumn("urgent", X.urgency_flag(F.col("text")))
+
+
 @query(
     f"""SELECT id, text, {S.joined("list_transform(labels, lambda x: " + S.norm_label("x") + ")")}
       AS labels FROM (SELECT id, {S.combined("title", "body")} AS text, labels
@@ -505,6 +539,33 @@ def downsample_class(spark, sf_dir):
     return sampling.downsample_class(orders, "o_orderpriority", "5-LOW", 1000, "o_orderkey")
 
 
+SIZED = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "documents": "doc_id"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS dataset, count(*) AS rows, (CASE WHEN count(*) >= 50 THEN ceil(0.2 * count(*))
+        ELSE greatest(1, least(5, count(*) // 5)) END)::BIGINT AS test_rows FROM {t}"""
+        for t in SIZED
+    )
+)
+def split_sizes(spark, sf_dir):
+    """Test rows of splits of small and large tables."""
+    found = []
+    for name, key in SIZED.items():
+        rows = V.table(spark, sf_dir, name).select(key)
+        split = sampling.split_random(rows, key, test=sampling.split_size(rows.count()))
+        found.append(
+            split.agg(
+                F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.count_if("is_test").alias("test_rows")
+            )
+        )
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query(
     """SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey))
       <= ceil(0.2 * count(*) OVER ()) AS is_test FROM orders"""
@@ -938,6 +999,105 @@ def score_table_contract(spark, sf_dir):
     return scored.select("id", equal.alias("equal"), F.lit(int(logged == rows)).alias("logged"))
 
 
+CATEGORY_LABELS = f"""SELECT id, unnest(list_distinct(list_transform(labels,
+  lambda x: {S.norm_label("x")}))) AS label FROM (SELECT id, {S.combined("title", "body")} AS text,
+  labels FROM ({V.TICKETS_DOC})) WHERE length(text) > 0"""
+
+
+def _fitted():
+    return (F.col("gradient") <= FLAT * F.col("total")).alias("fitted")
+
+
+@query(f"SELECT label, count(*) AS rows, true AS fitted FROM ({CATEGORY_LABELS}) GROUP BY label")
+def fit_multi_label_optimal(spark, sf_dir):
+    """Per label: its rows, and whether the gradient of its weighted objective vanishes."""
+    docs = _loaded(spark, sf_dir, _category)
+    model = training.fit_multi_label(docs)
+    gradients = training.fit_gradients(model, docs, "labels")
+    counts = docs.select("id", F.explode(F.array_distinct("labels")).alias("label"))
+    counts = counts.groupBy("label").agg(F.count("*").alias("rows"))
+    return counts.join(gradients, "label").select("label", "rows", _fitted())
+
+
+@query(f"SELECT label, count(*) AS rows, true AS fitted FROM ({INTENT_ROWS}) GROUP BY label")
+def fit_linear_svm_optimal(spark, sf_dir):
+    """The same of a linear SVM's classes, whose objective is strongly convex and smooth."""
+    docs = _loaded(spark, sf_dir, _intent)
+    model = training.fit_linear_svm(docs, "label")
+    gradients = training.fit_gradients(model, docs, "label", training.linear_svm())
+    counts = docs.groupBy("label").agg(F.count("*").alias("rows"))
+    return counts.join(gradients, "label").select("label", "rows", _fitted())
+
+
+@query(
+    f"""SELECT id, label, true AS same FROM (SELECT id, {S.combined("title", "body")} AS text,
+      {S.norm_label("severity")} AS label FROM ({V.TICKETS_DOC})) WHERE length(text) > 0"""
+)
+def svm_union_roundtrip(spark, sf_dir):
+    """An SVM on TF-IDF beside the urgency flag, saved and loaded as one pipeline."""
+    docs, path = _loaded(spark, sf_dir, _priority), work_path(spark, "model")
+    both = features.TextAndUrgency(max_features=UNION_FEATURES, sublinear=False)
+    model = training.fit_linear_svm(docs, "label", features=both)
+    model.save(path)
+    again = training.OneVsRestModel.load(spark, path)
+    scored = again.scores(model.scores(docs, "before"), "after")
+    return scored.select("id", "label", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query(
+    """SELECT text, model, true AS valid FROM (SELECT unnest(['title', 'body']) AS text),
+      (SELECT unnest(['logreg', 'svm']) AS model) WHERE (SELECT count(*) FROM documents) > 0"""
+)
+def compare_models_contract(spark, sf_dir):
+    """Each candidate on each text column, on one split: shares that beat chance."""
+    docs = V.tickets_doc(spark, sf_dir).select("id", "title", "body", F.col("intent").alias("label"))
+    classes = docs.select("label").distinct().count()
+    found = training.compare_texts(
+        docs, ["title", "body"], {"logreg": training.logistic(), "svm": training.linear_svm()}, "id"
+    )
+    valid = [F.col(c).between(1 / classes, 1) for c in ("accuracy", "macro_f1")]
+    return found.select("text", "model", (valid[0] & valid[1]).alias("valid"))
+
+
+def _sql_target(target: str, rows: str) -> str:
+    return f"""SELECT '{target}' AS target, count(DISTINCT id) AS rows,
+      string_agg(DISTINCT label, '|' ORDER BY label) AS labels, true AS valid FROM ({rows})"""
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _sql_target("category", CATEGORY_LABELS),
+            _sql_target(
+                "priority",
+                f"""SELECT id, {S.norm_label("severity")} AS label FROM (SELECT id, severity,
+                {S.combined("title", "body")} AS text FROM ({V.TICKETS_DOC})) WHERE length(text) > 0""",
+            ),
+            _sql_target("intent", INTENT_ROWS),
+        ]
+    )
+)
+def train_all_contract(spark, sf_dir):
+    """Rows and labels of each target, and whether its saved model has the labels and its
+    metrics are shares."""
+    docs, path = V.tickets_doc(spark, sf_dir), work_path(spark, "models")
+    sources = {
+        "category": docs.withColumn("labels-mapped", F.to_json("labels")),
+        "priority": docs.withColumn("priority", F.col("severity")),
+        "intent": docs.withColumn("text", F.col("body")),
+    }
+    entries = training.train_all(spark, sources, path)
+    models = scoring.TicketModels.load(spark, path)
+    held = F.create_map(
+        *[x for t in sources for x in (F.lit(t), F.array(*[F.lit(c) for c in getattr(models, t).labels]))]
+    )
+    shares = F.forall(F.map_values("metrics"), lambda x: x.between(0, 1)) & (F.size("metrics") == 2)
+    return entries.select(
+        "target", "rows", bar("labels").alias("labels"),
+        (shares & (held[F.col("target")] == F.col("labels"))).alias("valid"),
+    )
+
+
 CENTROIDS = """SELECT label, list(c ORDER BY i) AS centre FROM (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM embeddings, range(1, 65) r(i)
   GROUP BY label, i) GROUP BY label"""
@@ -1043,6 +1203,15 @@ def flatten_predictions(spark, sf_dir):
     return scoring.flatten_predictions(V.decoded(spark, sf_dir))
 
 
+@query(
+    f"""SELECT id, title, body, '{{"category":[' || array_to_string(list_transform(category,
+      lambda c: {_sql_struct("c")}), ',') || '],"priority":' || {_sql_struct("priority")}
+      || ',"intent":' || {_sql_struct("intent")} || '}}' AS prediction FROM ({V.DECODED})"""
+)
+def with_json(spark, sf_dir):
+    return scoring.with_json(V.decoded(spark, sf_dir))
+
+
 @query(f"SELECT doc_id, array_to_string(({S.tokens('text')})[1:256], ' ') AS text FROM documents")
 def truncate_tokens(spark, sf_dir):
     docs = V.texts(spark, sf_dir, "documents")

@@ -76,6 +76,30 @@ SELECT d.doc_id AS id, split_part(text, chr(10), 1) AS title, text AS body, lang
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
+def tickets_conv(spark, sf_dir):
+    """Chats as tickets: the first user turn, and the other turns in order."""
+    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(turn)).alias("turns")
+    )
+    first = F.get(F.filter("turns", lambda t: t["role"] == "user"), 0)
+    others = F.filter("turns", lambda t: ~t["turn"].eqNullSafe(F.col("first.turn")))
+    return chats.withColumn("first", first).select(
+        F.col("conv_id").alias("id"),
+        F.col("first.text").alias("title"),
+        F.array_join(F.transform(others, lambda t: t["text"]), " ").alias("body"),
+    )
+
+
+TICKETS_CONV = """
+SELECT conv_id AS id, max(CASE WHEN turn = first THEN coalesce(text, '') END) AS title,
+  coalesce(string_agg(CASE WHEN turn IS DISTINCT FROM first THEN coalesce(text, '') END, ' '
+    ORDER BY turn), '') AS body
+FROM conversations JOIN (SELECT conv_id, min(turn) FILTER (role = 'user') AS first
+  FROM conversations GROUP BY conv_id) USING (conv_id)
+GROUP BY conv_id"""
+
+
 def raw_labels(spark, sf_dir):
     """Parts as issues with a comma-separated label text; some have none."""
     return table(spark, sf_dir, "part").select(
