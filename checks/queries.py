@@ -416,7 +416,7 @@ TICKET_COLUMNS = ["conv_id", "doc_id", "text"]
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{t}' AS dataset, count(*) AS rows, (SELECT '[' || string_agg( || c || , ', ' ORDER BY c) || ']'
+        f"""SELECT '{t}' AS dataset, count(*) AS rows, (SELECT '[' || string_agg('''' || c || '''', ', ' ORDER BY c) || ']'
         FROM (SELECT unnest({TICKET_COLUMNS}) AS c) WHERE c NOT IN (
           SELECT column_name FROM (DESCRIBE {t}))) AS missing FROM {t}"""
         for t in ("documents", "benchmark", "conversations", "pages")
