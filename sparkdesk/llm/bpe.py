@@ -40,7 +40,8 @@ VOCABULARY = "byte_bpe_50k.json"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words, pieces and pairs that a task keeps; more are solved again when they come back.
 REMEMBERED = 300_000
-BYTES = [bytes([b]) for b in range(256)]
+# Last bytes by which tokens are looked up.
+ENDING = 3
 # Rows of one batch handed to Python, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
 
@@ -97,6 +98,14 @@ class Encoder:
                 self.halves[whole_token], self.made[whole_token] = (x, y), rank
         self.id_of = {t: i for t, i in self.id_of.items() if len(t) == 1 or self.halves[i]}
         self.longest = max(map(len, self.id_of), default=1)
+        # lengths of the tokens with the same last ENDING bytes, longest first, then of shorter ones
+        found: dict[bytes, set[int]] = {}
+        for token in self.id_of:
+            found.setdefault(token[-ENDING:], set()).add(len(token))
+        for end, sizes in found.items():
+            sizes.update(k for k in range(1, len(end)) if end[-k:] in self.id_of)
+        self.sizes = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in found.items()}
+        self.short = tuple(range(ENDING, 0, -1))
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.opening: dict[str, bytes] = {}
@@ -122,52 +131,49 @@ class Encoder:
                 right_ends, y = self.made[y], self.halves[y][0]
 
     def solve(self, fresh: set[str]) -> None:
-        """Add the packed ids of words to ``words``."""
-        trie: dict = {}
-        for word in fresh:
-            node = trie
-            for byte in word.encode():
-                if (below := node.get(byte)) is None:
-                    below = node[byte] = {}
-                node = below
-            node[-1] = word
-        # down one path: the last token of every prefix, and how long that token is
-        last, length = [-1], [0]
-        id_of, longest, pairs, packed = self.id_of, self.longest, self.pairs, self.packed
-        todo = [(trie, b"", 0)]
-        while todo:
-            node, path, depth = todo.pop()
-            del last[depth:], length[depth:]
-            if depth == 0:
-                last.append(-1)
-                length.append(0)
-            else:
-                for start in range(depth - longest if depth > longest else 0, depth):
+        """Add the packed ids of words to ``words``.
+
+        In sorted order words are the leaves of their trie, depth first: what the prefix shared
+        with the word before has on the path stays, the rest is solved byte by byte.
+        """
+        # down the path: the last token of every prefix, and how long that token is
+        last, length, before = [-1], [0], b""
+        id_of, pairs, packed = self.id_of, self.pairs, self.packed
+        sizes_of, short, known = self.sizes.get, self.short, self.words
+        for path, word in sorted((w.encode(), w) for w in fresh):
+            shared = 0
+            for x, y in zip(before, path):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], length[shared + 1 :]
+            for depth in range(shared + 1, len(path) + 1):
+                ending = path[depth - ENDING : depth] if depth > ENDING else path[:depth]
+                for size in sizes_of(ending, short):
                     # the prefix's encoding ends with the one token that may follow the rest's
-                    token = id_of.get(path[start - depth :])
+                    if size > depth:
+                        continue
+                    token = id_of.get(path[depth - size : depth])
                     if token is None:
                         continue
-                    if start:
-                        key = last[start] << 32 | token
+                    if size < depth:
+                        key = last[depth - size] << 32 | token
                         fits = pairs.get(key)
                         if fits is None:
-                            fits = pairs[key] = self.stay(last[start], token)
+                            fits = pairs[key] = self.stay(last[depth - size], token)
                         if not fits:
                             continue
                     last.append(token)
-                    length.append(depth - start)
+                    length.append(size)
                     break
                 else:
-                    raise ValueError(f"the vocabulary lacks the byte {path[-1]:#x}")
-            for byte, below in node.items():
-                if byte >= 0:
-                    todo.append((below, path[1 - longest :] + BYTES[byte], depth + 1))
-                else:
-                    ids, end = [], depth
-                    while end:
-                        ids.append(packed[last[end]])
-                        end -= length[end]
-                    self.words[below] = b"".join(ids[::-1])
+                    raise ValueError(f"the vocabulary lacks the byte {path[depth - 1]:#x}")
+            ids, end = [], len(path)
+            while end:
+                ids.append(packed[last[end]])
+                end -= length[end]
+            known[word] = b"".join(ids[::-1])
+            before = path
 
     def learn(self, opening: set[str], spaced: set[str]) -> None:
         """Know the packed ids of text pieces, those in ``spaced`` with a blank before them."""
