@@ -37,8 +37,8 @@ CONTROLS = (
 )
 TRAINED = ("assistant",)
 
-SPAN = "struct<start:int,length:int>"
-BLOCK = "struct<role:string,texts:array<string>>"
+# Turns whose lengths are summed at once on the way to a running sum.
+STRIDE = 128
 
 
 def _by_first(controls: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -80,44 +80,75 @@ def unescape_role(role: Column, controls: tuple[str, ...] = CONTROLS) -> Column:
     )
 
 
-def _merge(blocks: Column, turn: Column) -> Column:
-    last = F.get(blocks, F.size(blocks) - 1)
-    grown = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-    new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-    return F.when(
-        last["role"] == turn["role"],
-        F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(grown)),
-    ).otherwise(F.concat(blocks, F.array(new)))
-
-
-def _spans(state: Column, block: Column, trained: tuple[str, ...]) -> Column:
-    """Walk one block: the place after it and, for a trained role, its texts' spans."""
-    begin = state["at"] + len(START) + F.length(block["role"]) + 1
-    spans = F.when(block["role"].isin(*trained), True).otherwise(False)
-    walked = F.aggregate(
-        block["texts"],
-        F.struct(begin.alias("at"), state["spans"].alias("spans")),
-        lambda s, text: F.struct(
-            (s["at"] + F.length(text) + len(SEP)).alias("at"),
-            F.when(
-                spans,
-                F.concat(
-                    s["spans"],
-                    F.array(F.struct(s["at"].alias("start"), F.length(text).alias("length"))),
-                ),
+def _merged(rows: Column) -> Column:
+    """Blocks of adjacent rows with the same role: where runs start, and what lies between."""
+    place = F.sequence(F.lit(0), F.size(rows) - 1)
+    starts = F.filter(place, lambda i: (i == 0) | (F.get(rows, i)["role"] != F.get(rows, i - 1)["role"]))
+
+    def cut(s: Column) -> Column:
+        def block(start: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(s, j + 1), F.size(rows))
+            own = F.slice(rows, start + 1, end - start)
+            return F.struct(
+                F.get(rows, start)["role"].alias("role"),
+                F.transform(own, lambda r: r["text"]).alias("texts"),
             )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-    )
+
+        return F.transform(s, block)
+
+    return let(starts, cut)
+
+
+def _running(widths: Column) -> Column:
+    """The sum of all entries before each entry: of whole strides, and inside the own one."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def stride(i: Column) -> Column:
+        return F.floor(i / STRIDE).cast("int")
+
+    strides = F.sequence(F.lit(0), stride(F.size(widths) - 1))
+    sums = F.transform(strides, lambda j: total(F.slice(widths, j * STRIDE + 1, STRIDE)))
+    ahead = let(sums, lambda s: F.transform(s, lambda x, j: total(F.slice(s, F.lit(1), j))))
     return let(
-        walked,
-        lambda w: F.struct(
-            (w["at"] - len(SEP) + len(END) + 1).alias("at"), w["spans"].alias("spans")
+        ahead,
+        lambda h: F.transform(
+            widths,
+            lambda x, i: F.get(h, stride(i)) + total(F.slice(widths, stride(i) * STRIDE + 1, i % STRIDE)),
         ),
     )
 
 
+def _spans(rows: Column, trained: tuple[str, ...]) -> Column:
+    """Place and length of each text of a trained role in the formatted chat."""
+
+    def measured(r: Column, i: Column) -> Column:
+        opens = (i == 0) | (r["role"] != F.get(rows, i - 1)["role"])
+        closes = (i == F.size(rows) - 1) | (r["role"] != F.get(rows, i + 1)["role"])
+        lead = F.when(opens, F.length(r["role"]) + len(START) + 1).otherwise(len(SEP))
+        length = F.length(r["text"])
+        return F.struct(
+            lead.alias("lead"),
+            length.alias("length"),
+            (lead + length + F.when(closes, len(END) + 1).otherwise(0)).alias("width"),
+            r["role"].isin(*trained).alias("trained"),
+        )
+
+    def placed(m: Column) -> Column:
+        at = let(F.transform(m, lambda x: x["width"]), _running)
+        spans = F.zip_with(
+            m,
+            at,
+            lambda x, start: F.when(
+                x["trained"], F.struct((start + x["lead"]).alias("start"), x["length"].alias("length"))
+            ),
+        )
+        return F.array_compact(spans)
+
+    return let(F.transform(rows, measured), placed)
+
+
 def format_chats(
     turns: DataFrame,
     id_col: str = "conv_id",
@@ -141,24 +172,23 @@ def format_chats(
             escape_role(r["role"], controls).alias("role"), escape(r["text"], controls).alias("text")
         ),
     )
-    blocks = F.aggregate(escaped, F.array().cast(f"array<{BLOCK}>"), _merge)
-    chats = chats.select("conv_id", blocks.alias("blocks"))
+    chats = chats.select(
+        "conv_id",
+        let(
+            escaped,
+            lambda r: F.struct(_merged(r).alias("blocks"), _spans(r, trained).alias("loss")),
+        ).alias("chat"),
+    ).select("conv_id", "chat.blocks", "chat.loss")
     pieces = F.transform(
         "blocks",
         lambda b: F.concat(
             F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END + "\n")
         ),
     )
-    loss = F.aggregate(
-        "blocks",
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-        lambda state, block: _spans(state, block, trained),
-        lambda state: state["spans"],
-    )
     return chats.select(
         "conv_id",
         F.array_join(pieces, "").alias("formatted"),
-        loss.alias("loss"),
+        "loss",
         F.size("blocks").alias("n_blocks"),
     )
 

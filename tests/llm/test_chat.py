@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -59,3 +60,21 @@ def test_read_back_odd_rows(spark):
 def test_controls_that_hold_each_other_are_refused():
     with pytest.raises(ValueError):
         chat.escape(None, ("<a<b>", "<b>"))
+
+
+def test_long_chats_take_time_in_proportion(spark):
+    """Whole results at 1,000 and 16,000 turns, and time per turn that doesn't grow with them."""
+    spent = {}
+    for n in (1000, 16_000):
+        rows = spark.range(n).selectExpr(
+            "1L AS conv_id", "id AS turn", "IF(id % 3 = 2, 'user', 'assistant') AS role",
+            "concat('text ', id) AS text",
+        )
+        chats = chat.format_chats(rows).cache()
+        start = time.time()
+        back = chat.read_back(chats).first()
+        spent[n] = time.time() - start
+        assert [t["text"] for t in back["turns"]] == [f"text {i}" for i in range(n)]
+        assert back["loss_text"] == "".join(f"text {i}" for i in range(n) if i % 3 != 2)
+        assert back["n_blocks"] == 2 * (n // 3) + (1 if n % 3 else 0)
+    assert spent[16_000] < 16 * spent[1000]
