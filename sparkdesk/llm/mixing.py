@@ -6,8 +6,8 @@ until none is above its clamp. A source's documents are then taken whole as many
 the target holds whole epochs, and once more in seeded order until the rest is used up.
 
 Cases: a null text has size 0, a null source is a source of its own, a source without words
-gets target 0, documents with equal seeded numbers (repeated rows) are taken together, an
-empty table gives an empty mix.
+gets target 0, rows with equal ids and texts are taken together, others that share an id or have
+none are drawn apart, an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdesk.llm.common import HASH_BITS, fresh, same, seeded, words
+from sparkdesk.llm.common import HASH_BITS, Steps, fresh, same, seeded, whole, words
 from sparkdesk.session import materialize
 
 EPOCHS = 3
@@ -75,13 +75,21 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     )
 
 
+def draw_of(id: Column, text: Column, seed: int = SEED) -> Column:
+    """Seeded number of a row, from its id and a digest of its text: rows that share an id, or
+    have none, are drawn apart, and only rows equal in both are taken together."""
+    return seeded(seed, id, F.md5(whole(text)))
+
+
 def _cuts(drawn: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
     """Per source the whole repetitions and the largest seeded number of the last, partial one.
 
     A histogram over the leading bits of the seeded number finds the cell that holds the cut,
     a second one the cell inside it; only that cell's documents, one in 2**24 of the source,
-    are put in order.
+    are put in order. What is known after each look, a row per source, is written, so that no
+    plan holds more than one look.
     """
+    steps = Steps(drawn.sparkSession)
     times = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
     state = sources.withColumn("times", F.least(times, F.lit(epochs)).cast("long")).select(
         "source",
@@ -92,8 +100,9 @@ def _cuts(drawn: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
         F.lit(0).cast("long").alias("cell"),
         F.lit(0).cast("long").alias("before"),
     )
+    state = steps.write(state, "mix-state")
     shift = HASH_BITS
-    for finer in LOOKS:
+    for turn, finer in enumerate(LOOKS):
         inside = drawn.select(F.col("source").alias("of"), "draw", "words")
         if shift < HASH_BITS:
             cells = state.select(F.col("source").alias("in_source"), "cell")
@@ -129,6 +138,8 @@ def _cuts(drawn: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
             F.coalesce("part", past).alias("cell"),
             F.coalesce("begin", F.col("before")).alias("before"),
         )
+        state = steps.write(state, f"mix-state-{turn}")
+        steps.drop("mix-state", f"mix-state-{turn - 1}")
         shift = finer
     return state.select("source", "size", "target", "times", F.col("cell").alias("cut"))
 
@@ -151,7 +162,7 @@ def draw_mix(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             size_in_words(F.col(text_col)).alias("words"),
-            seeded(seed, F.col(id_col)).alias("draw"),
+            draw_of(F.col(id_col), F.col(text_col), seed).alias("draw"),
         ),
         "mix",
     )
@@ -195,7 +206,7 @@ def mix(
     slim = docs.select(
         F.col(source_col).alias("source"),
         size_in_words(F.col(text_col)).alias("words"),
-        seeded(seed, F.col(id_col)).alias("draw"),
+        draw_of(F.col(id_col), F.col(text_col), seed).alias("draw"),
     )
     cuts = mix_cuts(materialize(slim, "mix")[0], weights, epochs)
     of, total, target, times, cut, salt, copy = fresh(
@@ -205,7 +216,7 @@ def mix(
     cuts = _spread(cuts.toDF(of, total, target, times, cut), salt)
     once_more = F.when(F.col(draw) <= F.col(cut), 1).otherwise(0)
     copies = F.least(F.col(times) + once_more, F.lit(epochs)).cast("int")
-    out = docs.withColumn(draw, seeded(seed, F.col(id_col))).join(
+    out = docs.withColumn(draw, draw_of(F.col(id_col), F.col(text_col), seed)).join(
         cuts, same(F.col(source_col), F.col(of)) & (F.col(draw) % SALTS == F.col(salt))
     )
     out = out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
@@ -230,7 +241,7 @@ def op9_sql() -> str:
 
     return f"""
 WITH docs AS (
-  SELECT doc_id, source, {seeded_sql(SEED, 'doc_id')} AS draw,
+  SELECT doc_id, source, {seeded_sql(SEED, 'doc_id', "md5(coalesce(text, ''))")} AS draw,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
 sources AS (

@@ -63,3 +63,13 @@ def test_odd_cases(spark):
     want = sum(r.copies for r in got)
     assert len(rows) == want
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.draw_mix(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_meet_their_target(spark):
+    """Within about one document."""
+    rows = [(None if i % 2 else 7, f"text {i} " + "w " * (i % 30), "a" if i % 3 else "b") for i in range(900)]
+    plan = mixing.draw_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        own = [r for r in plan if r.source == source]
+        assert abs(sum(r.words * r.copies for r in own) - own[0].target) <= 32
+        assert 0 < own[0].target
