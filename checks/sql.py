@@ -23,6 +23,7 @@ def clean(x: str) -> str:
 
 
 def _blocks(x: str) -> str:
+    # Fixed patterns: the steps of the clean-up.
     for pattern in (r"\x1b\[[0-9;]*m", "<[^>]+>", f"https?://{NOT_WS}+", "(?s)```.*?```"):
         x = sub(x, pattern)
     return x

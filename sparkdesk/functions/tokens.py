@@ -15,19 +15,15 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 # Words without signal in tickets, on top of the English list.
 DOMAIN_STOP_WORDS = [
-    # issue language
     "issue", "problem", "error", "bug", "fix", "fixed", "working", "work",
     "help", "please", "need", "trying", "tried", "using", "used", "use",
     "want", "would", "could", "should", "getting", "got", "seems", "like",
     "also", "still", "currently", "expected", "actual", "found", "make",
-    # greetings and sign-offs
     "hi", "hello", "hey", "dear", "thanks", "thank", "regards", "sincerely",
     "cheers", "best",
-    # issue-template text
     "describe", "steps", "reproduce", "expected", "behavior", "environment",
     "version", "os", "operating", "system", "additional", "context",
     "feature", "request", "related", "possible", "solution",
-    # what markup leaves behind
     "br", "nbsp", "div", "span", "lt", "gt", "amp",
 ]
 

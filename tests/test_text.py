@@ -51,6 +51,7 @@ def test_deep_clean_text_edges(evaluate):
 
 
 # The expected rewrite in plain Python, for comparison on awkward strings.
+# Fixed patterns: the steps of the clean-up.
 STEPS = [
     (r"\x1b\[[0-9;]*m", " "), (r"<[^>]+>", " "), (r"https?://\S+", " "),
     (r"```[\s\S]*?```", " "), (r"`[^`\n]{1,100}`", " "), (r"\{[^}]+\}", " "),
