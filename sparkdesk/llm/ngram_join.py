@@ -18,8 +18,10 @@ largest node only; pairs inside a component that has formed are not compared, as
 link between different components. Pairs across components that share a part are all compared,
 so no component is left in two. A group of near copies therefore costs about its size, not its
 square. Parts that very many documents share, those of a passage that stands in all of them,
-say little about similarity: among the documents that share such parts, pairs are found by a
-prefix filter instead, over shingles in the order of their counts, rare ones first. It is exact
+say little about similarity: a document with such parts files as many further fragments, so that
+d + 1 of its parts aren't common. Parts are common to all or to none of their documents, so two
+similar documents still share one of those, or neither has that many. Among the latter, pairs are
+found by a prefix filter over shingles in the order of their counts, rare ones first. It is exact
 as well, and looks at common shingles only where a document has hardly any others.
 
 Cases: a text without words, empty or null, has an empty set and is linked with nothing; equal
@@ -45,7 +47,7 @@ RANGE = 1.5
 # Fragments that overlaps are counted in, and those of them that are counted first.
 COUNTED, LEADING = 8, 2
 BATCH_ROWS = 512
-# Documents that share a part before the prefix filter takes over.
+# Documents that share a part before it counts as common.
 COMMON = 32
 
 
@@ -65,11 +67,11 @@ class Filing:
             self.ranges.append((low, high, d + d // 4 + 2 if d else 1))
             self._upto = high + 1
 
-    def parts(self, found: np.ndarray) -> np.ndarray:
-        """64-bit numbers of the filed parts of a set of sorted hashes."""
+    def _placed(self, found: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(level, d, fragments, where each begins) of a set of sorted hashes, for every range
+        that it files for; d is the largest difference from a partner there."""
         size, of = len(found), self.of
         self._grow(size)
-        out = []
         top = found >> np.uint64(32)
         for level in range(len(self.ranges) - 1, -1, -1):
             low, high, fragments = self.ranges[level]
@@ -77,21 +79,44 @@ class Filing:
                 continue
             if high * 100 < size * of:  # all partners of this range are too small
                 break
-            # the largest difference from a partner: of any size in the own range, else the smaller
+            # a partner may have any size in the own range, else the smaller
             d = size * (100 - of) // of if size <= high else (size + high) * (100 - of) // (100 + of)
             place = (top * np.uint64(fragments)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            yield level, d, place, first
+
+    def parts(self, found: np.ndarray) -> np.ndarray:
+        """64-bit numbers of the filed parts of a set of sorted hashes."""
+        size, out = len(found), []
+        for level, d, place, first in self._placed(found):
             short = len(first) <= d
             upto = size if short or len(first) == d + 1 else int(first[d + 1])
             first = first[: d + 1]
-            sums = np.add.reduceat(mixed(found[:upto]), first)
-            key = np.uint64((level << 32) + 1) + place[first]
-            out.append(mixed(mixed(sums) ^ mixed(key)))
+            out.append(_numbers(found[:upto], level, place, first))
             if short:
-                leading = size - -(-size * of // 100) + 1
+                leading = size - -(-size * self.of // 100) + 1
                 out.append(mixed(found[:leading] + np.uint64(level) + _PREFIX))
         return np.concatenate(out)
 
+    def further(self, found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool]:
+        """What a set files beyond ``parts`` to have d + 1 parts that aren't among ``common``,
+        and whether it has too few of them in some range."""
+        out, short = [], False
+        for level, d, place, first in self._placed(found):
+            numbers = _numbers(found, level, place, first)
+            rare = np.flatnonzero(~np.isin(numbers, common))
+            short |= len(rare) <= d
+            kept = rare[: d + 1]
+            out.append(numbers[kept[kept > d]])
+        return np.concatenate(out), short
+
+
+def _numbers(found: np.ndarray, level: int, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of a set that begin at ``first``; the last one ends with ``found``."""
+    sums = np.add.reduceat(mixed(found), first)
+    key = np.uint64((level << 32) + 1) + place[first]
+    return mixed(mixed(sums) ^ mixed(key))
+
 
 _PREFIX = np.uint64(0x5851F42D4C957F2D)
 
@@ -139,6 +164,29 @@ def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
     )
 
 
+def file_further(crowded: DataFrame, of: int) -> DataFrame:
+    """(node, parts, short) of sets (node, leading, rest, common): the further parts that they file,
+    and whether too few of their parts aren't common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filing = Filing(of)
+        for batch in batches:
+            pieces, short = [], []
+            for found, common in zip(batch.column(1), batch.column(2)):
+                numbers = (x.values.to_numpy().view(np.uint64) for x in (found, common))
+                parts, few = filing.further(*numbers)
+                pieces.append(parts)
+                short.append(few)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _list_of(pieces), pa.array(short, pa.bool_())], ["node", "parts", "short"]
+            )
+
+    whole_set = F.flatten(F.concat("leading", "rest")).alias("found")
+    return crowded.select("node", whole_set, "common").mapInArrow(
+        run, "node bigint, parts array<bigint>, short boolean"
+    )
+
+
 def wide_fragments(docs: DataFrame, n: int) -> DataFrame:
     """(node, size, leading, rest) of documents (node, size, text): a set's parts in wide
     fragments. Rows whose text has another set than ``node`` are left out."""
@@ -230,7 +278,6 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     shared = shared.where(F.col("low") < F.col("high")).withColumnRenamed("part", "at")
     met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high", "n")
     met = steps.write(met.distinct(), "met")
-    steps.drop("filed")
 
     stars = met.where(F.col("node") > F.col("low")).select(*_pair("node", "low"))
     stars = stars.unionAll(met.where(F.col("node") < F.col("high")).select(*_pair("node", "high")))
@@ -256,13 +303,35 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     sizes = named.select(F.col("node").alias("of"), "size")
     placed = placed.join(sizes, F.col("node") == F.col("of")).drop("of")
     placed = steps.write(placed, "placed")
-    steps.drop("met")
-    sets = steps.write(_sets(docs, named, placed.select(F.col("node").alias("of")).distinct(), n), "sets")
     few, many = placed.where(F.col("n") <= COMMON), placed.where(F.col("n") > COMMON)
+
+    # sets with parts that very many share file further ones instead
+    common = many.select(F.col("part").alias("at")).distinct()
+    crowded = met.join(common, F.col("part") == F.col("at")).groupBy(F.col("node").alias("of"))
+    crowded = steps.write(crowded.agg(F.collect_set("part").alias("common")), "crowded")
+    nodes = placed.select(F.col("node").alias("of")).unionAll(crowded.select("of"))
+    sets = steps.write(_sets(docs, named, nodes.distinct(), n), "sets")
+    steps.drop("met")
+    refiled = sets.join(crowded, F.col("node") == F.col("of")).select("node", "leading", "rest", "common")
+    refiled = steps.write(file_further(refiled, of), "refiled")
+    more = refiled.select("node", F.explode("parts").alias("part"))
+    wanted = more.select(F.col("part").alias("at")).distinct()
+    held = parts.join(wanted, F.col("part") == F.col("at"), "left_semi").select("node", "part")
+    held = held.unionAll(more).distinct()
+    component = F.coalesce("component", "node").alias("component")
+    held = held.join(known, F.col("node") == F.col("of"), "left").select("part", "node", component)
+    held = held.join(sizes, F.col("node") == F.col("of")).drop("of")
+    counts = held.groupBy(F.col("part").alias("at")).agg(F.count("*").alias("n"))
+    held = steps.write(held.join(counts, F.col("part") == F.col("at")).drop("at"), "held")
+    steps.drop("filed")
+    left = held.where(F.col("n") > COMMON).select("node").unionAll(refiled.where("short").select("node"))
+    left = left.distinct().join(known, F.col("node") == F.col("of"), "left").select("node", component)
+
     alike = 100 * F.least("size", "other_size") >= of * F.greatest("size", "other_size")
-    rest = _across(few.select("part", "node", "component", "size"), alike).unionAll(
-        _across(*_rare_first(sets, many.select("node", "component").distinct(), of))
-    )
+    near = ["part", "node", "component", "size"]
+    rest = _across(few.select(*near), alike)
+    rest = rest.unionAll(_across(held.where((F.col("n") > 1) & (F.col("n") <= COMMON)).select(*near), alike))
+    rest = rest.unionAll(_across(*_rare_first(sets, left, of)))
     rest = steps.write(rest.distinct(), "rest")
     more = count_overlaps(rest, sets, of, steps, "more")
     if not more.isEmpty():

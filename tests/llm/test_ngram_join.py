@@ -58,7 +58,7 @@ def edited(seed):
     return [*rows, (1, None), (2, ""), (3, " \n\t"), (None, rows[0][1]), rows[5], (None, None)]
 
 
-@pytest.mark.parametrize("n, of, common", [(4, 85, 32), (5, 80, 0), (2, 55, 2)])
+@pytest.mark.parametrize("n, of, common", [(4, 85, 32), (5, 80, 0), (2, 55, 2), (3, 70, 1), (1, 80, 3)])
 def test_components_equal_brute_force(spark, monkeypatch, n, of, common):
     """With a low bound the prefix filter finds what the shared parts leave."""
     monkeypatch.setattr(ngram_join, "COMMON", common)
@@ -101,6 +101,45 @@ def test_every_similar_pair_files_a_common_part():
                 assert set(filing.parts(one)) & set(filing.parts(other))
 
 
+def test_similar_sets_share_a_part_that_is_not_common_or_lack_them():
+    """Whatever parts are common: sets file others instead, or both are known to have too few."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lacking = 0
+    for of in (80, 85, 60):
+        filing = ngram_join.Filing(of)
+        for turn in range(1500):
+            size = int(rng.integers(1, 200))
+            one = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2)
+            gone = int(rng.integers(0, size * (100 - of) // 100 + 1))
+            other = np.concatenate([one[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 5)), np.uint64)])
+            one, other = np.unique(one), np.unique(other)
+            overlap = len(np.intersect1d(one, other))
+            if 100 * overlap < of * (len(one) + len(other) - overlap):
+                continue
+            share = np.uint64((3, 30, 90)[turn % 3])
+            filed = []
+            for found in (one, other):
+                parts = filing.parts(found)
+                more, short = filing.further(found, np.concatenate([_every(filing, found, share), parts[parts % 100 < share]]))
+                assert not set(more) & set(parts)
+                filed.append(({*parts.tolist(), *more.tolist()}, short))
+            kept = [{p for p in parts if p % 100 >= share} for parts, _ in filed]
+            assert kept[0] & kept[1] or (filed[0][1] and filed[1][1])
+            lacking += not kept[0] & kept[1]
+    assert lacking > 20
+
+
+def _every(filing, found, share):
+    """The common ones of all parts of a set; common are some remainders of their numbers."""
+    import numpy as np
+
+    placed = list(filing._placed(found))
+    numbers = np.concatenate([ngram_join._numbers(found, level, place, first) for level, _, place, first in placed])
+    return numbers[numbers % 100 < share]
+
+
 def test_keep_one_and_odd_cases(spark):
     docs = odd_documents(spark)
     kept = ngram_join.keep_one(docs)
