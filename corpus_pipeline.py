@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkdesk.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from sparkdesk.llm.common import fresh, read, whole
-from sparkdesk.session import materialize
+from sparkdesk.session import materialize, remove_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last is read by the result.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
