@@ -18,9 +18,14 @@ largest node only; pairs inside a component that has formed are not compared, as
 link between different components. Pairs across components that share a part are all compared,
 so no component is left in two. A group of near copies therefore costs about its size, not its
 square. Parts that very many documents share, those of a passage that stands in all of them,
-say little about similarity: among the documents that share such parts, pairs are found by a
-prefix filter instead, over shingles in the order of their counts, rare ones first. It is exact
-as well, and looks at common shingles only where a document has hardly any others.
+say little about similarity. The documents that still share a part across components therefore
+file anew, all of them alike: their d + 1 rarest parts instead of the first ones, by the counts
+among these documents. The rarest part in which two similar documents agree has at most d
+others before it in either order, so it is filed by both.
+
+A pair is compared only if its sketches allow the similarity. A sketch has one bit for every
+residue of a hash, the parity of the shingles that fall on it; the bits in which two sketches
+differ are at most the shingles in which the sets differ, so no similar pair is lost.
 
 Cases: a text without words, empty or null, has an empty set and is linked with nothing; equal
 texts are linked; rows with a null id count as documents, but the smallest id of a component is
@@ -45,8 +50,8 @@ RANGE = 1.5
 # Fragments that overlaps are counted in, and those of them that are counted first.
 COUNTED, LEADING = 8, 2
 BATCH_ROWS = 512
-# Documents that share a part before the prefix filter takes over.
-COMMON = 32
+# Bits of a sketch for every shingle, at least.
+SKETCH_BITS = 2
 
 
 class Filing:
@@ -65,11 +70,12 @@ class Filing:
             self.ranges.append((low, high, d + d // 4 + 2 if d else 1))
             self._upto = high + 1
 
-    def parts(self, found: np.ndarray) -> np.ndarray:
-        """64-bit numbers of the filed parts of a set of sorted hashes."""
+    def levels(self, found: np.ndarray, every: bool = False) -> Iterator[tuple]:
+        """(parts, d + 1, leading shingles) of a set of sorted hashes, for its own range and the
+        lower ones in which partners may be: 64-bit numbers of the first d + 1 parts, or of
+        ``every`` part; leading shingles only if the parts are too few."""
         size, of = len(found), self.of
         self._grow(size)
-        out = []
         top = found >> np.uint64(32)
         for level in range(len(self.ranges) - 1, -1, -1):
             low, high, fragments = self.ranges[level]
@@ -81,16 +87,17 @@ class Filing:
             d = size * (100 - of) // of if size <= high else (size + high) * (100 - of) // (100 + of)
             place = (top * np.uint64(fragments)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            short = len(first) <= d
-            upto = size if short or len(first) == d + 1 else int(first[d + 1])
-            first = first[: d + 1]
+            leading = size - -(-size * of // 100) + 1 if len(first) <= d else 0
+            upto = size if every or len(first) <= d + 1 else int(first[d + 1])
+            first = first if every else first[: d + 1]
             sums = np.add.reduceat(mixed(found[:upto]), first)
             key = np.uint64((level << 32) + 1) + place[first]
-            out.append(mixed(mixed(sums) ^ mixed(key)))
-            if short:
-                leading = size - -(-size * of // 100) + 1
-                out.append(mixed(found[:leading] + np.uint64(level) + _PREFIX))
-        return np.concatenate(out)
+            prefix = mixed(found[:leading] + np.uint64(level) + _PREFIX)
+            yield mixed(mixed(sums) ^ mixed(key)), d + 1, prefix
+
+    def parts(self, found: np.ndarray) -> np.ndarray:
+        """What a set of sorted hashes files at first."""
+        return np.concatenate([x for parts, _, prefix in self.levels(found) for x in (parts, prefix)])
 
 
 _PREFIX = np.uint64(0x5851F42D4C957F2D)
@@ -108,6 +115,16 @@ def set_name(found: np.ndarray) -> int | None:
     return int(mixed(whole).view(np.int64)[0])
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the hashes on each of their residues, 64 to a number; the residues are a
+    power of two, so a sketch folds to a smaller one by halves."""
+    bits = 64
+    while bits < SKETCH_BITS * len(found):
+        bits *= 2
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _list_of(pieces: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
     flat = np.concatenate([*pieces, np.empty(0, np.uint64)]).view(np.int64)
@@ -115,7 +132,8 @@ def _list_of(pieces: list[np.ndarray]) -> pa.ListArray:
 
 
 def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
-    """(id, size, node, parts) of documents (id, text); ``node`` names the set, null if empty."""
+    """(id, size, node, sketch, parts) of documents (id, text); ``node`` names the set, null if
+    empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filing = Filing(of)
@@ -128,14 +146,51 @@ def file_documents(docs: DataFrame, n: int, of: int) -> DataFrame:
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_name(s) for s in sets], pa.int64()),
+                        _list_of([sketch(s) for s in sets]),
                         _list_of([filing.parts(s) if len(s) else s for s in sets]),
                     ],
-                    ["id", "size", "node", "parts"],
+                    ["id", "size", "node", "sketch", "parts"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, size bigint, node bigint, parts array<bigint>"
+        run, f"id {kind}, size bigint, node bigint, sketch array<bigint>, parts array<bigint>"
+    )
+
+
+def _named_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Rows (node, size, text) whose text has the set ``node``, and their sets, batch by batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            sets = shingle_sets(_texts(part.column(2)), n)
+            names = part.column(0).to_pylist()
+            right = [i for i, s in enumerate(sets) if set_name(s) == names[i]]
+            yield part.take(pa.array(right, pa.int32())), [sets[i] for i in right]
+
+
+def every_part(docs: DataFrame, n: int, of: int) -> DataFrame:
+    """(node, level, needed, parts) of documents (node, size, text): all parts of a set for each
+    range of sizes, and how many of them must be filed. Where they are too few, leading shingles
+    are among them and all must be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filing = Filing(of)
+        for taken, sets in _named_sets(batches, n):
+            nodes, levels, needed, parts = [], [], [], []
+            for node, found in zip(taken.column(0).to_pylist(), sets):
+                for level, (all_of, least, prefix) in enumerate(filing.levels(found, every=True)):
+                    nodes.append(node)
+                    levels.append(level)
+                    needed.append(len(all_of) + len(prefix) if len(prefix) else least)
+                    parts.append(np.concatenate([all_of, prefix]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(levels, pa.int32()), pa.array(needed, pa.int32()), _list_of(parts)],
+                ["node", "level", "needed", "parts"],
+            )
+
+    return docs.select("node", "size", "text").mapInArrow(
+        run, "node bigint, level int, needed int, parts array<bigint>"
     )
 
 
@@ -153,18 +208,11 @@ def wide_fragments(docs: DataFrame, n: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(offsets), _list_of(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                sets = shingle_sets(_texts(part.column(2)), n)
-                names = part.column(0).to_pylist()
-                right = [i for i, s in enumerate(sets) if set_name(s) == names[i]]
-                sets = [sets[i] for i in right]
-                taken = part.take(pa.array(right, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), nested(sets, 0, LEADING), nested(sets, LEADING, COUNTED)],
-                    ["node", "size", "leading", "rest"],
-                )
+        for taken, sets in _named_sets(batches, n):
+            yield pa.RecordBatch.from_arrays(
+                [taken.column(0), taken.column(1), nested(sets, 0, LEADING), nested(sets, LEADING, COUNTED)],
+                ["node", "size", "leading", "rest"],
+            )
 
     return docs.select("node", "size", "text").mapInArrow(
         run, "node bigint, size bigint, leading array<array<bigint>>, rest array<array<bigint>>"
@@ -222,19 +270,20 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     steps = Steps(docs.sparkSession)
     filed = steps.write(file_documents(docs, n, of), "filed")
     named = filed.where(F.col("node").isNotNull()).groupBy("node")
-    named = steps.write(named.agg(F.min("id").alias("rep"), F.first("size").alias("size")), "named")
+    named = named.agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    named = steps.write(named, "named")
     listed = steps.write(filed.select("id", "size", "node"), "listed")
 
     parts = filed.select("node", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+    shared = parts.groupBy("part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = shared.where(F.col("low") < F.col("high")).withColumnRenamed("part", "at")
-    met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high", "n")
+    met = parts.join(shared, F.col("part") == F.col("at")).select("part", "node", "low", "high")
     met = steps.write(met.distinct(), "met")
     steps.drop("filed")
 
     stars = met.where(F.col("node") > F.col("low")).select(*_pair("node", "low"))
     stars = stars.unionAll(met.where(F.col("node") < F.col("high")).select(*_pair("node", "high")))
-    stars = steps.write(_of_like_size(stars.distinct(), named, of), "stars")
+    stars = steps.write(_maybe_similar(stars.distinct(), named, of), "stars")
 
     nodes = stars.select(F.col("a").alias("of")).unionAll(stars.select(F.col("b").alias("of")))
     sets = steps.write(_sets(docs, named, nodes.distinct(), n), "sets")
@@ -245,25 +294,21 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     # what shares a part across components and has met neither end of the star
     known = member.select(F.col("node").alias("of"), "component")
     placed = met.join(known, F.col("node") == F.col("of"), "left").select(
-        "part", "node", "low", "high", "n", F.coalesce("component", "node").alias("component")
+        "part", "node", "low", "high", F.coalesce("component", "node").alias("component")
     )
     apart = placed.groupBy(F.col("part").alias("at")).agg(
         F.min("component").alias("least"), F.max("component").alias("most")
     )
     apart = apart.where(F.col("least") < F.col("most"))
     placed = placed.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high")))
-    placed = placed.join(apart, F.col("part") == F.col("at")).select("part", "node", "n", "component")
-    sizes = named.select(F.col("node").alias("of"), "size")
-    placed = placed.join(sizes, F.col("node") == F.col("of")).drop("of")
+    placed = placed.join(apart, F.col("part") == F.col("at")).select("node", "component").distinct()
     placed = steps.write(placed, "placed")
     steps.drop("met")
-    sets = steps.write(_sets(docs, named, placed.select(F.col("node").alias("of")).distinct(), n), "sets")
-    few, many = placed.where(F.col("n") <= COMMON), placed.where(F.col("n") > COMMON)
-    alike = 100 * F.least("size", "other_size") >= of * F.greatest("size", "other_size")
-    rest = _across(few.select("part", "node", "component", "size"), alike).unionAll(
-        _across(*_rare_first(sets, many.select("node", "component").distinct(), of))
-    )
+    texts = _texts_of(docs, named, placed.select(F.col("node").alias("of")))
+    rest = _across(_rarest(every_part(texts, n, of)), placed, named, of)
     rest = steps.write(rest.distinct(), "rest")
+    ends = rest.select(F.col("a").alias("of")).unionAll(rest.select(F.col("b").alias("of")))
+    sets = steps.write(_sets(docs, named, ends.distinct(), n), "sets")
     more = count_overlaps(rest, sets, of, steps, "more")
     if not more.isEmpty():
         member = steps.write(components(links.unionAll(more)), "members-all")
@@ -276,48 +321,72 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     return found
 
 
-def _across(filed: DataFrame, also: Column) -> DataFrame:
-    """Pairs of (part, node, component, ...) that share a part, from different components;
-    ``also`` must hold for the columns and those of the other node, named other_..."""
-    other = filed.toDF(*[f"other_{c}" for c in filed.columns])
+def _rarest(filed: DataFrame) -> DataFrame:
+    """(node, part) of (node, level, needed, parts): the ``needed`` rarest parts of a level, by
+    how many nodes have them, without those that only one has."""
+    # repeated rows of one id and text give a set twice
+    held = filed.dropDuplicates(["node", "level"]).select(
+        "node", "level", F.size("parts").alias("total"), "needed", F.explode("parts").alias("part")
+    )
+    counts = held.groupBy(F.col("part").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    held = held.join(counts, F.col("part") == F.col("at"))
+    of_level = Window.partitionBy("node", "level")
+    # parts of one node alone come before all others
+    alone = F.col("total") - F.count("*").over(of_level)
+    rank = alone + F.row_number().over(of_level.orderBy("n", "part"))
+    return held.withColumn("rank", rank).where(F.col("rank") <= F.col("needed")).select("node", "part")
+
+
+def _across(filed: DataFrame, placed: DataFrame, named: DataFrame, of: int) -> DataFrame:
+    """Pairs of nodes of different components that share a part of (node, part) and may be similar."""
+    known = placed.join(named.select(F.col("node").alias("at"), "size", "sketch"), F.col("node") == F.col("at"))
+    known = known.select(F.col("node").alias("of"), "component", "size", "sketch")
+    mine = filed.join(known, F.col("node") == F.col("of")).select("part", "node", "component", "size", "sketch")
+    other = mine.toDF(*[f"other_{c}" for c in mine.columns])
     met = (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
-    return filed.join(other, met & also).select(*_pair("node", "other_node"))
+    near = _may_be_similar(of, "size", "other_size", "sketch", "other_sketch")
+    return mine.join(other, met & near).select(*_pair("node", "other_node"))
 
 
-def _rare_first(sets: DataFrame, nodes: DataFrame, of: int) -> tuple[DataFrame, Column]:
-    """(part, node, component, size, rank): the shingles of nodes (node, component) that a
-    partner must share one of, in the order of how many of these nodes have them; and what
-    must hold at the first shingle that two nodes share, as nothing before it is shared."""
-    mine = nodes.withColumnRenamed("node", "of")
-    held = sets.join(mine, F.col("node") == F.col("of")).select(
-        "node", "size", "component", F.explode(F.flatten(F.concat("leading", "rest"))).alias("part")
-    )
-    counts = held.groupBy(F.col("part").alias("at")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("node").orderBy("n", "part")
-    ranked = held.join(counts, F.col("part") == F.col("at")).withColumn(
-        "rank", F.row_number().over(order)
+def _may_be_similar(of: int, size: str, other_size: str, sketch: str, other_sketch: str) -> Column:
+    """Whether sizes and sketches of two sets allow the similarity."""
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    def differing(a: Column, b: Column) -> Column:
+        bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    a, b = F.col(sketch), F.col(other_sketch)
+    apart = (
+        F.when(F.size(a) == F.size(b), differing(a, b))
+        .when(F.size(a) == 2 * F.size(b), differing(folded(a), b))
+        .when(F.size(b) == 2 * F.size(a), differing(a, folded(b)))
+        .otherwise(0)
     )
-    leading = F.expr(f"size - (size * {of} + 99) div 100 + 1")
-    kept = ranked.where((F.col("rank") <= leading) & (F.col("n") > 1))
-    left = F.least(F.col("size") - F.col("rank"), F.col("other_size") - F.col("other_rank")) + 1
-    enough = left * (100 + of) >= of * (F.col("size") + F.col("other_size"))
-    return kept.select("part", "node", "component", "size", "rank"), enough
+    near = 100 * F.least(size, other_size) >= of * F.greatest(size, other_size)
+    return near & (apart <= F.expr(f"({size} + {other_size}) * {100 - of} div {100 + of}"))
 
 
-def _of_like_size(pairs: DataFrame, named: DataFrame, of: int) -> DataFrame:
-    """Pairs whose smaller set is large enough for the similarity."""
-    size = named.select("node", "size")
-    left, right = size.toDF("l", "l_size"), size.toDF("r", "r_size")
+def _maybe_similar(pairs: DataFrame, named: DataFrame, of: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow the similarity."""
+    known = named.select("node", "size", "sketch")
+    left, right = known.toDF("l", "l_size", "l_sketch"), known.toDF("r", "r_size", "r_sketch")
     both = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
-    near = 100 * F.least("l_size", "r_size") >= of * F.greatest("l_size", "r_size")
-    return both.where(near).select("a", "b")
+    return both.where(_may_be_similar(of, "l_size", "r_size", "l_sketch", "r_sketch")).select("a", "b")
+
+
+def _texts_of(docs: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, text) of nodes (of), from one document each."""
+    wanted = named.join(nodes, F.col("node") == F.col("of")).select("rep", "node", "size")
+    return docs.select("id", "text").join(wanted, same(F.col("id"), F.col("rep")))
 
 
 def _sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """The sets of nodes (of), from the text of one document each."""
-    wanted = named.join(nodes, F.col("node") == F.col("of")).select("rep", "node", "size")
-    texts = docs.select("id", "text").join(wanted, same(F.col("id"), F.col("rep")))
-    return wide_fragments(texts, n)
+    return wide_fragments(_texts_of(docs, named, nodes), n)
 
 
 def jaccard_components(
