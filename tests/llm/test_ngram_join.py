@@ -116,3 +116,18 @@ def test_components_of_paths_stars_and_loops(spark):
     want = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {3: 3, 7: 3}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    """Also after folding to the width of a smaller set's sketch."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (1, 31, 33, 64, 100, 1000):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for less, more in ((0, 0), (size // 5, 0), (0, size // 4), (size // 6, size // 6)):
+            other = np.unique(np.concatenate([base[less:], rng.integers(0, 1 << 63, more, np.uint64)]))
+            a, b = sorted((ngram_join.sketch(np.unique(base)), ngram_join.sketch(other)), key=len)
+            while len(b) > len(a):
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(base, other))
