@@ -206,6 +206,39 @@ def test_objectives_are_solved(spark, kind):
             assert abs(value(c + dc, b + db) - value(c - dc, b - db)) / (2 * h) < 1e-4
 
 
+def test_badly_scaled_problems_end_apart(spark):
+    """Curvatures from 1 to 10^6 cost few passes, and a problem that has ended costs none."""
+    bends = np.stack([np.logspace(0, 6, 200), np.ones(200)])
+    goal, asked = np.ones((2, 200)), []
+
+    def evaluate(x, open_):
+        asked.append(len(open_))
+        miss = x - goal[open_]
+        skewed = bends[open_] * (miss + 0.2 * miss**3)
+        return (bends[open_] * (miss**2 / 2 + 0.05 * miss**4)).sum(1), skewed
+
+    found, norms, _ = SV.minimise(evaluate, np.zeros((2, 200)), bends, np.array([1e-3, 1.0]), 500)
+    assert np.allclose(found[0], goal[0], atol=1e-3) and (norms <= [1e-3, 1.0]).all()
+    assert len(asked) <= 30 and asked[-1] == 1
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    """Many passes over the instances need no more shuffle space than one."""
+    x = np.random.default_rng(1).normal(size=(40, 30_000))
+    df = instances(spark, x, (x[:, :1] > 0).astype(int))
+    blocks = SV.packed(df).localCheckpoint()
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+
+    def held():
+        return sum(1 for b in jvm.diskBlockManager().getAllFiles().mkString("\n").split("\n")
+                   if "shuffle_" in b.rsplit("/", 1)[-1] and b.endswith(".data"))
+
+    before = held()
+    for _ in range(5):
+        SV._summed(blocks, "logistic", np.zeros((1, 30_001)), np.ones((2, 1)), np.arange(1))
+    assert held() <= before
+
+
 def test_early_stop_warns(spark):
     x = np.random.default_rng(1).normal(size=(40, 3))
     df = instances(spark, x, (x[:, :1] > 0).astype(int))
