@@ -76,6 +76,17 @@ def test_levels_equal_one_count(spark, monkeypatch, bounds, shipped):
         assert sorted(map(tuple, vocab.collect())) == want and len(want) > 5
 
 
+def test_levels_are_made_of_single_words(spark):
+    """Longer n-grams needn't be in the list, whose texts are read once."""
+    rows = [("aa bb aa bb cc",), ("aa bb cc",), ("bb",), ("",), (None,)]
+    texts = spark.createDataFrame(rows, "text string")
+    single, all_ = (texts.select(K.terms(F.col("text"), [], 1, n).alias("t")) for n in (1, 3))
+    want = sorted(map(tuple, FT.vocab_df(all_, "t", 2).collect()))
+    with FT.vocab_levels(single, "t", 3, 2) as vocab:
+        assert sorted(map(tuple, vocab.collect())) == want
+    assert ("aa bb cc", 2, 2) in want and ("aa bb", 2, 3) in want
+
+
 @pytest.mark.parametrize("sublinear", [True, False])
 def test_tfidf_matches_plain_python(docs, sublinear):
     model = FT.Tfidf(min_df=1, max_features=100, sublinear=sublinear, words=["the"]).fit(docs)

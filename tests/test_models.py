@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from sparkdesk.operators.features import TextAndUrgency, Tfidf
 from sparkdesk.plans import scoring as SC
 from sparkdesk.plans import solver as SV
 from sparkdesk.plans import training as TR
-from sparkdesk.session import work_path
+from sparkdesk.session import shared_dir, work_path, written
 from sparkdesk.sources.registry import read_registry
 from sparkdesk.streaming import jobs
 
@@ -239,6 +241,25 @@ def test_passes_leave_no_shuffle_files(spark):
     assert held() <= before
 
 
+def test_terms_are_gone_while_a_model_is_fitted(spark, raw, monkeypatch):
+    """Only the vectors stay for the solver; targets are trained one after the other."""
+    def tables():
+        found = Path(f"{shared_dir(spark)}/sparkdesk".removeprefix("file:"))
+        return {f.name for f in found.iterdir()}
+
+    def looked(*args, **options):
+        kept.append({f.rsplit("-", 1)[0] for f in tables() - before})
+        return solve(*args, **options)
+
+    loaded = TR.load_intent(raw, keep=["id"])
+    with written(loaded, "other"):
+        before, kept, solve = tables(), [], TR.solve
+        monkeypatch.setattr(TR, "solve", looked)
+        TR.fit_single_label(loaded, features=Tfidf(min_df=1, max_features=30))
+        TR.train_target("intent", loaded, work_path(spark, "models"), "id")
+    assert kept == [{"features"}, {"vectors"}]
+
+
 def test_early_stop_warns(spark):
     x = np.random.default_rng(1).normal(size=(40, 3))
     df = instances(spark, x, (x[:, :1] > 0).astype(int))
