@@ -156,3 +156,32 @@ def test_label_features(spark):
         "a": 0, "b": 1, None: None}
     assert {r["l"]: r["weight"] for r in FT.class_weights(one, "l").collect()} == {
         "a": 1.5, "b": 0.75}
+
+
+@pytest.mark.parametrize("lo, hi", [(1, 1), (1, 2), (2, 3), (1, 4)])
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_grams_of_joined_words_equal_listed_terms(spark, monkeypatch, lo, hi, most):
+    """N-grams counted from the words alone, by the batch, are those of the term lists."""
+    monkeypatch.setattr(FT, "COUNTED_TERMS", most)
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choices(["aa", "bb", "the", "dd", "ee ff"], k=rng.randrange(0, 15))),) for _ in range(50)]
+    texts = spark.createDataFrame([*rows, (None,), ("",), ("the",)], "text string")
+    extract = FT.TermExtractor(outputCol="t", lo=lo, hi=hi, words=["the"])
+    want = sorted(map(tuple, FT.term_stats(extract.transform(texts), "t").collect()))
+    words = extract.with_words(texts)
+    got = FT.gram_stats(words, extract.words_col, lo, hi)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 3
+    lists = [[r["t"] for r in extract.transform(df).select("t").collect()] for df in (texts, words.drop("text"))]
+    assert lists[0] == lists[1]
+
+
+def test_vocabulary_is_fitted_on_words_alone(docs):
+    """The terms of a text are neither stored nor needed for a fit, only its words."""
+    tfidf = FT.Tfidf(min_df=1, max_features=50)
+    words = tfidf.extractor().with_words(docs).drop("text")
+    model, whole = tfidf.fit(words), tfidf.fit(docs)
+    assert model.terms == whole.terms
+    got, want = (
+        {r["id"]: r["features"] for r in FT.tfidf_transform(whole, df).collect()} for df in (words, docs)
+    )
+    assert got == want

@@ -8,6 +8,7 @@ from sparkdesk.operators.features import TextAndUrgency, Tfidf
 from sparkdesk.plans import scoring as SC
 from sparkdesk.plans import solver as SV
 from sparkdesk.plans import training as TR
+from sparkdesk import session as S
 from sparkdesk.session import shared_dir, work_path, written
 from sparkdesk.sources.registry import read_registry
 from sparkdesk.streaming import jobs
@@ -260,6 +261,32 @@ def test_terms_are_gone_while_a_model_is_fitted(spark, raw, monkeypatch):
     assert kept == [{"features"}, {"vectors"}]
 
 
+def test_tables_of_a_fit_hold_words_not_terms(spark, raw, monkeypatch):
+    """What a fit stores of the texts is their words: no n-grams, no second copy of the text."""
+    def looked(df, tag):
+        kept.setdefault(tag, []).append(set(df.columns))
+        return make(df, tag)
+
+    kept, make = {}, S.materialize
+    monkeypatch.setattr(S, "materialize", looked)
+    monkeypatch.setattr(TR, "materialize", looked)
+    loaded = TR.load_intent(raw, keep=["id"])
+    TR.fit_single_label(loaded, features=Tfidf(min_df=1, max_features=30))
+    TR.train_target("intent", loaded, work_path(spark, "models"), "id")
+    assert kept["words"] == [{"hot", "features_terms_words"}]
+    assert kept["split"] == [{"id", "label", "is_test", "features_terms_words"}]
+    assert "terms" not in kept and "instances" not in kept
+
+
+def test_rows_are_worked_on_in_pieces(spark):
+    """Sums don't depend on how many rows are worked on at once."""
+    sizes = np.array([0, 3, 0, 2, 9, 1, 0], np.int32)
+    found = list(SV.row_pieces(sizes, 4))
+    assert [r.stop for r, _ in found][-1] == len(sizes) and [e.stop for _, e in found][-1] == sizes.sum()
+    assert all(e.stop - e.start == sizes[r].sum() for r, e in found)
+    assert all(sizes[r].sum() <= 4 or r.stop - r.start == 1 for r, _ in found)
+
+
 def test_early_stop_warns(spark):
     x = np.random.default_rng(1).normal(size=(40, 3))
     df = instances(spark, x, (x[:, :1] > 0).astype(int))
