@@ -21,7 +21,8 @@ square. Parts that very many documents share, those of a passage that stands in
 say little about similarity. The documents that still share a part across components therefore
 file anew, all of them alike: their d + 1 rarest parts instead of the first ones, by the counts
 among these documents. The rarest part in which two similar documents agree has at most d
-others before it in either order, so it is filed by both.
+others before it in either order, so it is filed by both. Of the parts that the same documents
+file one stays, so a pair doesn't meet in each of them.
 
 A pair is compared only if its sketches allow the similarity. A sketch has one bit for every
 residue of a hash, the parity of the shingles that fall on it; the bits in which two sketches
@@ -305,8 +306,9 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     placed = steps.write(placed, "placed")
     steps.drop("met")
     texts = _texts_of(docs, named, placed.select(F.col("node").alias("of")))
-    rest = _across(_rarest(every_part(texts, n, of)), placed, named, of)
-    rest = steps.write(rest.distinct(), "rest")
+    rare = steps.write(_rarest(every_part(texts, n, of)), "rare")
+    rest = steps.write(_across(_once(rare), placed, named, of).distinct(), "rest")
+    steps.drop("rare")
     ends = rest.select(F.col("a").alias("of")).unionAll(rest.select(F.col("b").alias("of")))
     sets = steps.write(_sets(docs, named, ends.distinct(), n), "sets")
     more = count_overlaps(rest, sets, of, steps, "more")
@@ -337,6 +339,16 @@ def _rarest(filed: DataFrame) -> DataFrame:
     return held.withColumn("rank", rank).where(F.col("rank") <= F.col("needed")).select("node", "part")
 
 
+def _once(filed: DataFrame) -> DataFrame:
+    """(node, part) with one part for each set of nodes, since the parts that the same nodes have
+    give the same pairs, and without parts of one node alone. A set is told by its size and the
+    sums of two hashes."""
+    sums = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in (0, 1)]
+    sets = filed.groupBy("part").agg(F.count("*").alias("n"), *sums).where(F.col("n") > 1)
+    chosen = sets.groupBy("n", "sum0", "sum1").agg(F.min("part").alias("at")).select("at")
+    return filed.join(chosen, F.col("part") == F.col("at")).select("node", "part")
+
+
 def _across(filed: DataFrame, placed: DataFrame, named: DataFrame, of: int) -> DataFrame:
     """Pairs of nodes of different components that share a part of (node, part) and may be similar."""
     known = placed.join(named.select(F.col("node").alias("at"), "size", "sketch"), F.col("node") == F.col("at"))
