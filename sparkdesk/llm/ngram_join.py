@@ -21,7 +21,11 @@ square. Parts that very many documents share, those of a passage that stands in
 say little about similarity. The documents that still share a part across components therefore
 file anew, all of them alike: their d + 1 rarest parts instead of the first ones, by the counts
 among these documents. The rarest part in which two similar documents agree has at most d
-others before it in either order, so it is filed by both.
+others before it in either order, so it is filed by both. A part is first compared with a few
+documents drawn from it, which joins most of what still belongs together; then all pairs
+across the components left are compared. Two documents meet at the lower of their ranges only,
+and not in a part if they share one shortly before it: a row carries the parts before its own,
+a fixed number of them, so a pair makes about one row, not one for every part it shares.
 
 A pair is compared only if its sketches allow the similarity. A sketch has one bit for every
 residue of a hash, the parity of the shingles that fall on it; the bits in which two sketches
@@ -52,6 +56,10 @@ COUNTED, LEADING = 8, 2
 BATCH_ROWS = 512
 # Bits of a sketch for every shingle, at least.
 SKETCH_BITS = 2
+# Documents of a part that all others in it are compared with, before all pairs are.
+CENTRES = 4
+# Parts before its own that a filed row carries.
+BEFORE = 16
 
 
 class Filing:
@@ -305,25 +313,35 @@ def link_sets(docs: DataFrame, n: int = 5, of: int = 80) -> DataFrame:
     placed = steps.write(placed, "placed")
     steps.drop("met")
     texts = _texts_of(docs, named, placed.select(F.col("node").alias("of")))
-    rest = _across(_rarest(every_part(texts, n, of)), placed, named, of)
-    rest = steps.write(rest.distinct(), "rest")
-    ends = rest.select(F.col("a").alias("of")).unionAll(rest.select(F.col("b").alias("of")))
-    sets = steps.write(_sets(docs, named, ends.distinct(), n), "sets")
-    more = count_overlaps(rest, sets, of, steps, "more")
-    if not more.isEmpty():
-        member = steps.write(components(links.unionAll(more)), "members-all")
+    rare = steps.write(_rarest(every_part(texts, n, of)), "rare")
+
+    def compared(pairs: DataFrame, tag: str) -> DataFrame:
+        pairs = steps.write(pairs.distinct(), tag)
+        ends = pairs.select(F.col("a").alias("of")).unionAll(pairs.select(F.col("b").alias("of")))
+        sets = steps.write(_sets(docs, named, ends.distinct(), n), f"{tag}-sets")
+        more = count_overlaps(pairs, sets, of, steps, f"{tag}-linked")
+        steps.drop(tag, f"{tag}-sets")
+        return more
+
+    more = compared(_with_centres(rare, placed, named, of), "centres")
+    joined = steps.write(_joined(placed, more), "joined")
+    more = more.unionAll(compared(_across(rare, _renamed(placed, joined), named, of), "rest"))
+    steps.drop("rare")
+    joined = steps.write(_joined(placed, more), "joined-all")
     found = listed.join(
         member.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left"
     )
     found = found.select("id", "size", F.coalesce("component", "node").alias("component"))
+    found = _renamed(found, joined)
     found = steps.write(found, "components")
     steps.drop(*[tag for tag in list(steps.paths) if tag != "components"])
     return found
 
 
 def _rarest(filed: DataFrame) -> DataFrame:
-    """(node, part) of (node, level, needed, parts): the ``needed`` rarest parts of a level, by
-    how many nodes have them, without those that only one has."""
+    """(node, part, own, before) of (node, level, needed, parts): the ``needed`` rarest parts of a
+    level, by how many nodes have them, without those that only one has. ``own`` marks those of
+    the node's own range of sizes; ``before`` holds the next smaller parts of the same level."""
     # repeated rows of one id and text give a set twice
     held = filed.dropDuplicates(["node", "level"]).select(
         "node", "level", F.size("parts").alias("total"), "needed", F.explode("parts").alias("part")
@@ -334,18 +352,58 @@ def _rarest(filed: DataFrame) -> DataFrame:
     # parts of one node alone come before all others
     alone = F.col("total") - F.count("*").over(of_level)
     rank = alone + F.row_number().over(of_level.orderBy("n", "part"))
-    return held.withColumn("rank", rank).where(F.col("rank") <= F.col("needed")).select("node", "part")
+    held = held.withColumn("rank", rank).where(F.col("rank") <= F.col("needed"))
+    nearest = of_level.orderBy("part").rowsBetween(-BEFORE, -1)
+    return held.select(
+        "node", "part", (F.col("level") == 0).alias("own"), F.collect_list("part").over(nearest).alias("before")
+    )
 
 
-def _across(filed: DataFrame, placed: DataFrame, named: DataFrame, of: int) -> DataFrame:
-    """Pairs of nodes of different components that share a part of (node, part) and may be similar."""
+def _placed_parts(filed: DataFrame, placed: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``filed`` with their node's component, size and sketch."""
     known = placed.join(named.select(F.col("node").alias("at"), "size", "sketch"), F.col("node") == F.col("at"))
     known = known.select(F.col("node").alias("of"), "component", "size", "sketch")
-    mine = filed.join(known, F.col("node") == F.col("of")).select("part", "node", "component", "size", "sketch")
+    return filed.join(known, F.col("node") == F.col("of")).drop("of")
+
+
+def _with_centres(filed: DataFrame, placed: DataFrame, named: DataFrame, of: int) -> DataFrame:
+    """Pairs of nodes of different components that may be similar, of which one is among the few
+    nodes drawn from a part that both file. A part's draw differs from those of other parts."""
+    mine = _placed_parts(filed, placed, named).drop("before")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("part", "node"), "node"))
+    drawn = mine.withColumn("rank", rank).where(F.col("rank") <= CENTRES).drop("rank")
+    drawn = drawn.toDF(*[f"other_{c}" for c in mine.columns])
+    met = (F.col("part") == F.col("other_part")) & (F.col("component") != F.col("other_component"))
+    near = _may_be_similar(of, "size", "other_size", "sketch", "other_sketch")
+    return mine.join(drawn, met & (F.col("own") | F.col("other_own")) & near).select(*_pair("node", "other_node"))
+
+
+def _across(filed: DataFrame, placed: DataFrame, named: DataFrame, of: int) -> DataFrame:
+    """Pairs of nodes of different components that share a part of (node, part, own, before) and
+    may be similar. A pair stands in a few rows at most."""
+    mine = _placed_parts(filed, placed, named)
     other = mine.toDF(*[f"other_{c}" for c in mine.columns])
     met = (F.col("part") == F.col("other_part")) & (F.col("component") < F.col("other_component"))
+    # at the first part that a pair shares at the lower of its ranges, this always holds
+    first = (F.col("own") | F.col("other_own")) & ~F.arrays_overlap("before", "other_before")
     near = _may_be_similar(of, "size", "other_size", "sketch", "other_sketch")
-    return mine.join(other, met & near).select(*_pair("node", "other_node"))
+    return mine.join(other, met & near & first).select(*_pair("node", "other_node"))
+
+
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of components that links (a, b) between their nodes join: a component's
+    name, and that of the one it is now part of."""
+    at = placed.select("node", "component")
+    left, right = at.toDF("l", "l_component"), at.toDF("r", "r_component")
+    ends = links.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+    return components(ends.select(F.col("l_component").alias("a"), F.col("r_component").alias("b")))
+
+
+def _renamed(placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows with the component that theirs is now part of."""
+    now = joined.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    both = placed.join(now, F.col("component") == F.col("was"), "left")
+    return both.withColumn("component", F.coalesce("now", "component")).drop("was", "now")
 
 
 def _may_be_similar(of: int, size: str, other_size: str, sketch: str, other_sketch: str) -> Column:

@@ -118,6 +118,59 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def near_copies(count, size, most, seed):
+    """Copies of one text with 1 to ``most`` words changed."""
+    rnd = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(size)], []
+    for k in range(count):
+        text = list(base)
+        for i in rnd.sample(range(size), rnd.randint(1, most)):
+            text[i] = f"x{rnd.randrange(10**6)}"
+        rows.append((k + size * 1000, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("n, of", [(4, 85), (3, 70), (2, 30)])
+def test_pairs_are_met_about_once(spark, n, of):
+    """All links are among the pairs met, and a pair doesn't stand there for every part it shares."""
+    rows = [r for r in edited(n) if r[0] and r[1]]
+    for size in (60, 64, 90, 230, 300):
+        rows += near_copies(40, size, 5, size)
+    docs = spark.createDataFrame(rows, "id long, text string").dropDuplicates(["id"])
+    filed = ngram_join.file_documents(docs, n, of).join(docs, "id").where("node IS NOT NULL").cache()
+    named = filed.dropDuplicates(["node"])
+    every = ngram_join.every_part(named, n, of)
+    placed = named.selectExpr("node", "node AS component")
+    met = ngram_join._across(ngram_join._rarest(every), placed, named.select("node", "size", "sketch"), of)
+    met = [tuple(r) for r in met.collect()]
+    sets = {r.node: shingle_set(r.text, n) for r in named.collect()}
+    nodes, links = sorted(sets), set()
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            overlap = len(sets[a] & sets[b])
+            if 100 * overlap >= of * (len(sets[a]) + len(sets[b]) - overlap):
+                links.add((a, b))
+    assert links and links <= set(met)
+    assert len(met) <= 1.5 * len(set(met))
+
+
+def test_few_pairs_of_a_group_are_compared(spark, monkeypatch):
+    """What belongs together joins before all pairs across components are compared."""
+    counted, write = collections.Counter(), ngram_join.Steps.write
+
+    def counting(steps, df, tag):
+        table = write(steps, df, tag)
+        counted[tag] += table.count() if tag in ("stars", "centres", "rest") else 0
+        return table
+
+    monkeypatch.setattr(ngram_join.Steps, "write", counting)
+    rows = near_copies(300, 200, 4, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(df, n=4, of=85)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 4, 85)
+    assert sum(counted.values()) <= 10 * len(rows)
+
+
 def test_sketches_never_differ_more_than_sets():
     """Also after folding to the width of a smaller set's sketch."""
     import numpy as np
