@@ -278,6 +278,44 @@ def test_tables_of_a_fit_hold_words_not_terms(spark, raw, monkeypatch):
     assert "terms" not in kept and "instances" not in kept
 
 
+def test_many_rows_begin_near_their_solution(spark, monkeypatch):
+    """A descent over an eighth of the blocks gives the start; the end is that over all rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1600, 12)) * np.logspace(0, -1.5, 12)
+    y = (x[:, :2] + 0.3 * rng.normal(size=(1600, 2)) > 0).astype(int)
+    df = instances(spark, x, y).repartition(4).localCheckpoint()
+    weights, totals, full = np.ones((2, 2)), np.full(2, 1600.0), []
+    summed = SV._summed
+
+    def looked(blocks, kind, held, *args, **options):
+        found = summed(blocks, kind, held, *args, **options)
+        full.append(blocks.select(F.sum(F.octet_length("sizes"))).first()[0] // 4 == 1600)
+        return found
+
+    monkeypatch.setattr(SV, "_summed", looked)
+    monkeypatch.setattr(SV, "BLOCK_ROWS", 20)
+    close = SV.Objective(tolerance=1e-7)
+    plain = SV.solve(df, 12, weights, totals, close)
+    passes = sum(full)
+    full.clear()
+    monkeypatch.setattr(SV, "PART_ROWS", 1000)
+    found = SV.solve(df, 12, weights, totals, close)
+    assert sum(full) < passes and not all(full)
+    assert all(np.allclose(a, b, atol=0.02) for a, b in zip(found, plain))
+
+
+def test_blocks_hold_few_numbers_and_short_indices(spark):
+    """Blocks stay small objects, with indices of two bytes where the width allows it."""
+    x = np.random.default_rng(1).normal(size=(40, 30_000))
+    df = instances(spark, x, (x[:, :1] > 0).astype(int))
+    for width, size in ((30_000, 2), (None, 4)):
+        rows = SV.packed(df, width).select(
+            F.octet_length("indices").alias("i"), F.octet_length("values").alias("v")
+        ).collect()
+        assert all(r["i"] == r["v"] // 8 * size and r["v"] <= 8 * SV.ENTRIES for r in rows)
+        assert sum(r["v"] for r in rows) == 8 * 40 * 30_000
+
+
 def test_rows_are_worked_on_in_pieces(spark):
     """Sums don't depend on how many rows are worked on at once."""
     sizes = np.array([0, 3, 0, 2, 9, 1, 0], np.int32)
