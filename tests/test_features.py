@@ -185,3 +185,27 @@ def test_vocabulary_is_fitted_on_words_alone(docs):
         {r["id"]: r["features"] for r in FT.tfidf_transform(whole, df).collect()} for df in (words, docs)
     )
     assert got == want
+
+
+def test_rare_grams_are_told_by_buckets(spark, monkeypatch):
+    """The first terms are those of the whole count, though rare ones are not made as texts."""
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(rng.choices(names, [1 / (i + 1) for i in range(300)], k=30)),) for _ in range(400)]
+    words = spark.createDataFrame([*rows, (None,), ("",)], "w string").repartition(3).localCheckpoint()
+    made, stats = [], FT.gram_stats
+
+    def looked(*args):
+        found = stats(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(FT, "gram_stats", looked)
+    for lo, hi in ((1, 2), (2, 3)):
+        for k, bounds in ((20, (2, 1.0)), (20, (2, 0.2)), (5000, (2, 1.0)), (1 << 21, (1, 1.0))):
+            want = FT.vocab_topk(FT._bounded(stats(words, "w", lo, hi), *bounds, 402), k).collect()
+            made.clear()
+            monkeypatch.setattr(FT, "BUCKET_ROWS", 1)
+            got = FT.frequent_grams(words, "w", lo, hi, k, *bounds, 402).to_pylist()
+            assert [tuple(r.values()) for r in got] == [tuple(r) for r in want]
+            assert k > 20 or made[0] < stats(words, "w", lo, hi).count() / (2 if hi == 2 else 1)
