@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import SparseVector
@@ -209,3 +210,19 @@ def test_rare_grams_are_told_by_buckets(spark, monkeypatch):
             got = FT.frequent_grams(words, "w", lo, hi, k, *bounds, 402).to_pylist()
             assert [tuple(r.values()) for r in got] == [tuple(r) for r in want]
             assert k > 20 or made[0] < stats(words, "w", lo, hi).count() / (2 if hi == 2 else 1)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 22])
+def test_texts_are_split_in_pieces(monkeypatch, most):
+    """The words of a batch are the same however many bytes are split at once."""
+    monkeypatch.setattr(FT, "SPLIT_BYTES", most)
+    rng = random.Random(4)
+    words = ["aa", "b\u00e9e", "\u4e2d\u6587", "dd"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(200)]
+    texts[3] = texts[77] = None
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["w"])
+    found = list(FT._word_lists(iter([batch])))
+    for lists in found:
+        lists.validate(full=True)
+    assert [x for lists in found for x in lists.to_pylist()] == [t.split(" ") if t else None for t in texts]
+    assert len(found) == 1 or most < 1 << 22
